@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, token_counts, urls
+from . import media, mixing, packing, token_counts, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": mixing.op3_source_mix,
+    "op4_media_columns": media.op4_media_columns,
     "op6_url_filter": urls.op6_url_filter,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_best_fit_packing": packing.op8_best_fit_packing,

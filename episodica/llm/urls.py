@@ -80,7 +80,7 @@ def train(labelled: DataFrame) -> tuple[list[float], float]:
     """Weights of the buckets and the intercept, from url and label (a table of bounded size)."""
     found = labelled.select("label", buckets_of(host_of(F.col("url")), path_of(F.col("url"))).alias("b"))
     on = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.array_contains(F.col("b"), i).cast("double"))
-    model = LogisticRegression(regParam=PENALTY, elasticNetParam=0.0, standardization=False, maxIter=100)
+    model = LogisticRegression(regParam=PENALTY, elasticNetParam=0.0, standardization=False, maxIter=20)
     fitted = model.fit(found.select("label", array_to_vector(on).alias("features")))
     return [float(w) for w in fitted.coefficients], float(fitted.intercept)
 
