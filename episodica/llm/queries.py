@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, token_counts, urls
+from . import html_extract, media, mixing, packing, token_counts, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": mixing.op3_source_mix,
     "op4_media_columns": media.op4_media_columns,
+    "op5_html_extraction": html_extract.op5_html_extraction,
     "op6_url_filter": urls.op6_url_filter,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_topk_search": topk.op9_topk_search,
 }
 
-SQL: dict[str, str] = {"op3_source_mix": mixing.OP3_SQL}
+SQL: dict[str, str] = {"op3_source_mix": mixing.OP3_SQL, "op9_topk_search": topk.OP9_SQL}
