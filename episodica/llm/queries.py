@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, media, mixing, packing, token_counts, topk, urls
+from . import html_extract, media, mixing, ngram_join, packing, token_counts, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_source_mix": mixing.op3_source_mix,
     "op4_media_columns": media.op4_media_columns,
     "op5_html_extraction": html_extract.op5_html_extraction,
