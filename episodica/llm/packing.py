@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,30 +33,65 @@ END_ID = 0
 SLACK = 8
 FAN_IN = 8
 MAX_UP = 20_000
-CACHE_ROWS = 300_000
+CACHE_ROWS = 800_000
 #: Pieces that a partition of the first round packs together, about.
 LOCAL_PIECES = 50_000
 
 PIECE_SCHEMA = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that stand for bytes: printable ones for themselves, the others from 256 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in own else next(rest) for b in range(256)}
+
+
 class _Ids(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes; encodes what it lacks, and starts anew when full."""
+    """word -> its ids as little-endian unsigned 32-bit bytes; encodes what it lacks, and starts anew when full.
+
+    A printable word of Latin letters is split and lower-cased here, and the library's merges are asked for each part,
+    which is all that its whole chain does to such a word; any other word goes through the whole chain.
+    """
 
     def __init__(self, tokenizer: str, limit: int):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self._encode, self._limit = Tokenizer.from_file(tokenizer).encode, limit
+        self._tokenizer, self._limit = Tokenizer.from_file(tokenizer), limit
+        self._merge, self._letters = self._tokenizer.model.tokenize, _byte_letters()
+        self._bytes = [i.to_bytes(4, "little") for i in range(self._tokenizer.get_vocab_size())]
+        self._parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        found = self._parts.get(part)
+        if found is None:
+            letters = part if part.isascii() else part.encode().decode("latin-1").translate(self._letters)
+            found = self._parts[part] = b"".join([self._bytes[t.id] for t in self._merge(letters)])
+        return found
+
+    def ids(self, word: str) -> bytes:
+        if word.isprintable() and "<|" not in word and (word.isascii() or max(word) < "\u0180" and "\u0130" not in word):
+            low = word.lower()
+            if low.isalpha():
+                return self._part(low)
+            if low[:-1].isalpha():  # one sign behind letters is a part of its own
+                return self._part(low[:-1]) + self._part(low[-1])
+            return b"".join(map(self._part, _PARTS(low)))
+        return b"".join([self._bytes[i] for i in self._tokenizer.encode(word, add_special_tokens=False).ids])
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self._encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.ids(word)
         if len(self) >= self._limit:
             self.clear()
+        if len(self._parts) >= self._limit:
+            self._parts.clear()
         self[word] = ids
         return ids
 
 
+#: How the tokenizer splits a word (fixed by its file).
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 #: The tokenizer drops white space and no normal form reaches across it, so words between ASCII white space stand alone.
 _WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
 
