@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, media, mixing, ngram_join, packing, token_counts, topk, urls
+from . import html_extract, media, mixing, ngram_join, packing, quality, token_counts, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_source_mix": mixing.op3_source_mix,
     "op4_media_columns": media.op4_media_columns,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_topk_search": topk.op9_topk_search,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL: dict[str, str] = {"op3_source_mix": mixing.OP3_SQL, "op9_topk_search": topk.OP9_SQL}
