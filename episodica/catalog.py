@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from episodica.plans import aggregates, joins, rules, selection, streams, windows  # noqa: F401
+from episodica.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "grasp_onsets"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
