@@ -124,8 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = labels.select(labels[id_col].alias("label_id"), labels[label_col].cast("int").alias("toxic")).where("label_id is not null and toxic in (0, 1)")
     share = min(1.0, rows / max(1, marked.count()))
     picked = marked.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < F.lit(int(np.ceil(share * 1_000_000))))
-    sample = docs.join(F.broadcast(picked), docs[id_col] == F.col("label_id"))  # bounded by ``rows``
-    sample = common.materialize(sample.select(docs[text_col].alias("text"), "toxic"), "toxic-sample")
+    slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    sample = slim.join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))  # bounded by ``rows``
+    sample = common.materialize(sample.select("text", "toxic"), "toxic-sample")
     bucket, seen, clean, toxic = _feature_counts(sample)
     nothing = np.zeros(0, np.int64), np.zeros(0), np.array([5.0, 6.0, 7.0])
     if not toxic or not clean:
