@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from episodica.plans import aggregates, joins, rules, selection, streams, windows  # noqa: F401
+from episodica.plans import aggregates, joins, projections, reports, rules, selection, streams, windows  # noqa: F401
 from episodica.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "grasp_onsets"
