@@ -43,6 +43,31 @@ def once(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(keys)
 
 
+def progress(events: DataFrame, keys: list[str]) -> DataFrame:
+    """A snapshot that grows with the stream: events, users and the greatest value of each key."""
+    return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("user_id", 0.01).alias("users"), F.max("value").alias("top"))
+
+
+def terminal(events: DataFrame, done: list[str]) -> DataFrame:
+    """Requests that are polled until they end: per user the first terminal event, and the polls before it."""
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        polls, ended = state.get if state.exists else (0, "")
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        for kind in rows["event_type"].tolist():
+            if ended:
+                break
+            if kind in done:
+                ended = kind
+            else:
+                polls += 1
+        state.update((polls, ended))
+        yield pd.DataFrame({"user_id": [key[0]], "polls": [polls], "ended": [ended]})
+
+    keyed = events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id")
+    return keyed.applyInPandasWithState(fold, "user_id long, polls long, ended string", "polls long, ended string", "update", GroupStateTimeout.NoTimeout)
+
+
 def transitions(events: DataFrame, start: str = "start") -> DataFrame:
     """Per user, in event order within each trigger: steps so far, repeated states and the last state."""
 
