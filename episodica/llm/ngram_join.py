@@ -67,23 +67,43 @@ def _minhashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return textvec.mix(out)
 
 
-def paths_of(sketch: np.ndarray, runs: int = RUNS, depth: int = DEPTH) -> list[int]:
-    """The paths that a set takes from the root, over all runs."""
-    out: list[int] = []
-    for run in range(runs):
-        level = [(0x632BE59BD9B4E019 * (run + 1)) & textvec.MASK]
-        for _ in range(depth):
-            level = [p for q in level for p in step(sketch, q)]
-        out += level
-    return out
+def roots(n: int, runs: int = RUNS) -> tuple[np.ndarray, np.ndarray]:
+    """For ``n`` sets, (set, path): the root of every run."""
+    start = textvec.mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    return np.repeat(np.arange(n), runs), np.tile(start, n)
+
+
+def longer(sketches: np.ndarray, of: np.ndarray, path: np.ndarray, each: int = 8_192) -> tuple[np.ndarray, np.ndarray]:
+    """(set, path) one token longer than each (set, path) given: the tokens that the set picks on that path."""
+    slots = np.arange(1, SLOTS + 1, dtype=np.uint64) << np.uint64(16)
+    limit = np.uint64(int((1 << 64) / (LAMBDA * SLOTS)))
+    owners, paths = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for k in range(0, len(of), each):
+        own, at = of[k : k + each], path[k : k + each]
+        tokens = (sketches[own].astype(np.uint64) | slots) * np.uint64(0xD6E8FEB86659FD93)
+        h = textvec.mix(tokens + at[:, None])
+        row, slot = np.nonzero(h < limit)
+        owners.append(own[row])
+        paths.append(textvec.mix(h[row, slot] + at[row]))
+    return np.concatenate(owners), np.concatenate(paths)
+
+
+def paths_of(sketches: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(set, path) of all paths of ``depth`` tokens, over all runs."""
+    of, path = roots(len(sketches))
+    for _ in range(depth):
+        of, path = longer(sketches, of, path)
+    return of, path
 
 
-def step(sketch: np.ndarray, path: int) -> list[int]:
-    """The paths one token longer than ``path`` that a set takes."""
-    tokens = sketch.astype(np.uint64) | (np.arange(1, SLOTS + 1, dtype=np.uint64) << np.uint64(16))
-    h = textvec.mix(tokens * np.uint64(0xD6E8FEB86659FD93) + np.uint64(path))
-    chosen = h < np.uint64(int((1 << 64) / (LAMBDA * SLOTS)))
-    return [int(x) for x in textvec.mix(h[chosen] + np.uint64(path))]
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SLOTS)
+
+
+def _leaves(names: pa.Array, of: np.ndarray, path: np.ndarray) -> pa.RecordBatch:
+    """Distinct (leaf, set)."""
+    pairs = np.unique(np.stack([path.view(np.int64), names.to_numpy()[of]]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["leaf", "set"])
 
 
 def _sketches(sets: list[np.ndarray]) -> list[bytes | None]:
@@ -96,10 +116,6 @@ def _sketches(sets: list[np.ndarray]) -> list[bytes | None]:
     return [next(rows).tobytes() if len(x) else None for x in sets]
 
 
-def _signed(path: int) -> int:
-    return path - (1 << 64) if path >> 63 else path
-
-
 # ---------------------------------------------------------------- buckets
 
 
@@ -261,15 +277,14 @@ def links_of(sketches: DataFrame, shingles: Callable[[DataFrame], DataFrame]) ->
 
     def root_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(s, _signed(p)) for s, k in zip(*(c.to_pylist() for c in batch.columns), strict=True) for p in set(paths_of(np.frombuffer(k, np.uint16)))]
-            columns = list(zip(*rows, strict=True)) if rows else [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(columns[1]), pa.int64()), pa.array(list(columns[0]), pa.int64())], ["leaf", "set"])
+            if batch.num_rows:
+                yield _leaves(batch.column(0), *paths_of(_matrix(batch.column(1))))
 
     def longer_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(_signed(q), s) for p, s, k in zip(*(c.to_pylist() for c in batch.columns), strict=True) for q in set(step(np.frombuffer(k, np.uint16), p & textvec.MASK))]
-            columns = list(zip(*rows, strict=True)) if rows else [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["leaf", "set"])
+            if batch.num_rows:
+                at = batch.column(0).to_numpy().view(np.uint64)
+                yield _leaves(batch.column(1), *longer(_matrix(batch.column(2)), np.arange(batch.num_rows), at))
 
     own = sketches.select("set", "sketch")
     members = common.materialize(own.mapInArrow(root_paths, "leaf long, set long"), "join-paths")
