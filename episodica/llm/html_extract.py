@@ -3,11 +3,12 @@
 A page is read as tokens: each tag, and each run of text, under its path of open elements. A token's occurrence vector
 counts it on every page of its host; it is kept as a sum of page hashes times counts, so vectors merge on the map side
 and are never collected. Tokens of a host with equal vectors form an equivalence class. A class is valid when it has
-enough tokens, is found on enough of the host's pages, and keeps the same number on each page that has it. The valid
-classes nest: the class found once on all pages is the root of the template, and the others lie in its slots. Text in
-the template's own tokens is the site's frame; what remains in the slots is the page's content, less the slots that are
-menus, notices, forms and the like by their element. An article or main element, where there is one, holds the slots that
-are kept, and text inside it is content even when many pages of the host carry it.
+enough tokens, is found on enough of the host's pages, and keeps the same number on each page that has it. A second look
+at the pages keeps the classes that nest: their tokens come in one order, and any two lie apart or one in one slot of the
+other. The class found once on all pages is the root of the template, and the others lie in its slots. Text of the root is
+the site's frame on every page; what remains in the slots is the page's content, less the slots that are menus, notices,
+forms and the like by their element. An article or main element, where there is one, holds the slots that are kept, and a
+class inside such a slot is content; elsewhere it is frame.
 
 Defined cases: null html is empty and gives empty text; tags left open end where their parent does; a page whose host
 has few pages has no template, and its elements alone decide; equal pages are extracted each; an empty table gives an
@@ -16,6 +17,7 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 from collections import Counter
@@ -32,6 +34,10 @@ from . import common, urls
 MIN_PAGES = 4
 MIN_TOKENS = 2
 MIN_SHARE = 0.3
+#: Share of the pages of a class on which its order and its slots must be the same.
+AGREE = 0.9
+#: The shape of a class that is out of order, and of two that cross.
+BROKEN = -(1 << 62)
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|"
@@ -192,8 +198,8 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
     )
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host and the tokens of its template, one row a host: those of the valid equivalence classes.
+def classes_of(pages: DataFrame) -> DataFrame:
+    """host and its equivalence classes, one row a host: structs (o, tokens, root), those of most pages first.
 
     A page holds each token of a class that covers a share of the host's pages, so a host has few such tokens whatever
     the number of its pages.
@@ -201,15 +207,109 @@ def templates(pages: DataFrame) -> DataFrame:
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")).where(F.col("host_pages") >= MIN_PAGES)
     vectors = occurrence_vectors(pages).where((F.col("least") == F.col("most")) & (F.col("pages") >= MIN_PAGES))
     common_tokens = vectors.join(sizes, "host").where(F.col("pages") >= MIN_SHARE * F.col("host_pages"))
-    classes = common_tokens.groupBy("host", "vector", "pages").agg(F.collect_list("token").alias("tokens"))
+    root = (F.col("pages") == F.col("host_pages")) & (F.col("least") == 1)
+    classes = common_tokens.groupBy("host", "vector", "pages", root.alias("root"), "least").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
     valid = classes.where(F.size("tokens") >= MIN_TOKENS)
-    # outermost first: a class of more pages holds the classes of fewer in its slots
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("o"), "tokens")))
-    return valid.groupBy("host").agg(F.flatten(F.transform(ordered, lambda c: c["tokens"])).alias("template"))
+    order = F.struct((-F.col("pages")).alias("o"), F.col("least").alias("n"), "tokens", "root")
+    return valid.groupBy("host").agg(F.array_sort(F.collect_list(order)).alias("classes"))
+
+
+def shapes(page: str, places: dict[int, tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """How the classes lie on a page, as (a, b, shape), from the class and member of each token.
+
+    For a class with itself the shape names the order of its tokens; for two classes it is the slot of the one that holds
+    the other (0 if they lie apart, negative if the second holds the first). A broken order or a crossing is ``BROKEN``.
+    """
+    found: dict[int, tuple[list[int], list[int]]] = {}
+    for at, (path, text, *_) in enumerate(parse(page)):
+        if not text or not text.isspace():
+            place = places.get(token_hash(path, text))
+            if place:
+                own = found.setdefault(place[0], ([], []))
+                own[0].append(at)
+                own[1].append(place[1])
+    spans = {}
+    for a, (at, member) in found.items():
+        m = len(set(member))
+        if len(at) % m or member != member[:m] * (len(at) // m):
+            yield a, a, BROKEN
+        else:
+            yield a, a, xxhash.xxh3_64_intdigest(repr(member[:m])) >> 2
+            spans[a] = at, m
+
+    def slot(outer: tuple[list[int], int], inner: tuple[list[int], int]) -> int:
+        at, m = inner
+        slots = set()
+        for k in range(0, len(at), m):
+            before = bisect.bisect(outer[0], at[k])
+            if before != bisect.bisect(outer[0], at[k + m - 1]):
+                return BROKEN
+            slots.add(before % outer[1])
+        return slots.pop() if len(slots) == 1 else BROKEN
+
+    order = sorted(spans)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            inside, around = slot(spans[a], spans[b]), slot(spans[b], spans[a])
+            yield a, b, inside if inside != BROKEN else -around if around > 0 else BROKEN
+
+
+def nested(classes: DataFrame, pages: DataFrame) -> DataFrame:
+    """host and its template: tokens of the root (``root``) and of the classes in its slots (``inner``).
+
+    A class stays if its tokens keep one order, and it keeps one slot of each class before it, on ``AGREE`` of the pages.
+    """
+    kinds = "host string, a int, b int, shape long, n long"
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter[tuple[str, int, int, int]] = Counter()
+            places: dict[str, dict[int, tuple[int, int]]] = {}
+            for i, (host, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if host not in places:
+                    own = batch.column(2)[i].as_py()
+                    places[host] = {t: (a, k) for a, c in enumerate(own) for k, t in enumerate(c["tokens"])}
+                seen.update((host, *x) for x in shapes(page or "", places[host]))
+            columns = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) if seen else [()] * 5
+            types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["host", "a", "b", "shape", "n"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, list[int], list[int]]] = []
+            for row in batch.to_pylist():
+                agreed = {(x["a"], x["b"]): x["agreed"] for x in row["looks"]}
+                kept: list[int] = []
+                for b in range(len(row["classes"])):
+                    if agreed.get((b, b)) and all(agreed.get((a, b), True) for a in kept):  # classes may never meet
+                        kept.append(b)
+                sides = [[t for k in kept for t in row["classes"][k]["tokens"] if row["classes"][k]["root"] == root] for root in (True, False)]
+                out.append((row["host"], *sides))
+            columns = list(zip(*out, strict=True)) if out else [()] * 3
+            types = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["host", "root", "inner"])
+
+    named = classes.withColumnRenamed("host", "class_host")
+    asked = pages.join(common.maybe_broadcast(named, named.count(), 20_000), F.col("host") == F.col("class_host")).select("host", "html", "classes")
+    seen = asked.mapInArrow(look, kinds).groupBy("host", "a", "b", "shape").agg(F.sum("n").alias("n"))
+    most = F.max(F.struct("n", "shape"))
+    agreed = (most["n"] >= AGREE * F.sum("n")) & (most["shape"] != BROKEN)
+    looks = seen.groupBy("host", "a", "b").agg(agreed.alias("agreed"))
+    looks = looks.groupBy("host").agg(F.collect_list(F.struct("a", "b", "agreed")).alias("looks"))  # by pairs of its few classes
+    both = looks.join(named, F.col("host") == F.col("class_host")).select("host", "classes", "looks")
+    return both.mapInArrow(choose, "host string, root array<long>, inner array<long>")
 
-def main_text(page: str, template: set[int]) -> str:
-    """The blocks of the slots that are kept, joined by two line ends."""
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host, root and inner: the tokens of its template, one row a host."""
+    return nested(common.materialize(classes_of(pages), "html-classes"), pages)
+
+
+def main_text(page: str, root: set[int], inner: set[int] | frozenset[int] = frozenset()) -> str:
+    """The blocks of the slots that are kept, joined by two line ends.
+
+    The root's text is never content. A class in a slot is what its slot is: content in an article, frame elsewhere.
+    """
     runs = parse(page)
     has_article = any(article and text and not text.isspace() for _, text, _, article, _ in runs)
     blocks: list[list[str]] = []
@@ -220,8 +320,10 @@ def main_text(page: str, template: set[int]) -> str:
         broken |= fresh
         if framed or (has_article and not article):
             continue
-        if not has_article and not text.isspace() and token_hash(path, text) in template:
-            continue
+        if (root or inner) and not text.isspace():
+            token = token_hash(path, text)
+            if token in root or not has_article and token in inner:
+                continue
         if broken:
             blocks.append([])
             broken = False
@@ -243,13 +345,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = []
             for i, (page, host) in enumerate(zip(batch.column(2).to_pylist(), hosts, strict=True)):
                 if host not in known:
-                    known[host] = set(batch.column(4)[i].as_py() or ())
-                texts.append(main_text(page or "", known[host]))
+                    known[host] = tuple(set(batch.column(c)[i].as_py() or ()) for c in (4, 5))
+                texts.append(main_text(page or "", *known[host]))
             lengths = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), lengths], ["page_id", "url", "text", "n_chars"])
 
     own = slim.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "host", "template").mapInArrow(read, f"page_id {own}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "host", "root", "inner").mapInArrow(read, f"page_id {own}, url string, text string, n_chars long")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,29 @@ def test_edges(spark):
     got = rows_of(html_extract.extract(df))
     assert sorted(r["n_chars"] for r in got) == [0, 0, 1, 999_999]
     assert rows_of(html_extract.extract(df.limit(0))) == []
+
+
+def test_the_template_decides_inside_articles(spark):
+    """Text of the root is frame in an article too; a class of some pages in a slot of the article is content."""
+    page = '<body><div>Site</div><article><p class="by">By the staff</p><p class="x">Own {i}</p>{some}</article></body>'
+    some = '<p class="s">Quoted once</p><p class="s">and again</p>'
+    rows = [(i, f"https://h/{i}", page.format(i=i, some=some if i % 2 else "")) for i in range(12)]
+    got = sorted(rows_of(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))), key=lambda r: r["page_id"])
+    assert [r["text"] for r in got] == [f"Own {i}" + "\n\nQuoted once\n\nand again" * (i % 2) for i in range(12)]
+
+
+def test_classes_without_one_order_are_no_template(spark):
+    """Lines found on all pages of the host, but shuffled by page, are not its frame."""
+    page = "<body><div>Top</div>{lines}<div>End</div></body>"
+    lines = ["<h2>one</h2>", "<h3>two</h3>", "<h4>three</h4>"]
+    rows = [(i, f"https://h/{i}", page.format(lines="".join(lines[i % 3 :] + lines[: i % 3]) + f"<p>{i}</p>")) for i in range(9)]
+    got = rows_of(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    assert all("one" in r["text"] and "two" in r["text"] and "three" in r["text"] for r in got)
+
+
+def test_shapes():
+    tokens = [html_extract.token_hash(p, t) for p, t, *_ in html_extract.parse("<a><b><i><u>")]
+    outer_inner = {tokens[0]: (0, 0), tokens[3]: (0, 1), tokens[1]: (1, 0), tokens[2]: (1, 1)}
+    assert [s for a, b, s in html_extract.shapes("<a><b><i><u>", outer_inner) if a != b] == [1]
+    crossing = {tokens[0]: (0, 0), tokens[2]: (0, 1), tokens[1]: (1, 0), tokens[3]: (1, 1)}
+    assert [s for a, b, s in html_extract.shapes("<a><b><i><u>", crossing) if a != b] == [html_extract.BROKEN]
