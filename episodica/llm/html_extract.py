@@ -11,8 +11,8 @@ forms and the like by their element. An article or main element, where there is
 class inside such a slot is content; elsewhere it is frame.
 
 Defined cases: null html is empty and gives empty text; tags left open end where their parent does; a page whose host
-has few pages has no template, and its elements alone decide; equal pages are extracted each; an empty table gives an
-empty result; other columns are not read.
+has few pages has no template, and its elements alone decide; equal pages of a host are one page to its template, and are
+extracted each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -177,8 +177,8 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # what a batch has is summed before it leaves the worker
             sums: dict[tuple[str, int], list[int]] = {}
-            for page_id, host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = xxhash.xxh3_64_intdigest(repr(page_id))
+            for host, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = xxhash.xxh3_64_intdigest(page or "")  # ids may be null or repeat
                 for token, n in tokens_of(page or "").items():
                     s = sums.setdefault((host, token), [0, n, n, 0])
                     s[0] += 1
@@ -198,6 +198,20 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
     )
 
 
+def once(pages: DataFrame) -> DataFrame:
+    """page_id, host, html: each page of a host once, however often it is copied there.
+
+    Only pages that have copies are shuffled.
+    """
+    keyed = pages.select("page_id", "host", "html", F.xxhash64("html").alias("copy"))
+    copies = keyed.groupBy("host", "copy").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = common.materialize(copies.select(F.col("host").alias("copy_host"), F.col("copy").alias("copied")), "html-copies")
+    known = common.maybe_broadcast(copies, copies.count(), 500_000)
+    match = (F.col("copy") == F.col("copied")) & F.col("host").eqNullSafe(F.col("copy_host"))
+    repeated = keyed.join(known, match, "left_semi").dropDuplicates(["host", "copy"])
+    return keyed.join(known, match, "left_anti").unionByName(repeated).drop("copy")
+
+
 def classes_of(pages: DataFrame) -> DataFrame:
     """host and its equivalence classes, one row a host: structs (o, tokens, root), those of most pages first.
 
@@ -301,8 +315,9 @@ def nested(classes: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, root and inner: the tokens of its template, one row a host."""
-    return nested(common.materialize(classes_of(pages), "html-classes"), pages)
+    """host, root and inner: the tokens of its template, one row a host. Copies of a page add no support."""
+    distinct = once(pages)
+    return nested(common.materialize(classes_of(distinct), "html-classes"), distinct)
 
 
 def main_text(page: str, root: set[int], inner: set[int] | frozenset[int] = frozenset()) -> str:

@@ -108,3 +108,14 @@ def test_shapes():
     assert [s for a, b, s in html_extract.shapes("<a><b><i><u>", outer_inner) if a != b] == [1]
     crossing = {tokens[0]: (0, 0), tokens[2]: (0, 1), tokens[1]: (1, 0), tokens[3]: (1, 1)}
     assert [s for a, b, s in html_extract.shapes("<a><b><i><u>", crossing) if a != b] == [html_extract.BROKEN]
+
+
+def test_copies_add_no_support(spark):
+    """Pages without an article that are copies on one host keep their text, alone and beside other pages."""
+    copy = "<body><h1>A title</h1><p>The first part.</p><p>The last part.</p></body>"
+    rows = [(i, "https://alone/x", copy) for i in range(5)] + [(None, "https://beside/x", copy) for _ in range(8)]
+    rows += [(100 + i, f"https://beside/{i}", f"<body><h2>B</h2><div>Own {i}</div></body>") for i in range(8)]
+    got = rows_of(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)))
+    texts = [r["text"] for r in got if r["url"].endswith("/x")]
+    assert len(got) == 21 and len(texts) == 13 and set(texts) == {"A title\n\nThe first part.\n\nThe last part."}
+    assert sorted(r["text"] for r in got if not r["url"].endswith("/x")) == [f"Own {i}" for i in range(8)]
