@@ -363,6 +363,11 @@ def _described(words: int, sketched: bool):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id, class_id (least id of its class) and n_links (rows of similarity 0.8 or more, itself not counted)."""
+    return _classed(docs, id_col, text_col, words).select("doc_id", "class_id", "n_links")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
+    """``near_duplicates`` with the hash of the text (key) and the name of the class (root), as ids may be null or repeat."""
     slim = docs.select(docs[id_col].alias("doc"), F.xxhash64(docs[text_col]).alias("key"), docs[text_col].alias("text"))
     kind = slim.schema["doc"].dataType.simpleString()
     described = slim.mapInArrow(_described(words, True), f"doc {kind}, key long, set long, sketch binary")
@@ -387,23 +392,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = common.materialize(named.select("set", F.coalesce("root", "set").alias("root"), "least_doc", "copies"), "join-roots")
     class_of = common.materialize(named.groupBy("root").agg(F.min("least_doc").alias("class_id")), "join-names").withColumnRenamed("root", "r")
     per_set = named.join(class_of, F.col("root") == F.col("r")).join(counts, F.col("set") == F.col("n"), "left")
-    per_set = per_set.select(F.col("set").alias("s"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    per_set = per_set.select(F.col("set").alias("s"), "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     per_set = common.materialize(per_set, "join-classes")
-    return described.select("doc", "set").join(per_set, F.col("set") == F.col("s")).select(F.col("doc").alias("doc_id"), "class_id", "n_links")
+    return described.select("doc", "key", "set").join(per_set, F.col("set") == F.col("s")).select(F.col("doc").alias("doc_id"), "key", "root", "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row left of each class: the one of least id."""
-    found = common.materialize(near_duplicates(docs, id_col, text_col), "join-kept")
-    extra = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("extra_id")).distinct()
-    kept = docs.join(common.maybe_broadcast(extra, extra.count(), 2_000_000), docs[id_col].eqNullSafe(F.col("extra_id")), "left_anti")
-    again = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id"))
-    again = common.materialize(again, "join-again")
+    """``docs`` with one row left of each class: the one of least id, null ids last, and of one id that of least text hash."""
+    found = common.materialize(_classed(docs, id_col, text_col).select("doc_id", "key", "root"), "join-kept")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    several = found.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), least.alias("kept")).where("rows > 1").select(F.col("root").alias("r"), "kept")
+    several = common.materialize(several, "join-several")
+    rows = found.join(common.maybe_broadcast(several, several.count(), 1_000_000), F.col("root") == F.col("r"))
+    # an id and a text make a row; rows that repeat both are told apart by nothing
+    rows = rows.groupBy("doc_id", "key", "kept").agg(F.count(F.lit(1)).alias("rows"))
+    is_kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("key") == F.col("kept.key"))
+    rows = common.materialize(rows.select(F.col("doc_id").alias("met_id"), F.col("key").alias("met_key"), is_kept.alias("is_kept"), "rows"), "join-extra")
+    extra = rows.where("NOT is_kept").select("met_id", "met_key")
+    match = docs[id_col].eqNullSafe(F.col("met_id")) & (F.xxhash64(docs[text_col]) == F.col("met_key"))
+    kept = docs.join(common.maybe_broadcast(extra, extra.count(), 1_000_000), match, "left_anti")
+    again = rows.where("is_kept AND rows > 1").select("met_id", "met_key")
     if again.isEmpty():
         return kept
-    # rows that repeat an id: the first of each stays
-    match = docs[id_col].eqNullSafe(F.col("again_id"))
-    return kept.join(again, match, "left_anti").unionByName(kept.join(again, match, "left_semi").dropDuplicates([id_col]))
+    again = common.maybe_broadcast(again, again.count(), 1_000_000)
+    # the first of each stays
+    return kept.join(again, match, "left_anti").unionByName(kept.join(again, match, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

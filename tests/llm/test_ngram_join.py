@@ -112,3 +112,12 @@ def test_edges(spark):
     df = docs(spark, rows).selectExpr("*", "1 AS set", "2 AS class_id", "3 AS key")
     kept = ngram_join.one_of_each(df)
     assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in rows_of(kept)) == ["7", "None"]
+
+
+def test_texts_under_null_and_repeated_ids_are_kept(spark):
+    """One row of each class is left, whatever the ids: null ones of different texts, and an id of two texts."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(None, a, "s"), (None, b, "s"), (None, c, "s"), (3, c + " end", "s"), (5, d, "s"), (5, e, "s"), (4, d + " end", "s"), (None, a, "s")]
+    kept = rows_of(ngram_join.one_of_each(docs(spark, rows)))
+    want = [(None, a), (None, b), (3, c + " end"), (4, d + " end"), (5, e)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(want, key=str)
