@@ -14,14 +14,14 @@ def _stamp(name):
 
 @query("""SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def stream_tumbling(spark, sf_dir):
-    out = ev.upsert(ev.tumbling(ev.event_stream(spark, sf_dir), "1 day"), ["window_start", "event_type"])
+    out = ev.upsert(ev.tumbling(ev.event_stream(spark, sf_dir), "1 day", late=ev.span(spark, sf_dir)), ["window_start", "event_type"])
     return out.select(_stamp("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""WITH w AS (SELECT unnest([time_bucket(INTERVAL '12 hours', ts), time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours']) AS window_start, event_type, value FROM events)
 SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2""")
 def stream_sliding(spark, sf_dir):
-    out = ev.upsert(ev.tumbling(ev.event_stream(spark, sf_dir), "1 day", "12 hours"), ["window_start", "event_type"])
+    out = ev.upsert(ev.tumbling(ev.event_stream(spark, sf_dir), "1 day", "12 hours", ev.span(spark, sf_dir)), ["window_start", "event_type"])
     return out.select(_stamp("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -37,7 +37,7 @@ def stream_session(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     """The stream joined with a replay of itself: each event once."""
     stream = ev.event_stream(spark, sf_dir)
-    out = ev.upsert(ev.once(stream.unionByName(ev.event_stream(spark, sf_dir)), ["event_id"]), ["event_id"], mode="append")
+    out = ev.upsert(ev.once(stream.unionByName(ev.event_stream(spark, sf_dir)), ["event_id"], ev.span(spark, sf_dir)), ["event_id"], mode="append")
     return out.select("event_id", "user_id", "event_type")
 
 

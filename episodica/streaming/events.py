@@ -17,6 +17,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 LATE = "10 minutes"
 
 
+def span(spark: SparkSession, sf_dir: str) -> str:
+    """A lateness by which no event of the table comes late, in whatever order its files are read."""
+    first, last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min(F.col("ts").cast("timestamp").cast("double")), F.max(F.col("ts").cast("timestamp").cast("double"))).first()
+    return f"{int((last or 0) - (first or 0)) + 1} seconds"
+
+
 def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 4) -> DataFrame:
     """Events as a stream of files, with an event time."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -25,10 +31,10 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 4) ->
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def tumbling(events: DataFrame, width: str, slide: str | None = None) -> DataFrame:
+def tumbling(events: DataFrame, width: str, slide: str | None = None, late: str = LATE) -> DataFrame:
     """Counts and sums by event type in windows of ``width`` (sliding by ``slide``)."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    sums = events.withWatermark("ts", LATE).groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    sums = events.withWatermark("ts", late).groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return sums.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
@@ -38,9 +44,9 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return found.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def once(events: DataFrame, keys: list[str]) -> DataFrame:
+def once(events: DataFrame, keys: list[str], late: str = LATE) -> DataFrame:
     """Each key once, however often it is replayed within the watermark."""
-    return events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(keys)
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
 def progress(events: DataFrame, keys: list[str]) -> DataFrame:
