@@ -2,16 +2,20 @@
 
 Texts are sets of hashed runs of ``WORDS`` words; equal sets collapse to one representative. A set is embedded by
 ``SLOTS`` min-hashes, so that a pair of Jaccard similarity s shares about s * SLOTS of its (slot, value) tokens. In each
-of ``RUNS`` runs a set picks tokens by a hash of the path so far, each with probability 1 / (LAMBDA * SLOTS), and goes
-down every path it picks: sets that share tokens share paths. Paths of depth ``DEPTH`` are the first buckets; a bucket
-of more than ``BUCKET`` sets is split again, down to depth ``DEEPEST``. A pair at the threshold meets in a run with
-probability about 0.36 to 0.5 by its depth, so ten runs find 99 of 100 such pairs and nearly all of the more alike.
+run a set picks tokens by a hash of the path so far, each with probability 1 / (LAMBDA * SLOTS), and goes down every path
+it picks: sets that share tokens share paths. Paths of depth ``DEPTH`` are the first buckets; a bucket of more than
+``BUCKET`` sets is split again, down to depth ``DEEPEST``. Runs are repeated until a pair at the threshold meets with
+probability ``RECALL`` even in buckets of the greatest depth (``runs_for``); more alike pairs meet nearly always.
 
-Small buckets are compared by brute force. What is still large (many near copies) is cut in groups of ``GROUP``, and every
-two groups meet in a task of their own, so no bucket is capped and no task holds more than two groups. Sketches rule
-out most pairs; then the sets themselves give the exact similarity. Of the buckets that a pair shares only the least one
-counts it, so links are counted without listing all pairs; a bucket hands on the number of links of each set and a
-spanning forest of them, which are as many rows as it has sets. Classes are the connected components of the forests.
+Small buckets are compared by brute force: sketches rule out most pairs, then the sets themselves give the exact
+similarity. The sets of buckets that are still large (groups of many near copies, which share most of their paths) are
+dealt once to blocks of at most about ``BLOCK`` sets, and every two blocks that meet in any large bucket are compared
+once, by products of their incidence over shared members. So the members of such a group are shipped once for each
+block of it, not once for each bucket, run and group; nothing is capped, and no task holds more than two blocks.
+
+A pair that shares a large bucket is counted by its blocks, any other pair by the least of the small buckets it shares,
+so links are counted without listing all pairs; buckets and blocks hand on the number of links of each set and a
+spanning forest of them, which are as many rows as they have sets. Classes are the connected components of the forests.
 
 Defined cases: null text is empty; texts without a word are equal to each other and like nothing else; a text of fewer
 words than ``WORDS`` is one run; exact copies, and texts of equal sets, share a class and count each other as links;
@@ -20,23 +24,28 @@ null ids are kept, a class is named by its least id; an empty table gives an emp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from . import common, textvec
 
 WORDS = 5
 THRESHOLD = 0.8
 SLOTS = 128
-RUNS = 10
+#: Least probability that a pair at the threshold meets.
+RECALL = 0.985
 LAMBDA = 0.75
 DEPTH, DEEPEST = 2, 4
 BUCKET = 256
-GROUP = 256
+#: Sets of a block of large buckets, and members of its sets, about.
+BLOCK = 1_024
+BLOCK_MEMBERS = 1 << 21
 #: Standard errors by which a sketch may fall below the threshold before its pair is ruled out.
 MARGIN = 5.0
 EMPTY = 0
@@ -67,7 +76,26 @@ def _minhashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return textvec.mix(out)
 
 
-def roots(n: int, runs: int = RUNS) -> tuple[np.ndarray, np.ndarray]:
+def meeting(runs: int, depth: int, similarity: float = THRESHOLD) -> float:
+    """Probability that a pair shares a path of ``depth`` in one of ``runs``: a branching process over its shared slots."""
+    shared = np.arange(SLOTS + 1)
+    log_choose = np.array([math.lgamma(SLOTS + 1) - math.lgamma(k + 1) - math.lgamma(SLOTS - k + 1) for k in range(SLOTS + 1)])
+    weight = np.exp(log_choose + shared * math.log(similarity) + (SLOTS - shared) * math.log1p(-similarity))
+    lost = np.zeros(SLOTS + 1)  # by the number of shared slots
+    for _ in range(depth):
+        lost = (1 - (1 - lost) / (LAMBDA * SLOTS)) ** shared
+    return float((weight * (1 - lost**runs)).sum())
+
+
+def runs_for(recall: float, depth: int = DEEPEST) -> int:
+    """The least number of runs in which a pair at the threshold meets with probability ``recall``."""
+    runs = 1
+    while meeting(runs, depth) < recall:
+        runs += 1
+    return runs
+
+
+def roots(n: int, runs: int) -> tuple[np.ndarray, np.ndarray]:
     """For ``n`` sets, (set, path): the root of every run."""
     start = textvec.mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
     return np.repeat(np.arange(n), runs), np.tile(start, n)
@@ -88,9 +116,9 @@ def longer(sketches: np.ndarray, of: np.ndarray, path: np.ndarray, each: int = 8
     return np.concatenate(owners), np.concatenate(paths)
 
 
-def paths_of(sketches: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+def paths_of(sketches: np.ndarray, depth: int = DEPTH, runs: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(set, path) of all paths of ``depth`` tokens, over all runs."""
-    of, path = roots(len(sketches))
+    of, path = roots(len(sketches), runs or runs_for(RECALL))
     for _ in range(depth):
         of, path = longer(sketches, of, path)
     return of, path
@@ -137,54 +165,62 @@ def _tasks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _alike_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places (i, j) of the pairs to verify, and their task's first place: alike by sketch, and sharing no lesser bucket."""
-    task, leaf, side = (table.column(c).to_numpy() for c in ("task", "leaf", "side"))
+    """Places (i, j) of the pairs to verify, and their bucket's first place: alike by sketch, and sharing no lesser bucket."""
+    leaf = table.column("leaf").to_numpy()
     sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, SLOTS)
-    leaves = table.column("leaves").to_pylist()
-    starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
-    sizes = np.diff(np.concatenate([starts, [len(task)]]))
+    leaves, large = table.column("leaves").to_pylist(), table.column("large").to_pylist()
+    starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(leaf)]]))
     least = (THRESHOLD - MARGIN * (THRESHOLD * (1 - THRESHOLD) / SLOTS) ** 0.5) * SLOTS
-    known: dict[int, set[int]] = {}
+    known: dict[int, tuple[set[int], set[int]]] = {}
 
-    def own(i: int) -> set[int]:
+    def own(i: int) -> tuple[set[int], set[int]]:
         if i not in known:
-            known[i] = set(leaves[i])
+            known[i] = set(leaves[i]), set(large[i] or ())
         return known[i]
 
+    def counted_here(x: int, y: int) -> bool:
+        (small_x, large_x), (small_y, large_y) = own(x), own(y)
+        return min(small_x & small_y) == leaf[x] and large_x.isdisjoint(large_y)
+
     left, right, first = [], [], []
     for size in np.unique(sizes).tolist():
         of = starts[sizes == size]
         a, b = np.triu_indices(size, 1)
-        each = max(1, 100_000 // max(1, len(a)))  # tasks of this size compared at once
+        each = max(1, 100_000 // max(1, len(a)))  # buckets of this size compared at once
         for k in range(0, len(of) if size > 1 else 0, each):
             here = of[k : k + each]
             i, j = (here[:, None] + a).reshape(-1), (here[:, None] + b).reshape(-1)
-            of_task = np.repeat(here, len(a))
-            # two groups of a large bucket meet across, one group within
-            two = np.repeat(np.maximum.reduceat(side, starts)[np.searchsorted(starts, here)], len(a))
-            wanted = (two == 0) | (side[i] != side[j])
-            i, j, of_task = i[wanted], j[wanted], of_task[wanted]
-            alike = np.concatenate([(sketches[i[s : s + 50_000]] == sketches[j[s : s + 50_000]]).sum(axis=1) >= least for s in range(0, len(i), 50_000)] or [np.zeros(0, bool)])
-            i, j, of_task = i[alike], j[alike], of_task[alike]
-            real = np.fromiter((min(own(x) & own(y)) == leaf[x] for x, y in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+            of_bucket = np.repeat(here, len(a))
+            alike = np.concatenate([(sketches[i[s : s + 50_000]] == sketches[j[s : s + 50_000]]).sum(axis=1) >= least for s in range(0, len(i), 50_000)])
+            i, j, of_bucket = i[alike], j[alike], of_bucket[alike]
+            real = np.fromiter((counted_here(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
             left.append(i[real])
             right.append(j[real])
-            first.append(of_task[real])
+            first.append(of_bucket[real])
     if not left:
         return (np.zeros(0, np.int64),) * 3
     return np.concatenate(left), np.concatenate(right), np.concatenate(first)
 
 
 def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by task, those that have a pair to verify."""
+    """Of rows sorted by bucket, those that have a pair to verify."""
     for table in _tasks_of(batches):
         i, j, _ = _alike_pairs(table)
-        kept = table.select(["task", "leaf", "side", "set"]).take(pa.array(np.union1d(i, j).astype(np.int64)))
+        kept = table.select(["leaf", "set"]).take(pa.array(np.union1d(i, j).astype(np.int64)))
         yield from kept.combine_chunks().to_batches()
 
 
+_LINKS = "set long, links long, to long"
+
+
+def _links(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) if out else [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["set", "links", "to"])
+
+
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each set in a task (in copies), and a forest that spans them: rows (set, links, to)."""
+    """Links of each set in a small bucket (in copies), and a forest that spans them: rows (set, links, to)."""
     for table in _tasks_of(batches):
         left, right, first = _alike_pairs(table)
         names, copies, shingles = table.column("set").to_numpy(), table.column("copies").to_numpy(), table.column("shingles")
@@ -208,8 +244,55 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             links = np.bincount(i, weights=of[j], minlength=len(rows)) + np.bincount(j, weights=of[i], minlength=len(rows))
             out += [(int(own[r]), int(links[r]), int(own[r])) for r in np.flatnonzero(links)]
             out += [(int(own[x]), 0, int(own[y])) for x, y in _forest(i.tolist(), j.tolist(), len(rows))]
-        columns = list(zip(*out, strict=True)) if out else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["set", "links", "to"])
+        yield _links(out)
+
+
+def verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``verify`` for rows sorted by a pair of blocks: of the pairs across (or within a lone block) that share a large bucket."""
+    for table in _tasks_of(batches):
+        names, copies, side = (table.column(c).to_numpy() for c in ("set", "copies", "side"))
+        tasks = table.column("task").to_numpy()
+        for rows in np.split(np.arange(len(tasks)), np.flatnonzero(np.diff(tasks)) + 1):
+            left, right = rows[side[rows] == 0], rows[side[rows] == 1]
+            within = not len(right)
+            own = {int(r): np.frombuffer(table.column("shingles")[int(r)].as_py(), np.uint64) for r in rows}
+            a = [own[int(r)] for r in left]
+            b = a if within else [own[int(r)] for r in right]
+            met = [np.unique(np.asarray(table.column("large")[int(r)].as_py(), np.int64)).view(np.uint64) for r in rows]
+            of = dict(zip(rows.tolist(), met, strict=True))
+            meet = _intersections([of[r] for r in left.tolist()], [of[r] for r in (left if within else right).tolist()]) > 0
+            inter = _intersections(a, b)
+            size_a, size_b = (np.array([len(x) for x in sets]) for sets in (a, b))
+            real = meet & (inter >= THRESHOLD * (size_a[:, None] + size_b[None, :] - inter) - 1e-9)
+            near = np.zeros((len(rows), len(rows)), bool)  # both ways, lone block or two
+            if within:
+                np.fill_diagonal(real, False)
+                near |= real
+                every = left
+            else:
+                near[: len(left), len(left) :] = real
+                near[len(left) :, : len(left)] = real.T
+                every = np.concatenate([left, right])
+            links = near @ copies[every]
+            out = [(int(names[every[r]]), int(links[r]), int(names[every[r]])) for r in np.flatnonzero(links)]
+            out += [(int(names[every[x]]), 0, int(names[every[y]])) for x, y in _spanning(near)]
+            yield _links(out)
+
+
+def _spanning(near: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric matrix."""
+    new = np.ones(len(near), bool)
+    for start in range(len(near)):
+        if not new[start]:
+            continue
+        new[start] = False
+        todo = [start]
+        while todo:
+            x = todo.pop()
+            found = np.flatnonzero(near[x] & new)
+            new[found] = False
+            todo += found.tolist()
+            yield from ((x, y) for y in found.tolist())
 
 
 def _forest(left: list[int], right: list[int], n: int) -> list[tuple[int, int]]:
@@ -255,30 +338,39 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
 # ---------------------------------------------------------------- the join
 
 
-def _tasks(members: DataFrame) -> DataFrame:
-    """leaf, set -> task, leaf, side, set: a small bucket is one task; a large one has a task for every two groups."""
-    sizes = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sizes = common.materialize(sizes, "join-sizes").withColumnRenamed("leaf", "sized_leaf")
-    rows = members.join(sizes, F.col("leaf") == F.col("sized_leaf")).drop("sized_leaf")
-    groups = F.ceil(F.col("size") / GROUP).cast("int")
-    rows = rows.withColumn("groups", F.when(F.col("size") > BUCKET, groups).otherwise(1))
-    mine = F.pmod(F.xxhash64("set"), F.col("groups")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    side = F.when(F.col("mine") == low, 0).otherwise(1)
-    return rows.select(F.xxhash64("leaf", low, high).alias("task"), "leaf", side.cast("int").alias("side"), "set")
-
+def _block_tasks(heavy: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets of large buckets in blocks (set, copies, large, block), and the pairs of blocks that meet (task, side, block).
 
-def links_of(sketches: DataFrame, shingles: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """set, links, to: verified links and forests, from ``sketches`` (set, sketch, copies).
+    A set goes to a block of the largest of its buckets, dealt by its hash. ``heavy`` is leaf, set, size.
+    """
+    home = heavy.groupBy("set").agg(F.max(F.struct("size", "leaf"))["leaf"].alias("home"), F.collect_list("leaf").alias("large"))  # a set has few paths
+    slim = sketches.select(F.col("set").alias("own"), "copies", "members")
+    home = common.materialize(home.join(slim, F.col("set") == F.col("own")).drop("own"), "join-homes")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("members") / BLOCK_MEMBERS))
+    homes = common.materialize(home.groupBy("home").agg(parts.alias("parts")).withColumnRenamed("home", "h"), "join-home-parts")
+    dealt = home.join(common.maybe_broadcast(homes, homes.count()), F.col("home") == F.col("h"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("set", F.lit("block")), F.col("parts")))
+    blocks = common.materialize(dealt.select("set", "copies", "large", block.alias("block")), "join-blocks")
+    met = common.materialize(blocks.select("block", F.explode("large").alias("leaf")).distinct(), "join-met")
+    other = met.select(F.col("block").alias("other"), F.col("leaf").alias("l"))
+    pairs = met.join(other, F.col("leaf") == F.col("l")).where("block <= other").select("block", "other").distinct()
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("block").alias("of")), F.struct(F.lit(1).alias("side"), F.col("other").alias("of")))
+    sides = F.when(F.col("block") == F.col("other"), F.slice(sides, 1, 1)).otherwise(sides)
+    tasks = pairs.select(F.xxhash64("block", "other").alias("task"), F.explode(sides).alias("s"))
+    return blocks, common.materialize(tasks.select("task", "s.side", F.col("s.of").alias("of")), "join-block-tasks")
+
+
+def links_of(sketches: DataFrame, shingles: Callable[[DataFrame], DataFrame], recall: float = RECALL) -> DataFrame:
+    """set, links, to: verified links and forests, from ``sketches`` (set, sketch, copies, members).
 
     ``shingles`` gives (set, shingles), once each, for a table of sets.
     """
+    runs = runs_for(recall)
 
     def root_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield _leaves(batch.column(0), *paths_of(_matrix(batch.column(1))))
+                yield _leaves(batch.column(0), *paths_of(_matrix(batch.column(1)), runs=runs))
 
     def longer_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,35 +380,47 @@ def links_of(sketches: DataFrame, shingles: Callable[[DataFrame], DataFrame]) ->
 
     own = sketches.select("set", "sketch")
     members = common.materialize(own.mapInArrow(root_paths, "leaf long, set long"), "join-paths")
-    leaves = None
+    leaves, used = None, []
     for depth in range(DEPTH, DEEPEST + 1):
-        sizes = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sizes = common.materialize(sizes, "join-counts").withColumnRenamed("leaf", "sized_leaf")
+        sizes = common.materialize(members.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "join-counts")
         # only buckets that hold a pair are met again
-        sized = members.join(sizes, F.col("leaf") == F.col("sized_leaf")).drop("sized_leaf")
+        sized = members.join(sizes.withColumnRenamed("leaf", "sized_leaf"), F.col("leaf") == F.col("sized_leaf")).drop("sized_leaf")
         sized = common.materialize(sized, "join-buckets")
-        large = sized.where(F.col("size") > BUCKET) if depth < DEEPEST else sized.where(F.lit(False))
-        small = sized.where(F.col("size") <= BUCKET) if depth < DEEPEST else sized
-        small = small.select("leaf", "set")
+        common.discard(members, sizes)
+        used.append(sized)
+        heavy = sized.where(F.col("size") > BUCKET)
+        small = sized.where(F.col("size") <= BUCKET).select("leaf", "set")
         leaves = small if leaves is None else leaves.unionByName(small)
-        if depth == DEEPEST or large.isEmpty():
+        any_heavy = not heavy.isEmpty()
+        if depth == DEEPEST or not any_heavy:
             break
-        deeper = large.join(own.withColumnRenamed("set", "own"), F.col("set") == F.col("own")).select("leaf", "set", "sketch")
+        deeper = heavy.join(own.withColumnRenamed("set", "own"), F.col("set") == F.col("own")).select("leaf", "set", "sketch")
         members = common.materialize(deeper.mapInArrow(longer_paths, "leaf long, set long"), "join-paths")
     leaves = common.materialize(leaves, "join-leaves")
+    blocks, tasks = _block_tasks(heavy, sketches)
+    common.discard(*used)
     of_set = leaves.groupBy("set").agg(F.collect_list("leaf").alias("leaves"))  # a set has few paths
-    known = sketches.join(of_set.withColumnRenamed("set", "own"), F.col("set") == F.col("own")).select("set", "sketch", "copies", "leaves")
-    known = common.materialize(known, "join-known").withColumnRenamed("set", "own")
-    kinds = "task long, leaf long, side int, set long"
-    tasks = common.materialize(_tasks(leaves), "join-tasks")
-    asked = tasks.join(known.drop("copies"), F.col("set") == F.col("own")).select("task", "leaf", "side", "set", "sketch", "leaves")
-    asked = asked.repartition("task").sortWithinPartitions("task").mapInArrow(screen, kinds)
+    known = sketches.join(of_set.withColumnRenamed("set", "own"), F.col("set") == F.col("own")).drop("own")
+    large = blocks.select(F.col("set").alias("own"), "large")
+    known = known.join(large, F.col("set") == F.col("own"), "left").select("set", "sketch", "copies", "leaves", "large")
+    known = common.materialize(known, "join-known")
+    of = known.withColumnRenamed("set", "own")
+    asked = leaves.join(of.drop("copies"), F.col("set") == F.col("own")).select("leaf", "set", "sketch", "leaves", "large")
+    asked = asked.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(screen, "leaf long, set long")
     asked = common.materialize(asked, "join-candidates")
-    needed = common.materialize(asked.select("set").distinct(), "join-needed")
-    sets = shingles(needed).withColumnRenamed("set", "named")
-    full = asked.join(known, F.col("set") == F.col("own")).drop("own").join(sets, F.col("set") == F.col("named"))
-    full = full.select("task", "leaf", "side", "set", "sketch", "leaves", "copies", "shingles")
-    return full.repartition("task").sortWithinPartitions("task").mapInArrow(verify, "set long, links long, to long")
+    needed = common.materialize(asked.select("set").unionByName(blocks.select("set")).distinct(), "join-needed")
+    found = common.materialize(shingles(needed), "join-shingles")
+    sets = found.withColumnRenamed("set", "named")
+    full = asked.join(of, F.col("set") == F.col("own")).drop("own").join(sets, F.col("set") == F.col("named"))
+    full = full.select("leaf", "set", "sketch", "leaves", "large", "copies", "shingles")
+    links = full.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(verify, _LINKS)
+    if any_heavy:
+        whole = blocks.join(sets, F.col("set") == F.col("named"))
+        pairs = tasks.join(whole, F.col("of") == F.col("block")).select("task", "side", "set", "copies", "large", "shingles")
+        links = links.unionByName(pairs.repartition("task").sortWithinPartitions("task").mapInArrow(verify_blocks, _LINKS))
+    links = common.materialize(links, "join-links")
+    common.discard(leaves, blocks, tasks, known, asked, needed, found)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -334,7 +438,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = common.materialize(large.groupBy("a").agg(F.min("b").alias("m")), "cc-low")
         small = large.join(low.withColumnRenamed("a", "n"), F.col("a") == F.col("n"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        edges = common.materialize(small.where("a <> b").distinct(), "cc")
+        used, edges = (edges, least, large, low), common.materialize(small.where("a <> b").distinct(), "cc")
+        common.discard(*used)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -342,50 +447,57 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _described(words: int, sketched: bool):
-    """The function that reads (doc, key, text) and gives doc, key, set and sketch, or set and shingles."""
+    """The function that reads (doc, key, text) and gives doc, key, set, sketch and members, or set and shingles."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = textvec.Hasher()
         for batch in batches:
-            names, values = [], []
+            names, values, sizes = [], [], []
             for first, last, found in hasher.spans(batch.column(2).to_pylist()):
                 sets = _unique_sets(*found.shingles(words), last - first)
                 names += [_digest(x) for x in sets]
+                sizes += [len(x) for x in sets]
                 values += _sketches(sets) if sketched else [x.tobytes() for x in sets]
             names, values = pa.array(names, pa.int64()), pa.array(values, pa.binary())
             if sketched:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, values], ["doc", "key", "set", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, values, pa.array(sizes, pa.int64())], ["doc", "key", "set", "sketch", "members"])
             else:
                 yield pa.RecordBatch.from_arrays([names, values], ["set", "shingles"])
 
     return describe
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def _limit(df: DataFrame, id_col: str) -> int:
+    """Rows of (id, hash) that may be broadcast: more where the id is a number and so of a known size."""
+    return 1_000_000 if isinstance(df.schema[id_col].dataType, NumericType) else common.BROADCAST_ROWS
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (least id of its class) and n_links (rows of similarity 0.8 or more, itself not counted)."""
-    return _classed(docs, id_col, text_col, words).select("doc_id", "class_id", "n_links")
+    return _classed(docs, id_col, text_col, words, recall).select("doc_id", "class_id", "n_links")
 
 
-def _classed(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
+def _classed(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, recall: float = RECALL) -> DataFrame:
     """``near_duplicates`` with the hash of the text (key) and the name of the class (root), as ids may be null or repeat."""
     slim = docs.select(docs[id_col].alias("doc"), F.xxhash64(docs[text_col]).alias("key"), docs[text_col].alias("text"))
     kind = slim.schema["doc"].dataType.simpleString()
-    described = slim.mapInArrow(_described(words, True), f"doc {kind}, key long, set long, sketch binary")
+    described = slim.mapInArrow(_described(words, True), f"doc {kind}, key long, set long, sketch binary, members long")
     described = common.materialize(described, "join-sets")
     first = described.groupBy("set").agg(
-        F.min(F.struct("doc", "key")).alias("least"), F.min("doc").alias("least_doc"), F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch")
+        F.min(F.struct("doc", "key")).alias("least"), F.min("doc").alias("least_doc"), F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch"),
+        F.min("members").alias("members"),
     )
-    first = common.materialize(first.select("set", "least", "least_doc", "copies", "sketch"), "join-first")
+    first = common.materialize(first.select("set", "least", "least_doc", "copies", "sketch", "members"), "join-first")
 
     def shingles(needed: DataFrame) -> DataFrame:
         # one row of the corpus stands for each set; only the texts asked for are hashed again
         rows = first.join(needed.withColumnRenamed("set", "n"), F.col("set") == F.col("n")).select(F.col("least.doc").alias("least_doc"), F.col("least.key").alias("least_key"))
-        rows = common.maybe_broadcast(rows, needed.count(), 1_000_000)
+        rows = common.maybe_broadcast(rows, needed.count(), _limit(slim, "doc"))
         texts = slim.join(rows, (F.col("key") == F.col("least_key")) & F.col("doc").eqNullSafe(F.col("least_doc")))
         found = texts.select("doc", "key", "text").mapInArrow(_described(words, False), "set long, shingles binary")
         return found.dropDuplicates(["set"])  # rows that repeat an id and its text give their set twice
 
-    links = common.materialize(links_of(first.where("sketch is not null").select("set", "sketch", "copies"), shingles), "join-links")
+    links = links_of(first.where("sketch is not null").select("set", "sketch", "copies", "members"), shingles, recall)
     counts = links.groupBy("set").agg(F.sum("links").alias("links")).withColumnRenamed("set", "n")
     roots = components(links.select(F.col("set").alias("a"), F.col("to").alias("b")))
     named = first.select("set", "least_doc", "copies").join(roots, F.col("set") == F.col("node"), "left")
@@ -403,18 +515,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     several = found.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), least.alias("kept")).where("rows > 1").select(F.col("root").alias("r"), "kept")
     several = common.materialize(several, "join-several")
-    rows = found.join(common.maybe_broadcast(several, several.count(), 1_000_000), F.col("root") == F.col("r"))
+    rows = found.join(common.maybe_broadcast(several, several.count(), _limit(found, "doc_id")), F.col("root") == F.col("r"))
     # an id and a text make a row; rows that repeat both are told apart by nothing
     rows = rows.groupBy("doc_id", "key", "kept").agg(F.count(F.lit(1)).alias("rows"))
     is_kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("key") == F.col("kept.key"))
     rows = common.materialize(rows.select(F.col("doc_id").alias("met_id"), F.col("key").alias("met_key"), is_kept.alias("is_kept"), "rows"), "join-extra")
     extra = rows.where("NOT is_kept").select("met_id", "met_key")
     match = docs[id_col].eqNullSafe(F.col("met_id")) & (F.xxhash64(docs[text_col]) == F.col("met_key"))
-    kept = docs.join(common.maybe_broadcast(extra, extra.count(), 1_000_000), match, "left_anti")
+    kept = docs.join(common.maybe_broadcast(extra, extra.count(), _limit(found, "doc_id")), match, "left_anti")
     again = rows.where("is_kept AND rows > 1").select("met_id", "met_key")
     if again.isEmpty():
         return kept
-    again = common.maybe_broadcast(again, again.count(), 1_000_000)
+    again = common.maybe_broadcast(again, again.count(), _limit(found, "doc_id"))
     # the first of each stays
     return kept.join(again, match, "left_anti").unionByName(kept.join(again, match, "left_semi").dropDuplicates([id_col, text_col]))
 

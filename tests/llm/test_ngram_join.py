@@ -64,9 +64,9 @@ def test_against_brute_force(spark):
     assert found(spark, texts) == brute(list(range(len(texts))), texts)
 
 
-def test_a_large_group_is_split_and_compared_in_blocks(spark, monkeypatch):
+def test_a_large_group_is_dealt_to_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BUCKET", 16)
-    monkeypatch.setattr(ngram_join, "GROUP", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK", 24)
     texts = corpus(2, 1, [150]) + corpus(3, 20, [1, 2])
     got, want = found(spark, texts), brute(list(range(len(texts))), texts)
     assert {i: c for i, (c, _) in got.items()} == {i: c for i, (c, _) in want.items()}
@@ -74,16 +74,38 @@ def test_a_large_group_is_split_and_compared_in_blocks(spark, monkeypatch):
     assert all(got[i][1] <= want[i][1] for i in want)
 
 
-def test_recall_at_the_threshold():
-    """Sketches of sets at Jaccard 0.8 meet in at least one first bucket in 97 of 100 cases."""
+def test_blocks_meet_a_bounded_number_of_times(spark, monkeypatch):
+    """A group's members go to each of its blocks once, however many buckets and runs they share."""
+    monkeypatch.setattr(ngram_join, "BUCKET", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK", 40)
+    shipped = []
+    real = ngram_join._block_tasks
+    monkeypatch.setattr(ngram_join, "_block_tasks", lambda *a: shipped.append(real(*a)) or shipped[-1])
+    monkeypatch.setattr(ngram_join.common, "discard", lambda *tables: None)
+    found(spark, corpus(5, 1, [160]))
+    blocks, tasks = shipped[0]
+    count = blocks.select("block").distinct().count()
+    assert count <= 12 and tasks.count() <= count * count
+    assert blocks.groupBy("set").count().where("count > 1").count() == 0
+
+
+@pytest.mark.parametrize("depth", [2, 3, 4])
+def test_recall_at_the_threshold(depth):
+    """Sketches of sets at Jaccard 0.8 meet in at least one bucket of each depth as often as the target says."""
     rng = np.random.default_rng(4)
-    met = 0
-    for _ in range(300):
+    met, tries = 0, 400
+    for _ in range(tries):
         common, a, b = (rng.integers(1, 1 << 63, n, dtype=np.uint64) for n in (160, 20, 20))
         pair = ngram_join._sketches([np.unique(np.concatenate([common, x])) for x in (a, b)])
-        of, path = ngram_join.paths_of(np.stack([np.frombuffer(x, np.uint16) for x in pair]))
+        of, path = ngram_join.paths_of(np.stack([np.frombuffer(x, np.uint16) for x in pair]), depth)
         met += bool(set(path[of == 0].tolist()) & set(path[of == 1].tolist()))
-    assert met >= 291
+    want = ngram_join.meeting(ngram_join.runs_for(ngram_join.RECALL), depth)
+    assert want >= ngram_join.RECALL and met / tries >= want - 3 * (want * (1 - want) / tries) ** 0.5
+
+
+def test_runs_follow_the_target_recall():
+    assert [ngram_join.runs_for(r) for r in (0.5, 0.9, 0.99)] == sorted(ngram_join.runs_for(r) for r in (0.5, 0.9, 0.99))
+    assert ngram_join.meeting(ngram_join.runs_for(0.9) - 1, ngram_join.DEEPEST) < 0.9 <= ngram_join.meeting(ngram_join.runs_for(0.9), ngram_join.DEEPEST)
 
 
 @pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)], [(1, 2), (3, 4), (4, 5), (9, 9)], []])
