@@ -38,6 +38,35 @@ def test_against_brute_force(spark, monkeypatch, block, stretch, sample):
     assert found(frame(spark, rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 5, 61])
+def test_whole_however_rows_are_dealt(spark, monkeypatch, parts):
+    """Stretches and chunks take their names from what is written, not from the partitions asked for."""
+    from pyspark.sql import DataFrame
+
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(0, 0.3, 8).tolist()) for i in range(500)]
+    real, plain = type(frame(spark, rows)).repartitionByRange, type(frame(spark, rows)).repartition
+    assert issubclass(type(frame(spark, rows)), DataFrame)
+    monkeypatch.setattr(type(frame(spark, rows)), "repartitionByRange", lambda self, n, *cols: real(self, parts, *cols))
+    monkeypatch.setattr(type(frame(spark, rows)), "repartition", lambda self, n, *cols: plain(self, parts, *cols))
+    monkeypatch.setattr(topk, "STRETCH", 64)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    assert found(frame(spark, rows)) == brute(rows)
+
+
+def test_payload_moves_only_where_a_bound_reaches(spark, monkeypatch):
+    """Queries meet the rows of those stretches only that can hold one of their k best."""
+    written = {}
+    real = topk.common.materialize
+    monkeypatch.setattr(topk.common, "materialize", lambda df, tag: written.setdefault(tag, real(df, tag)))
+    monkeypatch.setattr(topk.common, "discard", lambda *tables: None)
+    monkeypatch.setattr(topk, "STRETCH", 32)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rows = [(i, [float(i % 2), float(1 - i % 2)]) for i in range(640)]
+    assert found(frame(spark, rows)) == brute(rows)
+    assert written["topk-reached"].count() < written["topk-index"].count() * written["topk-queries"].count()
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [1.0, None]), (2, None), (3, [nan, 1.0]), (4, [inf, 0.0]), (20, [0.5]), (21, []), (40, [-1.0, 0.01]), (None, [1.0, 1.0])]
