@@ -5,19 +5,24 @@ counts it on every page of its host; it is kept as a sum of page hashes times co
 and are never collected. Tokens of a host with equal vectors form an equivalence class. A class is valid when it has
 enough tokens, is found on enough of the host's pages, and keeps the same number on each page that has it. A second look
 at the pages keeps the classes that nest: their tokens come in one order, and any two lie apart or one in one slot of the
-other. The class found once on all pages is the root of the template, and the others lie in its slots. Text of the root is
-the site's frame on every page; what remains in the slots is the page's content, less the slots that are menus, notices,
-forms and the like by their element. An article or main element, where there is one, holds the slots that are kept, and a
-class inside such a slot is content; elsewhere it is frame.
-
-Defined cases: null html is empty and gives empty text; tags left open end where their parent does; a page whose host
-has few pages has no template, and its elements alone decide; equal pages of a host are one page to its template, and are
-extracted each; an empty table gives an empty result; other columns are not read.
+other. The class found once on all pages is the root of the template, and the others lie in its slots. The root cuts
+every page in slots, one behind each of its tokens. The same look sums the text of each slot over the host's pages;
+elements, headings and links only weigh it (``WEIGHTS``). The slots that hold a share of the heaviest one's weight are
+the content of the host; text of the root is its frame on every page, also within such a slot.
+
+Inside a kept slot, elements that are menus, notices, forms, comments and the like are left out, and an article or main
+element, where the page has one, bounds what is kept; a class in a slot of an article is content, elsewhere it is frame.
+A host without a template, and a page whose kept slots are empty, are read by their elements alone.
+
+Defined cases: null html is empty and gives empty text; tags left open end where their parent does; a host of few pages
+has no template; equal pages of a host are one page to its template, and are extracted each; very long pages are read
+whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import html as entities
 import re
 from collections import Counter
@@ -34,6 +39,12 @@ from . import common, urls
 MIN_PAGES = 4
 MIN_TOKENS = 2
 MIN_SHARE = 0.3
+#: Weight of a character of text: in a frame element, a link, a heading, an article or main element, elsewhere.
+WEIGHTS = {"frame": 0.05, "link": 0.1, "heading": 4.0, "article": 4.0, "text": 1.0}
+#: Share of the heaviest slot's weight from which a slot is content.
+SLOT_SHARE = 0.05
+#: Numbers of tokens up to which all templates may be broadcast.
+BROADCAST_TOKENS = 2_000_000
 #: Share of the pages of a class on which its order and its slots must be the same.
 AGREE = 0.9
 #: The shape of a class that is out of order, and of two that cross.
@@ -88,6 +99,20 @@ def _is_frame(kind: str, marks: str) -> bool:
     return False
 
 
+@functools.lru_cache(1 << 14)
+def _tag(tag: str) -> tuple[str, bool, str, bool, bool] | None:
+    """Name, whether it closes, label in a path, whether its element is frame, whether it holds nothing; None if no tag."""
+    name = _NAME.match(tag)
+    if not name:
+        return None
+    kind = name.group(1).lower()
+    if tag[1] == "/":
+        return kind, True, "", False, False
+    marks = " ".join(v for _, a, b, c in _ATTRIBUTE.findall(tag[name.end() :]) for v in (a, b, c) if v)
+    own = kind in _FRAME or _is_frame(kind, marks) or (kind not in ("html", "body") and bool(_HIDDEN.search(tag)))
+    return kind, False, "/" + kind + ("." + marks if marks else ""), own, kind in _VOID or tag.endswith("/>")
+
+
 def parse(page: str) -> list[tuple[str, str, bool, bool, bool]]:
     """The text runs of a page: (path, text, in frame, in article, starts a block), and tags as runs without text.
 
@@ -112,13 +137,13 @@ def parse(page: str) -> list[tuple[str, str, bool, bool, bool]]:
             break
         at = m.end()
         tag = m.group()
-        name = _NAME.match(tag)
-        if not name:
+        found = _tag(tag)
+        if not found:
             continue
-        kind = name.group(1).lower()
+        kind, closes, label, own, holds_nothing = found
         if kind in _BLOCK:
             fresh = True
-        if tag[1] == "/":
+        if closes:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == kind:
                     del stack[k:]
@@ -141,16 +166,13 @@ def parse(page: str) -> list[tuple[str, str, bool, bool, bool]]:
                     break
                 if stack[k][0] in _HOLDS:
                     break
-        marks = " ".join(v for _, a, b, c in _ATTRIBUTE.findall(tag[name.end() :]) for v in (a, b, c) if v)
-        label = kind + ("." + marks if marks else "")
-        out.append((path + "/" + label, "", framed, article, False))
+        out.append((path + label, "", framed, article, False))
         if kind == "br":
             out.append((path, " ", framed, article, fresh))
-        if kind in _VOID or tag.endswith("/>"):
+        if holds_nothing:
             continue
-        own = kind in _FRAME or _is_frame(kind, marks) or (kind not in ("html", "body") and bool(_HIDDEN.search(tag)))
         own |= kind == "header" and not article
-        path, framed, article = path + "/" + label, framed or own, (article or kind in ("article", "main")) and not own
+        path, framed, article = path + label, framed or own, (article or kind in ("article", "main")) and not own
         stack.append((kind, path, framed, article))
         if kind in _RAW:
             close = re.compile(rf"</{re.escape(kind)}(?=[\s/>])", re.I).search(page, at)
@@ -234,14 +256,17 @@ def shapes(page: str, places: dict[int, tuple[int, int]]) -> Iterator[tuple[int,
     For a class with itself the shape names the order of its tokens; for two classes it is the slot of the one that holds
     the other (0 if they lie apart, negative if the second holds the first). A broken order or a crossing is ``BROKEN``.
     """
+    yield from _shapes([token_hash(path, text) if not text or not text.isspace() else None for path, text, *_ in parse(page)], places)
+
+
+def _shapes(tokens: list[int | None], places: dict[int, tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
     found: dict[int, tuple[list[int], list[int]]] = {}
-    for at, (path, text, *_) in enumerate(parse(page)):
-        if not text or not text.isspace():
-            place = places.get(token_hash(path, text))
-            if place:
-                own = found.setdefault(place[0], ([], []))
-                own[0].append(at)
-                own[1].append(place[1])
+    for at, token in enumerate(tokens):
+        place = places.get(token)
+        if place:
+            own = found.setdefault(place[0], ([], []))
+            own[0].append(at)
+            own[1].append(place[1])
     spans = {}
     for a, (at, member) in found.items():
         m = len(set(member))
@@ -268,83 +293,142 @@ def shapes(page: str, places: dict[int, tuple[int, int]]) -> Iterator[tuple[int,
             yield a, b, inside if inside != BROKEN else -around if around > 0 else BROKEN
 
 
+_LINK = re.compile(r"/a(?:[./]|$)")
+_HEADING = re.compile(r"/h[12](?:[./]|$)")
+
+
+def slot_texts(runs: list[tuple[str, str, bool, bool, bool]], tokens: list[int | None], root: set[int]) -> dict[int, list[float]]:
+    """For the slot behind each token of the root (0: before the first): weight, characters, and those in an article."""
+    out: dict[int, list[float]] = {}
+    slot = 0
+    for (path, text, framed, article, _), token in zip(runs, tokens, strict=True):
+        if token in root:
+            slot = token
+        elif text and token is not None:
+            if framed:
+                kind = "frame"
+            elif _LINK.search(path):
+                kind = "link"
+            else:
+                kind = "heading" if _HEADING.search(path) else "article" if article else "text"
+            n = len(text.strip())
+            sums = out.setdefault(slot, [0.0, 0.0, 0.0])
+            sums[0] += WEIGHTS[kind] * n
+            sums[1] += n
+            sums[2] += n * article
+    return out
+
+
+def chosen_slots(slots: dict[int, list[float]]) -> list[int]:
+    """The slots that are content: those of a share of the heaviest one's weight, and, if that is an article, all of it."""
+    if not slots:
+        return []
+    best = max(slots.values())
+    in_article = lambda s: s[2] > 0.5 * s[1]
+    return sorted(t for t, s in slots.items() if s[0] >= SLOT_SHARE * best[0] or in_article(best) and in_article(s))
+
+
 def nested(classes: DataFrame, pages: DataFrame) -> DataFrame:
-    """host and its template: tokens of the root (``root``) and of the classes in its slots (``inner``).
+    """host and its template: tokens of the root (``root``), its slots that are content (``kept``, by the token before),
+    and tokens of the classes in its slots (``inner``).
 
     A class stays if its tokens keep one order, and it keeps one slot of each class before it, on ``AGREE`` of the pages.
     """
-    kinds = "host string, a int, b int, shape long, n long"
+    kinds = "host string, a int, b int, shape long, n long, weight double, chars double, article double"
+    names = [x.split()[0] for x in kinds.split(", ")]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter[tuple[str, int, int, int]] = Counter()
-            places: dict[str, dict[int, tuple[int, int]]] = {}
+            slots: dict[tuple[str, int], list[float]] = {}
+            known: dict[str, tuple[dict[int, tuple[int, int]], set[int]]] = {}
             for i, (host, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if host not in places:
+                if host not in known:
                     own = batch.column(2)[i].as_py()
-                    places[host] = {t: (a, k) for a, c in enumerate(own) for k, t in enumerate(c["tokens"])}
-                seen.update((host, *x) for x in shapes(page or "", places[host]))
-            columns = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) if seen else [()] * 5
-            types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["host", "a", "b", "shape", "n"])
+                    known[host] = {t: (a, k) for a, c in enumerate(own) for k, t in enumerate(c["tokens"])}, {t for c in own if c["root"] for t in c["tokens"]}
+                places, root = known[host]
+                runs = parse(page or "")
+                tokens = [token_hash(path, text) if not text or not text.isspace() else None for path, text, *_ in runs]
+                seen.update((host, *x) for x in _shapes(tokens, places))
+                for slot, found in slot_texts(runs, tokens, root).items():
+                    sums = slots.setdefault((host, slot), [0.0, 0.0, 0.0])
+                    for k, x in enumerate(found):
+                        sums[k] += x
+            rows = [(*k, n, 0.0, 0.0, 0.0) for k, n in seen.items()] + [(h, -1, -1, t, 1, *x) for (h, t), x in slots.items()]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+            types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[str, list[int], list[int]]] = []
+            out: list[tuple[str, list[int], list[int], list[int]]] = []
             for row in batch.to_pylist():
                 agreed = {(x["a"], x["b"]): x["agreed"] for x in row["looks"]}
                 kept: list[int] = []
                 for b in range(len(row["classes"])):
                     if agreed.get((b, b)) and all(agreed.get((a, b), True) for a in kept):  # classes may never meet
                         kept.append(b)
-                sides = [[t for k in kept for t in row["classes"][k]["tokens"] if row["classes"][k]["root"] == root] for root in (True, False)]
-                out.append((row["host"], *sides))
-            columns = list(zip(*out, strict=True)) if out else [()] * 3
-            types = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["host", "root", "inner"])
+                root, inner = ([t for k in kept for t in row["classes"][k]["tokens"] if row["classes"][k]["root"] == root] for root in (True, False))
+                slots = {x["shape"]: [x["weight"], x["chars"], x["article"]] for x in row["slots"]}
+                out.append((row["host"], root, chosen_slots(slots) if root else [], inner))
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            types = (pa.string(), *[pa.list_(pa.int64())] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["host", "root", "kept", "inner"])
 
     named = classes.withColumnRenamed("host", "class_host")
-    asked = pages.join(common.maybe_broadcast(named, named.count(), 20_000), F.col("host") == F.col("class_host")).select("host", "html", "classes")
-    seen = asked.mapInArrow(look, kinds).groupBy("host", "a", "b", "shape").agg(F.sum("n").alias("n"))
+    tokens = named.agg(F.sum(F.aggregate("classes", F.lit(0), lambda s, c: s + F.size(c["tokens"])))).first()[0] or 0
+    asked = pages.join(common.maybe_broadcast(named, tokens, BROADCAST_TOKENS), F.col("host") == F.col("class_host")).select("host", "html", "classes")
+    sums = [F.sum(c).alias(c) for c in ("n", "weight", "chars", "article")]
+    seen = common.materialize(asked.mapInArrow(look, kinds).groupBy("host", "a", "b", "shape").agg(*sums), "html-looks")
     most = F.max(F.struct("n", "shape"))
     agreed = (most["n"] >= AGREE * F.sum("n")) & (most["shape"] != BROKEN)
-    looks = seen.groupBy("host", "a", "b").agg(agreed.alias("agreed"))
+    looks = seen.where("a >= 0").groupBy("host", "a", "b").agg(agreed.alias("agreed"))
     looks = looks.groupBy("host").agg(F.collect_list(F.struct("a", "b", "agreed")).alias("looks"))  # by pairs of its few classes
-    both = looks.join(named, F.col("host") == F.col("class_host")).select("host", "classes", "looks")
-    return both.mapInArrow(choose, "host string, root array<long>, inner array<long>")
+    slots = seen.where("a < 0").groupBy(F.col("host").alias("slot_host")).agg(F.collect_list(F.struct("shape", "weight", "chars", "article")).alias("slots"))  # as many as a page has
+    both = looks.join(named, F.col("host") == F.col("class_host")).join(slots, F.col("host") == F.col("slot_host"), "left")
+    both = both.select("host", "classes", "looks", F.coalesce("slots", F.array().cast("array<struct<shape:bigint,weight:double,chars:double,article:double>>")).alias("slots"))
+    return both.mapInArrow(choose, "host string, root array<long>, kept array<long>, inner array<long>")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, root and inner: the tokens of its template, one row a host. Copies of a page add no support."""
+    """host, root, kept and inner: its template, one row a host. Copies of a page add no support."""
     distinct = once(pages)
     return nested(common.materialize(classes_of(distinct), "html-classes"), distinct)
 
 
-def main_text(page: str, root: set[int], inner: set[int] | frozenset[int] = frozenset()) -> str:
-    """The blocks of the slots that are kept, joined by two line ends.
+def main_text(page: str, root: set[int], inner: set[int] | frozenset[int] = frozenset(), kept: set[int] | None = None) -> str:
+    """The blocks of the slots that are kept (all, without ``kept``), joined by two line ends.
 
     The root's text is never content. A class in a slot is what its slot is: content in an article, frame elsewhere.
     """
     runs = parse(page)
+    found = _blocks(runs, root, inner, kept)
+    if not found and root and kept is not None:  # the page does not follow the template
+        found = _blocks(runs, root, inner, None)
+    return "\n\n".join(found)
+
+
+def _blocks(runs: list[tuple[str, str, bool, bool, bool]], root: set[int], inner: set[int] | frozenset[int], kept: set[int] | None) -> list[str]:
     has_article = any(article and text and not text.isspace() for _, text, _, article, _ in runs)
     blocks: list[list[str]] = []
-    broken = True
+    broken, chosen = True, kept is None or 0 in kept
     for path, text, framed, article, fresh in runs:
+        token = token_hash(path, text) if (root or inner) and (not text or not text.isspace()) else None
+        if token in root:
+            chosen = kept is None or token in kept
+            broken |= bool(text) and fresh
+            continue
         if not text:
             continue
         broken |= fresh
-        if framed or (has_article and not article):
+        if framed or not chosen or (has_article and not article) or (token in inner and not has_article):
             continue
-        if (root or inner) and not text.isspace():
-            token = token_hash(path, text)
-            if token in root or not has_article and token in inner:
-                continue
         if broken:
             blocks.append([])
             broken = False
         blocks[-1].append(text)
     whole = (_SPACE.sub(" ", entities.unescape("".join(b))).strip() for b in blocks)
-    return "\n\n".join(b for b in whole if b)
+    return [b for b in whole if b]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -352,7 +436,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     slim = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
     slim = slim.withColumn("host", urls.host_of(F.col("url")))
     found = common.materialize(templates(slim.select("page_id", "host", "html")).withColumnRenamed("host", "template_host"), "html-templates")
-    joined = slim.join(common.maybe_broadcast(found, found.count(), 20_000), F.col("host") == F.col("template_host"), "left")
+    tokens = found.agg(F.sum(F.size("root") + F.size("kept") + F.size("inner"))).first()[0] or 0
+    joined = slim.join(common.maybe_broadcast(found, tokens, BROADCAST_TOKENS), F.col("host") == F.col("template_host"), "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,13 +445,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = []
             for i, (page, host) in enumerate(zip(batch.column(2).to_pylist(), hosts, strict=True)):
                 if host not in known:
-                    known[host] = tuple(set(batch.column(c)[i].as_py() or ()) for c in (4, 5))
+                    root, kept, inner = (batch.column(c)[i].as_py() for c in (4, 5, 6))
+                    known[host] = set(root or ()), set(inner or ()), set(kept) if root else None
                 texts.append(main_text(page or "", *known[host]))
             lengths = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), lengths], ["page_id", "url", "text", "n_chars"])
 
     own = slim.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "host", "root", "inner").mapInArrow(read, f"page_id {own}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "host", "root", "kept", "inner").mapInArrow(read, f"page_id {own}, url string, text string, n_chars long")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

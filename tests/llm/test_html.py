@@ -45,6 +45,47 @@ def test_all_pages_against_their_articles(spark):
         assert got[row["page_id"]]["n_chars"] == len(got[row["page_id"]]["text"])
 
 
+def test_the_template_decides_where_names_tell_nothing(spark):
+    """The given pages with their article, advert class and menus renamed give the same text, by the slots of the template."""
+    names = {"<article>": "<div>", "</article>": "</div>", 'class="ad"': 'class="k"', "<nav>": "<div id=z>", "</nav>": "</div>"}
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    renamed = "html"
+    for old, new in names.items():
+        renamed = f"replace({renamed}, '{old}', '{new}')"
+    hidden = pages.selectExpr("page_id", "url", f"{renamed} AS html")
+    counted = {r["h"]: r["n"] for r in rows_of(pages.selectExpr("lower(regexp_extract(url, '://([^/?#]*)', 1)) AS h").groupBy("h").count().withColumnRenamed("count", "n"))}
+    want = {r["page_id"]: r["text"] for r in rows_of(html_extract.extract(pages))}
+    got = rows_of(html_extract.extract(hidden))
+    host = lambda url: re.search("://([^/?#]*)", url)[1].lower()
+    many = [r for r in got if counted[host(r["url"])] >= html_extract.MIN_PAGES]
+    assert len(many) > 150
+    same = sum(r["text"] == want[r["page_id"]] for r in many)
+    assert same >= 0.98 * len(many), (same, len(many))
+    html_of = {r["page_id"]: r["html"] for r in rows_of(hidden)}
+    emptied = {i: html_extract.main_text(h, set()) for i, h in html_of.items()}
+    assert all(emptied[r["page_id"]] != r["text"] for r in many)  # without a template, other text
+    assert sum(emptied[r["page_id"]] == want[r["page_id"]] for r in many) == 0
+
+
+def test_slots_of_little_text_are_frame():
+    heavy, light, article = [900.0, 900.0, 0.0], [30.0, 300.0, 0.0], [40.0, 10.0, 10.0]
+    assert html_extract.chosen_slots({1: heavy, 2: light, 3: article}) == [1]
+    assert html_extract.chosen_slots({1: [3600.0, 900.0, 900.0], 2: light, 3: article}) == [1, 3]
+    assert html_extract.chosen_slots({}) == []
+
+
+def test_a_hot_host(spark):
+    """A host of a third of all rows, and copies of one page, change nothing for the others."""
+    rows = [(i, f"https://hot/{i}", f"<body><div>Site</div><div><p>Text {i} {'word ' * 30}</p></div></body>") for i in range(300)]
+    rows += [(1000 + i, "https://hot/x", "<body><div>Site</div><div><p>Same</p></div></body>") for i in range(300)]
+    rows += [(2000 + i, f"https://h{i % 60}/{i}", f"<body><div>S</div><div><p>Own {i} {'more ' * 20}</p></div></body>") for i in range(600)]
+    got = rows_of(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)))
+    assert len(got) == 1200
+    for r in got:
+        k = r["page_id"]
+        assert r["text"] == (f"Text {k} {'word ' * 30}" if k < 1000 else "Same" if k < 2000 else f"Own {k - 2000} {'more ' * 20}").strip()
+
+
 def site(spark, n, host="h.example"):
     page = '<html><body><div>Site name</div><div class="x"><span>Home</span></div><div><p>Own text {i} of page {i}.</p><p>More {i}</p></div><div>Imprint</div></body></html>'
     rows = [(i, f"https://{host}/{i}", page.format(i=i)) for i in range(n)]
