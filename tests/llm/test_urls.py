@@ -47,6 +47,28 @@ def test_scores_match_a_sum_by_hand(spark, model):
     assert len(set(parts)) == len(parts) and abs(got - (intercept + sum(weights[b] for b in parts))) < 1e-9
 
 
+def _stem(host):
+    """The host's own word: its labels without www, m or blog before it and the domain behind it."""
+    labels = [x for x in host.split(".") if x not in ("www", "m", "blog", "example", "com", "net", "org")]
+    return ".".join(labels)
+
+
+def test_labelled_hosts_are_none_of_the_given_ones(spark):
+    given = {_stem(r["h"]) for r in rows_of(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select(urls.host_of(F.col("url")).alias("h")).distinct())}
+    labelled = {_stem(r["h"]) for r in rows_of(urls.labelled_urls(spark).select(urls.host_of(F.col("url")).alias("h")).distinct())}
+    assert given and labelled and not given & labelled
+
+
+def test_accuracy_on_the_given_hosts(spark, model):
+    """Of hosts that the labelled table lacks: those named for bets, pills, adults, spam, casinos and ads are to be blocked."""
+    bad = {"free-bets", "cheap-pills", "adult-x", "spam-farm", "casino-win", "ads-track"}
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = rows_of(urls.judge(pages.select("url"), *model).select("host", (F.col("score") > 0).alias("block")))
+    caught = [r["block"] for r in got if _stem(r["host"]) in bad]
+    left = [not r["block"] for r in got if _stem(r["host"]) not in bad]
+    assert sum(caught) >= 0.9 * len(caught) and sum(left) >= 0.9 * len(left)
+
+
 def test_held_out_words(spark, model):
     """Hosts that only share parts of words with the labelled table."""
     block = ["best-bets", "cheap-pills-online", "adult-videos", "spam-links", "casino-bonus", "poker-win"]
@@ -57,6 +79,14 @@ def test_held_out_words(spark, model):
     assert right >= 10
 
 
+def test_long_urls_and_clashing_names(spark, model):
+    long = "https://a.org/" + "path/" * 50_000
+    df = spark.createDataFrame([(1, long, "mine", "mine", "mine", 7.0, "mine", "kept")], "page_id long, url string, host string, path string, rule string, score double, verdict string, extra string")
+    row = urls.judge(df, *model).first()
+    assert row["host"] == "a.org" and row["path"] == long[len("https://a.org") :] and row["rule"] is None
+    assert row["verdict"] in ("allow", "block") and row["extra"] == "kept" and len(row) == 8
+
+
 def test_no_python_in_the_plan(spark):
     plan = urls.op6_url_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|ExternalRDD", plan)
