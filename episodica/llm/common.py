@@ -54,7 +54,15 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
-def unit_hash(*cols) -> F.Column:
-    """A uniform double in [0, 1) from the md5 of the joined columns (nulls count as an empty word)."""
+def hash_bits(*cols) -> F.Column:
+    """52 bits from the md5 of the joined columns (nulls count as an empty word)."""
     joined = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
-    return F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    return F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("long")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

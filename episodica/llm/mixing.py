@@ -1,13 +1,15 @@
 """Mixing sources to target weights.
 
 Tokens are aggregated per source, a weighted share with a cap gives each source a target, and a document is emitted
-``floor(rate)`` times plus one hash-seeded Bernoulli copy. The draw compares the document's hash, uniform in [0, 1), to
-a threshold for its source. The threshold is the fraction of the rate, set where the words of the documents below it
-come nearest the wanted words (on a grid of ``GRID`` steps), so that a source of few or uneven documents meets its
-target too. Emission is map-only; only sums per source and grid step are shuffled.
-
-Defined cases: null text has size 0; a null source is a source of its own, last in order; a source without words has
-target 0 and emits nothing; equal ``doc_id`` (and null ones) share a draw; an empty table gives an empty result.
+``floor(rate)`` times plus one hash-seeded Bernoulli copy with probability equal to the fraction of the rate. A document's
+hash is a place on a circle, and it is copied if it lies in an arc as long as the fraction. Each of ``SEEDS`` seeds turns
+the arc by another step, which leaves the probability as it is; a source takes the seed whose words come nearest its
+target, so that a source of few or uneven documents meets its target too. Emission is map-only; only sums per source and
+step are shuffled.
+
+Defined cases: null text has size 0, a long one is counted whole; a null source is a source of its own, last in order; a
+source without words has target 0 and emits nothing; rows of equal ``doc_id`` share a draw, and of null ones those of
+equal texts; an empty table gives an empty result; other columns pass through ``mix_sources``.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Steps of the draw's threshold.
-GRID = 1024
+#: Seeds that a source may take, and the bits of a hash and of a seed's step.
+SEEDS = 1024
+BITS, STEP_BITS = 52, 42
 #: Weights that the sources take in turn.
 WEIGHTS = (1, 2, 3)
 #: A target stops at so many times its source's size.
@@ -31,18 +34,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    return common.unit_hash(F.lit(seed), doc_id)
+def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A place on a circle of 2^52 steps, by the id; where that is null, by the text."""
+    return common.hash_bits(F.lit(seed), F.coalesce(doc_id.cast("string"), F.md5(text)))
 
 
 def source_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """One row per source: source_size, target, whole copies, threshold of the extra copy.
+    """One row per source: source_size, target, whole copies, arc and seed of the extra copy.
 
-    ``sized`` has source, size and u. Sums are partial on the map side; the rows that meet are sources times grid steps.
+    ``sized`` has source, size and h (see ``draw``), and is read twice. Sums are partial on the map side; the rows that
+    meet are sources times seeds.
     """
-    step = F.least(F.floor(F.col("u") * GRID), F.lit(GRID - 1)).cast("int")
-    cells = common.materialize(sized.groupBy("source", step.alias("step")).agg(F.sum("size").alias("words")), "mix-cells")
-    src = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
+    src = common.materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     # the windows without a partition run over sources, not documents
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))).cast("int")
@@ -61,41 +64,57 @@ def source_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat
         .withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
         .withColumn("whole", F.floor("rate").cast("int"))
         .withColumn("wanted", (F.col("rate") - F.col("whole")) * F.col("source_size"))
-        .select("source", "source_size", "target", "whole", "wanted")
+        .withColumn("arc", F.floor((F.col("rate") - F.col("whole")) * F.lit(float(1 << BITS))).cast("long"))
+        .select("source", "source_size", "target", "whole", "wanted", "arc")
     )
-    # the step at whose end the words so far come nearest the wanted words; step 0 takes none
-    steps = cells.unionByName(src.select("source", F.lit(-1).alias("step"), F.lit(0).cast("long").alias("words")))
+    src = common.materialize(src, "mix-targets")
+    named = src.select(F.col("source").alias("s"), "arc")
+    of = sized.join(common.maybe_broadcast(named, src.count()), F.col("source").eqNullSafe(F.col("s")))
+    step, rest = F.shiftright("h", STEP_BITS).cast("int"), lambda c: F.col(c).bitwiseAND((1 << STEP_BITS) - 1)
+    cells = of.groupBy("source", step.alias("step")).agg(F.sum("size").alias("words"), F.sum(F.when(rest("h") < rest("arc"), F.col("size")).otherwise(0)).alias("part"))
+    cells = common.materialize(cells.withColumnRenamed("source", "s").withColumnRenamed("step", "at"), "mix-cells")
+    steps = src.select("*", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))).alias("step"))
+    steps = steps.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("step") == F.col("at")), "left").drop("s", "at")
     run = Window.partitionBy("source").orderBy("step")
-    steps = steps.withColumn("so_far", F.sum("words").over(run))
-    plan = src.withColumnRenamed("source", "plan_source").join(steps, F.col("plan_source").eqNullSafe(F.col("source")))
-    miss = F.abs(F.col("so_far") - F.col("wanted"))
-    return plan.groupBy("source", "source_size", "target", "whole").agg(
-        F.min_by("step", F.struct(miss, F.col("step"))).alias("last_step")
-    ).withColumn("threshold", (F.col("last_step") + 1) / F.lit(float(GRID))).drop("last_step")
+    every = Window.partitionBy("source")
+    steps = steps.withColumns({"words": F.coalesce("words", F.lit(0)), "part": F.coalesce("part", F.lit(0))})
+    steps = common.materialize(steps.withColumns({"before": F.sum("words").over(run) - F.col("words"), "total": F.sum("words").over(every)}), "mix-steps")
+    # an arc from step k takes whole steps up to another one, and of that a part
+    last = F.col("step") + F.shiftright("arc", STEP_BITS)
+    arcs = steps.withColumns({"last": F.pmod(last, F.lit(SEEDS)), "turn": F.when(last >= SEEDS, F.col("total")).otherwise(0)})
+    ends = steps.select(F.col("source").alias("s"), F.col("step").cast("long").alias("at"), (F.col("before") + F.col("part")).alias("end"))
+    arcs = arcs.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("last") == F.col("at")))
+    miss = F.abs(F.col("turn") + F.col("end") - F.col("before") - F.col("wanted"))
+    best = F.min_by(F.struct("source_size", "target", "whole", "arc", F.col("step").alias("seed")), F.struct(miss, F.col("step")))
+    return arcs.groupBy("source").agg(best.alias("b")).select("source", "b.*")
 
 
 def with_copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """``docs`` (source, u and any other columns) with ``copies``, the times each document is emitted."""
+    """``docs`` (source, h and any other columns) with ``copies``, the times each document is emitted."""
     plan = common.materialize(plan.withColumnRenamed("source", "plan_source"), "mix-plan")
     joined = docs.join(common.maybe_broadcast(plan, plan.count()), docs["source"].eqNullSafe(plan["plan_source"]), "left")
-    return joined.withColumn("copies", F.col("whole") + (F.col("u") < F.col("threshold")).cast("int"))
+    turned = F.pmod(F.col("h") - F.shiftleft(F.col("seed").cast("long"), STEP_BITS), F.lit(1 << BITS))
+    return joined.withColumn("copies", F.col("whole") + (turned < F.col("arc")).cast("int"))
+
+
+def sized_rows(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size and h of ``docs``, written, so that texts are read and counted once."""
+    size = word_count(docs["text"]).alias("size")
+    return common.materialize(docs.select("doc_id", "source", size, draw(docs["doc_id"], docs["text"], seed).alias("h")), "mix-sizes")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
     """Emit every document of ``docs`` (doc_id, text, source, ...) as often as the mix takes it, columns unchanged."""
     columns = [docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    own = docs.select(*columns, docs["source"].alias("source"), draw(docs["doc_id"], seed).alias("u"))
-    sized = docs.select("source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("u"))
-    taken = with_copies(own, source_plan(sized, weights, max_repeat)).where("copies > 0")
+    own = docs.select(*columns, docs["source"].alias("source"), draw(docs["doc_id"], docs["text"], seed).alias("h"))
+    taken = with_copies(own, source_plan(sized_rows(docs, seed), weights, max_repeat)).where("copies > 0")
     taken = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return taken.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id")).alias("u"))
-    sized = common.materialize(sized, "mix-sizes")  # the texts are read and counted once
-    out = with_copies(sized, source_plan(sized.select("source", "size", "u")))
+    sized = sized_rows(common.read(spark, sf_dir, "documents"))
+    out = with_copies(sized, source_plan(sized))
     return out.select(
         "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target",
         (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "copies",
@@ -105,10 +124,9 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, md5(text), '')), 1, 13))::BIGINT AS h
   FROM documents),
-cells AS (SELECT source, least(floor(u * 1024), 1023)::INT AS step, sum(size)::BIGINT AS words FROM sized GROUP BY ALL),
-src0 AS (SELECT source, sum(words)::BIGINT AS source_size FROM cells GROUP BY source),
+src0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 src1 AS (SELECT *, ((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM src0),
 src2 AS (SELECT *, 3.0::DOUBLE * source_size AS cap FROM src1),
 src3 AS (
@@ -121,15 +139,28 @@ water AS (SELECT arg_min(level, cap / weight) AS water FROM (
   SELECT *, row_number() OVER (ORDER BY cap / weight, encode(source) NULLS LAST) AS k FROM src4 WHERE level <= cap / weight) WHERE k = 1),
 src5 AS (SELECT source, source_size, least(cap, weight * water) AS target FROM src4, water),
 src6 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM src5),
-src7 AS (SELECT *, floor(rate)::INT AS whole, (rate - floor(rate)) * source_size AS wanted FROM src6),
+src7 AS (
+  SELECT *, floor(rate)::INT AS whole, (rate - floor(rate)) * source_size AS wanted,
+         floor((rate - floor(rate)) * 4503599627370496.0::DOUBLE)::BIGINT AS arc
+  FROM src6),
+cells AS (
+  SELECT d.source, (d.h >> 42)::INT AS step, sum(d.size)::BIGINT AS words,
+         sum(CASE WHEN d.h & 4398046511103 < s.arc & 4398046511103 THEN d.size ELSE 0 END)::BIGINT AS part
+  FROM sized d JOIN src7 s ON d.source IS NOT DISTINCT FROM s.source GROUP BY ALL),
 steps AS (
-  SELECT source, step, sum(words) OVER (PARTITION BY source ORDER BY step) AS so_far
-  FROM (SELECT * FROM cells UNION ALL SELECT source, -1, 0 FROM src0)),
-plan AS (
-  SELECT s.source, s.source_size, s.target, s.whole,
-         (arg_min(t.step, abs(t.so_far - s.wanted) * 2048 + (t.step + 1) * 0.0000001) + 1) / 1024.0::DOUBLE AS threshold
-  FROM src7 s JOIN steps t ON s.source IS NOT DISTINCT FROM t.source GROUP BY ALL)
-SELECT d.doc_id, d.size, p.source_size, p.target, (d.size * (p.whole + (d.u < p.threshold)::INT))::BIGINT AS taken,
-       d.source, (p.whole + (d.u < p.threshold)::INT)::INT AS copies
-FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+  SELECT s.*, t.step, coalesce(c.words, 0) AS words, coalesce(c.part, 0) AS part,
+         coalesce(sum(c.words) OVER (PARTITION BY s.source ORDER BY t.step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         coalesce(sum(c.words) OVER (PARTITION BY s.source), 0) AS total
+  FROM src7 s CROSS JOIN range(1024) t(step) LEFT JOIN cells c ON c.source IS NOT DISTINCT FROM s.source AND c.step = t.step),
+arcs AS (
+  SELECT a.source, a.source_size, a.target, a.whole, a.arc, a.step AS seed,
+         row_number() OVER (PARTITION BY a.source ORDER BY abs(
+           CASE WHEN a.step + (a.arc >> 42) >= 1024 THEN a.total ELSE 0 END + e.before + e.part - a.before - a.wanted), a.step) AS k
+  FROM steps a JOIN steps e ON a.source IS NOT DISTINCT FROM e.source AND (a.step + (a.arc >> 42)) % 1024 = e.step),
+plan AS (SELECT * FROM arcs WHERE k = 1),
+taken AS (
+  SELECT d.*, p.source_size, p.target,
+         (p.whole + ((d.h - (p.seed::BIGINT << 42) + 4503599627370496) % 4503599627370496 < p.arc)::INT)::INT AS copies
+  FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, source, copies FROM taken
 """

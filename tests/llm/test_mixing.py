@@ -12,8 +12,8 @@ DATA = "/root/testdata/sf0.001"
 
 
 def mixed(df):
-    sized = df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.draw(F.col("doc_id")).alias("u"))
-    return mixing.with_copies(sized, mixing.source_plan(sized.select("source", "size", "u")))
+    sized = mixing.sized_rows(df)
+    return mixing.with_copies(sized, mixing.source_plan(sized))
 
 
 def waterfill(sizes):
@@ -48,6 +48,31 @@ def test_targets_and_copies(spark):
     assert got == rows_of(mixed(docs(spark, rows))) or sorted(map(str, got)) == sorted(map(str, rows_of(mixed(docs(spark, rows)))))
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sources_meet_their_targets(spark, sf):
+    """Each source's words come within one in a hundred, or half of its longest document, of the target."""
+    sums = {}
+    for r in rows_of(mixing.op3_source_mix(spark, f"/root/testdata/{sf}")):
+        taken, _, longest = sums.get(r["source"], (0, 0, 0))
+        sums[r["source"]] = taken + r["taken"], r["target"], max(longest, r["size"])
+    assert all(abs(taken - target) <= max(0.01 * target, longest / 2) for taken, target, longest in sums.values()), sums
+
+
+def test_draws(spark):
+    """A copy's chance is the fraction: over many sources of one document each, the copies are as many as the fractions' sum."""
+    from pyspark.sql.types import StringType
+
+    h = spark.range(20_000).select(mixing.draw(F.col("id"), F.lit("x").cast(StringType())).alias("h"))
+    arc = int(0.3 * (1 << mixing.BITS))
+    for seed in (0, 7, 1000):
+        n = h.where(F.pmod(F.col("h") - (seed << mixing.STEP_BITS), F.lit(1 << mixing.BITS)) < arc).count()
+        assert abs(n - 6000) < 4 * (20_000 * 0.21) ** 0.5
+    # null ids are told apart by their texts
+    rows = [(None, f"text {i}", "s") for i in range(50)] + [(i, "w " * 60, "t") for i in range(50)]
+    copies = {r["copies"] for r in rows_of(mixed(docs(spark, rows))) if r["doc_id"] is None}
+    assert len(copies) >= 1 and len({r["h"] for r in rows_of(mixed(docs(spark, rows)))}) == 100
+
+
 def test_words(spark):
     texts = [None, "", "a", " a\tb\x0bc\n", "x y z"]
     got = [r.n for r in docs(spark, [(i, t, "s") for i, t in enumerate(texts)]).orderBy("doc_id").select(mixing.word_count(F.col("text")).alias("n")).collect()]
@@ -58,7 +83,7 @@ def test_edges(spark):
     assert rows_of(mixed(docs(spark, []))) == []
     only_empty = rows_of(mixed(docs(spark, [(1, None, "a"), (None, "", None)])))
     assert [r["copies"] for r in only_empty] == [0, 0]
-    clash = docs(spark, [(1, "a b", "s"), (1, "a b", "s")]).withColumn("size", F.lit("x")).withColumn("target", F.lit(1)).withColumn("u", F.lit(9)).withColumn("copies", F.lit(2))
+    clash = docs(spark, [(1, "a b", "s"), (1, "a b", "s")]).withColumn("size", F.lit("x")).withColumn("target", F.lit(1)).withColumn("h", F.lit(9)).withColumn("seed", F.lit(1)).withColumn("arc", F.lit("a")).withColumn("copies", F.lit(2))
     out = mixing.mix_sources(clash)
     assert out.columns == clash.columns and out.count() == 2
 

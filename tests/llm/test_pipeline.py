@@ -37,10 +37,8 @@ def test_stages_keep_columns_and_decide(spark):
 
 
 def _copies(df):
-    from pyspark.sql import functions as F
-
-    sized = df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.draw(F.col("doc_id")).alias("u"))
-    return mixing.with_copies(sized, mixing.source_plan(sized.select("source", "size", "u")))
+    sized = mixing.sized_rows(df)
+    return mixing.with_copies(sized, mixing.source_plan(sized))
 
 
 def test_empty(spark):
