@@ -2,9 +2,15 @@
 
 Documents are tokenised where they lie and cut only beyond ``capacity``. Each partition packs its pieces by best fit,
 longest first, and closes the bins that are nearly full. The underfull bins go up a tree: nodes of ``FAN_IN`` groups
-take them as items, fit them again and close what is nearly full, until one node is left. A node hands up at most
-``MAX_UP`` bins, the emptiest; the others are whole sequences already and are closed as they are, so no node holds more
-than ``FAN_IN * MAX_UP`` bins whatever the input. Only (bin, fill) rows move; pieces are joined to their sequence once.
+take them as items, fit them again and close what is nearly full, until one node is left. Only (bin, fill) rows move;
+pieces are joined to their sequence once.
+
+What a node closes can never be filled further, so nothing is lost by it. Of two bins of one best fit, the fills sum to
+more than ``capacity`` (the first item of the later one did not fit the earlier one), so at most one is filled to a half
+or less, and any later union has such a bin in it. A node above takes ``FAN_IN`` groups and so at most that many of these;
+if one of them fits any bin of a group, it fits one of the ``FAN_IN`` emptiest. So a node hands up its ``FAN_IN + 1``
+emptiest bins with room and closes the others, and a node holds at most ``FAN_IN * (FAN_IN + 1)`` bins whatever the
+input; a bin of it has at most ``capacity`` leaves, as each holds a token.
 
 Defined cases: null text is empty, and an empty document is the end id alone; ties keep the order of the input; repeated
 rows are packed each; an empty table gives an empty result; other columns are not read.
@@ -29,10 +35,7 @@ from . import common
 
 CAPACITY = 2_048
 END_ID = 0
-#: A bin with at most so much room left is nearly full.
-SLACK = 8
 FAN_IN = 8
-MAX_UP = 20_000
 CACHE_ROWS = 800_000
 #: Pieces that a partition of the first round packs together, about.
 LOCAL_PIECES = 50_000
@@ -147,16 +150,13 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, places, np.asarray(fill, np.int64)
 
 
-def _up(fill: np.ndarray, capacity: int, slack: int, max_up: int) -> np.ndarray:
-    """Which bins go up: those with room, the emptiest ``max_up`` of them."""
-    up = fill < capacity - slack
-    if up.sum() > max_up:
-        keep = np.argsort(fill, kind="stable")[:max_up]
-        up &= np.isin(np.arange(len(fill)), keep)
-    return up
+def _up(fill: np.ndarray, capacity: int, fan_in: int) -> np.ndarray:
+    """Which bins go up: the emptiest ``fan_in + 1`` of those with room."""
+    emptiest = np.argsort(fill, kind="stable")[: fan_in + 1]
+    return (fill < capacity) & np.isin(np.arange(len(fill)), emptiest)
 
 
-def _node(level: int, root: bool, capacity: int, slack: int, max_up: int):
+def _node(level: int, root: bool, capacity: int, fan_in: int):
     """The function that fits the bins of one node again."""
 
     def node(rows: pd.DataFrame) -> pd.DataFrame:
@@ -164,14 +164,14 @@ def _node(level: int, root: bool, capacity: int, slack: int, max_up: int):
         _, index = np.unique(rows["top"].to_numpy(), return_inverse=True)
         sizes = np.bincount(index, weights=rows["fill"].to_numpy()).astype(np.int64)
         bins, places, fill = best_fit(sizes, capacity)
-        up = np.zeros(len(fill), bool) if root else _up(fill, capacity, slack, max_up)
+        up = np.zeros(len(fill), bool) if root else _up(fill, capacity, fan_in)
         group = int(rows["group"].iloc[0])
         return rows.assign(top=(level << 56) + (group << 32) + bins[index], at=rows["at"].to_numpy() + places[index], up=up[bins[index]])
 
     return node
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan_in: int = FAN_IN, max_up: int = MAX_UP) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN) -> DataFrame:
     """``pieces`` (length and any other columns) with sequence_id and offset."""
     columns = pieces.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
@@ -182,7 +182,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan_in
         if not len(rows):
             return
         bins, places, fill = best_fit(rows["length"].to_numpy(np.int64), capacity)
-        up = _up(fill, capacity, slack, max_up)
+        up = _up(fill, capacity, fan_in)
         yield rows.assign(bin=(task << 32) + bins, place=places, up=up[bins], part=task)
 
     first = common.materialize(pieces.mapInPandas(local, f"{schema}, bin long, place long, up boolean, part long"), "pack-local")
@@ -199,7 +199,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan_in
         root = groups == 0
 
         moved = state.withColumn("group", F.floor(F.col("group") / fan_in).cast("long"))
-        moved = moved.groupBy("group").applyInPandas(_node(level, root, capacity, slack, max_up), "bin long, fill long, top long, at long, group long, up boolean")
+        moved = moved.groupBy("group").applyInPandas(_node(level, root, capacity, fan_in), "bin long, fill long, top long, at long, group long, up boolean")
         moved = common.materialize(moved, f"pack-level{level}")
         settled.append(moved.where("not up").select("bin", "top", "at"))
         if root:

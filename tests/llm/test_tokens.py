@@ -77,7 +77,7 @@ def test_tree_of_parts(spark):
     rng = np.random.default_rng(1)
     rows = [(int(i), int(n)) for i, n in enumerate(rng.integers(1, 100, 3000))]
     pieces = spark.createDataFrame(rows, "doc_id long, length long").repartition(40)
-    got = rows_of(packing.pack(pieces, capacity=128, slack=2, fan_in=4, max_up=7))
+    got = rows_of(packing.pack(pieces, capacity=128, fan_in=4))
     assert sorted((r["doc_id"], r["length"]) for r in got) == rows
     fill = {}
     for r in got:
@@ -88,6 +88,27 @@ def test_tree_of_parts(spark):
     assert len(fill) <= 1.1 * sum(n for _, n in rows) / 128
 
 
+def test_what_a_node_closes_cannot_be_filled(spark):
+    """Long pieces that no two fit together, and short ones elsewhere: every short one that fits goes in, and nodes stay small."""
+    rng = np.random.default_rng(2)
+    long = [int(n) for n in rng.integers(66, 110, 1200)]
+    rows = [(i, n) for i, n in enumerate(long)] + [(2000 + i, 12) for i in range(12)]
+    schema = "doc_id long, length long"
+    # each of the first parts holds long pieces only, each of the last a short one only
+    parts = [rows[k : k + 300] for k in range(0, 1200, 300)] + [[r] for r in rows[1200:]]
+    pieces = spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(lambda part: part), schema)
+    got = rows_of(packing.pack(pieces, capacity=128, fan_in=4))
+    assert len(got) == len(rows) and len({r["sequence_id"] for r in got}) == 1200
+
+
+@pytest.mark.parametrize("sizes", [[1400, 1100, 1300] * 50, [700, 600, 1, 2, 2000] * 40])
+def test_two_bins_never_fit_together(sizes):
+    _, _, fill = packing.best_fit(np.asarray(sizes), 2048)
+    low = np.sort(fill)
+    assert len(low) < 2 or low[0] + low[1] > 2048
+    assert packing._up(fill, 2048, 8).sum() <= 9
+
+
 def test_nothing_to_pack(spark):
     assert rows_of(packing.pack_documents(docs(spark, []))) == []
     twice = rows_of(packing.pack_documents(docs(spark, [(None, "a b", "s"), (None, "a b", "s")])))
