@@ -3,12 +3,15 @@
 Overlapping heuristic labellers vote good, bad or abstain on each text. The counts of vote patterns over all documents
 (at most 3 to the number of labellers, whatever the corpus) go to an expectation-maximisation that estimates how often
 each labeller gives each vote on good and on bad documents, and so the posterior of each pattern. The posteriors label a
-bounded sample of ``TRAIN_ROWS`` documents, picked by the hash of their id, and train a linear scorer on hashed features:
-runs of character classes and stepped statistics. The scorer judges every document from its whole text.
+sample of at most ``TRAIN_ROWS`` distinct documents, those of least hash of id and text, and train a linear scorer on
+hashed features: runs of character classes and stepped statistics. Where good or bad documents are so rare that the
+sample has few of them, at most ``RARE_ROWS`` more are drawn from all documents of that kind. The scorer judges every
+document from its whole text.
 
 Defined cases: null text is empty; an empty text has no votes and is rejected; short texts get fewer votes, and are kept
-unless what is there speaks against them; equal texts get equal scores; with no votes at all, or votes of one kind only,
-every text that is not empty is kept; an empty table gives an empty result; other columns pass through.
+unless what is there speaks against them; very long texts are read whole; equal texts get equal scores, and rows of equal
+id and text stand once in the sample, however many they are; with no votes at all, or posteriors of one kind only over
+all documents, every text that is not empty is kept; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common, textvec
 
 TRAIN_ROWS = 8_000
+#: Documents of a kind that the sample has fewer of are drawn from all documents, so many at most.
+RARE_ROWS = 500
 BUCKETS = 4_096
 #: Least probability of being good of a document that is kept.
 KEEP = 0.5
@@ -182,7 +187,7 @@ def fit_linear(text: np.ndarray, bucket: np.ndarray, value: np.ndarray, target:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
     """Weights and bias of the scorer, from the votes on all of ``docs`` and a sample of ``rows`` of them."""
-    slim = docs.select(F.xxhash64(docs[id_col].cast("string")).alias("h"), docs[text_col].alias("text"))
+    slim = docs.select(F.xxhash64(docs[id_col].cast("string"), docs[text_col]).alias("h"), docs[text_col].alias("text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
@@ -196,30 +201,50 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
     if not len(seen):
         return np.zeros(BUCKETS), 1.0
     posterior, _, _ = estimate(patterns, counts)
+    good = posterior >= 0.5
+    if good.all() or not good.any():  # one kind only, over all documents
+        return np.zeros(BUCKETS), 1.0
+    table = _sample(slim, rows, counts.sum(), None)
+    target = posterior[np.searchsorted(patterns, table.column("pattern").to_numpy())]
+    for kind in (True, False):
+        if ((target >= 0.5) == kind).sum() < min(RARE_ROWS, counts[good == kind].sum()):
+            more = _sample(slim, RARE_ROWS, counts[good == kind].sum(), patterns[good == kind])
+            new = ~np.isin(more.column("h").to_numpy(), table.column("h").to_numpy())
+            table = pa.concat_tables([table, more.filter(pa.array(new))])
+            target = posterior[np.searchsorted(patterns, table.column("pattern").to_numpy())]
+    order = np.argsort(table.column("h").to_numpy(), kind="stable")
+    table, target = table.take(pa.array(order)).combine_chunks(), target[order]
+    bucket, value = table.column("bucket").combine_chunks(), table.column("value").combine_chunks()
+    text = np.repeat(np.arange(table.num_rows), np.diff(bucket.offsets.to_numpy()))
+    return fit_linear(text, bucket.flatten().to_numpy(), value.flatten().to_numpy(), target)
+
+
+def _sample(slim: DataFrame, rows: int, of: float, patterns: np.ndarray | None) -> pa.Table:
+    """h, pattern and features of at most ``rows`` distinct rows of ``slim`` (h, text), of ``patterns`` only if given.
+
+    A share of the hashes leaves about twice as many of the ``of`` rows; of these, those of least hash are taken, so that
+    neither the driver nor a task gets more however often a row is repeated.
+    """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
+        reader, met = Reader(), set()
         for batch in batches:
-            h, at = batch.column(0), 0
+            fresh = [i for i, h in enumerate(batch.column(0).to_pylist()) if not (h in met or met.add(h))]
+            batch, at = batch.take(pa.array(fresh, pa.int64())), 0
             for stats, text, bucket, value in reader.chunks(batch.column(1).to_pylist()):
                 order = np.argsort(text, kind="stable")
                 n = len(stats["words"])
                 offsets = pa.array(np.searchsorted(text[order], np.arange(n + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (bucket, value)]
-                yield pa.RecordBatch.from_arrays([h.slice(at, n), pa.array(votes_of(stats)), *lists], ["h", "pattern", "bucket", "value"])
+                votes = votes_of(stats)
+                own = pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(votes), *lists], ["h", "pattern", "bucket", "value"])
+                yield own if patterns is None else own.filter(pa.array(np.isin(votes, patterns)))
                 at += n
 
-    share = min(1.0, rows / counts.sum())
-    chosen = slim.where(F.pmod("h", F.lit(1_000_000)) < F.lit(int(np.ceil(share * 1_000_000))))
-    table = chosen.mapInArrow(features, "h long, pattern long, bucket array<long>, value array<double>").toArrow()
-    order = np.lexsort((table.column("pattern").to_numpy(), table.column("h").to_numpy()))
-    table = table.take(pa.array(order)).combine_chunks()
-    target = posterior[np.searchsorted(patterns, table.column("pattern").to_numpy())] if table.num_rows else np.zeros(0)
-    if table.num_rows == 0 or target.max() - target.min() < 0.5:  # one kind only
-        return np.zeros(BUCKETS), 1.0
-    bucket, value = table.column("bucket").combine_chunks(), table.column("value").combine_chunks()
-    text = np.repeat(np.arange(table.num_rows), np.diff(bucket.offsets.to_numpy()))
-    return fit_linear(text, bucket.flatten().to_numpy(), value.flatten().to_numpy(), target)
+    share = min(1.0, 2 * rows / of)
+    chosen = slim.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int(np.ceil(share * (1 << 30)))))
+    found = chosen.mapInArrow(features, "h long, pattern long, bucket array<long>, value array<double>").dropDuplicates(["h"])
+    return found.orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(rows).toArrow()
 
 
 def score_of(texts: list[str | None], reader: Reader, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -246,7 +271,8 @@ def with_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the scorer keeps, columns unchanged."""
-    return with_quality(docs, id_col, text_col, "_quality").where(F.col("_quality") >= KEEP).drop("_quality")
+    own = common.free_name(docs, "quality")
+    return with_quality(docs, id_col, text_col, own).where(F.col(own) >= KEEP).drop(own)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

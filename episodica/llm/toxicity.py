@@ -1,13 +1,14 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Features are the distinct words of a text and their beginnings of 4, 5 and 6 bytes, hashed. From a bounded sample of
-``TRAIN_ROWS`` labelled documents (picked by the hash of their id), the documents with and without the label are counted
+Features are the distinct words of a text and their beginnings of 4, 5 and 6 bytes, hashed. From at most ``TRAIN_ROWS``
+distinct labelled documents (those of least hash of id and text), the documents with and without the label are counted
 for each bucket, and the buckets that stand out are kept. Toxic documents are graded by how much of such evidence they
 hold, in thirds: 1, 2 or 3; the others have grade 0. P(grade > k) = 1 / (1 + exp(cut_k - w x)) shares the weights w
 across the ordered cuts, and the expected severity is the sum of these probabilities. Whole texts are read.
 
 Defined cases: null text is empty; a text without words has only the cuts' severity; repeated words count once, equal
-texts score equal; labels that are null or of no document are left out; without a toxic label nothing is toxic; an empty
+texts score equal; very long texts are read whole; labels that are null or of no document are left out, and rows of equal
+id, text and label count once in the sample, however many they are; without a toxic label nothing is toxic; an empty
 table gives an empty result; other columns pass through.
 """
 
@@ -119,14 +120,27 @@ def fit_cumulative(text: np.ndarray, feature: np.ndarray, grade: np.ndarray, fea
     return weights, first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
 
 
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
+    """text and toxic of at most ``rows`` distinct labelled documents, written.
+
+    Labels and documents meet by id as hashes first; the texts are read for the chosen ones only, whose number is bounded.
+    """
+    marked = labels.select(labels[id_col].alias("label_id"), labels[label_col].cast("int").alias("toxic")).where("label_id is not null and toxic in (0, 1)").distinct()
+    marked = common.materialize(marked, "toxic-labels")
+    slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    keys = slim.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"))
+    met = keys.join(common.maybe_broadcast(marked, marked.count()), F.col("doc_id") == F.col("label_id"))
+    met = met.groupBy("doc_id", "key").agg(F.max("toxic").alias("toxic"))  # a document labelled both ways is toxic
+    chosen = met.orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key").limit(rows)
+    chosen = common.materialize(chosen.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), "toxic"), "toxic-chosen")
+    match = (F.col("doc_id") == F.col("own_id")) & (F.xxhash64("text") == F.col("own_key"))
+    sample = slim.join(F.broadcast(chosen), match)  # ``rows`` rows at most
+    return common.materialize(sample.dropDuplicates(["doc_id", "own_key"]).select("text", "toxic"), "toxic-sample")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS):
     """Buckets, their weights and the cuts, from a bounded sample of the labelled rows of ``docs``."""
-    marked = labels.select(labels[id_col].alias("label_id"), labels[label_col].cast("int").alias("toxic")).where("label_id is not null and toxic in (0, 1)")
-    share = min(1.0, rows / max(1, marked.count()))
-    picked = marked.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < F.lit(int(np.ceil(share * 1_000_000))))
-    slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    sample = slim.join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))  # bounded by ``rows``
-    sample = common.materialize(sample.select("text", "toxic"), "toxic-sample")
+    sample = _sample(docs, labels, id_col, text_col, label_col, rows)
     bucket, seen, clean, toxic = _feature_counts(sample)
     nothing = np.zeros(0, np.int64), np.zeros(0), np.array([5.0, 6.0, 7.0])
     if not toxic or not clean:
@@ -194,7 +208,8 @@ def with_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not toxic, columns unchanged."""
-    return with_severity(docs, labels, id_col, text_col, "_severity").where(F.col("_severity.toxic") < TOXIC).drop("_severity")
+    own = common.free_name(docs, "severity")
+    return with_severity(docs, labels, id_col, text_col, own).where(F.col(own)["toxic"] < TOXIC).drop(own)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
