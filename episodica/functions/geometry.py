@@ -63,3 +63,39 @@ def nearest_edge(box: Column, height: float, width: float) -> Column:
 def scatter(values: Column, places: list[int], size: int) -> Column:
     """``values`` at ``places`` of an array of ``size`` zeros."""
     return F.array(*[values[places.index(i)] if i in places else F.lit(0.0) for i in range(size)])
+
+
+def quat_unit(q: Column) -> Column:
+    norm = F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
+    return F.array(*[q[i] / norm for i in range(4)])
+
+
+def rotate(q: Column, v: Column) -> Column:
+    """A vector turned by a unit quaternion: v + 2 u x (u x v + w v), with u its imaginary part."""
+    w, a, b, c = (q[i] for i in range(4))
+    x, y, z = (v[i] for i in range(3))
+    i, j, k = b * z - c * y + w * x, c * x - a * z + w * y, a * y - b * x + w * z
+    return F.array(x + 2 * (b * k - c * j), y + 2 * (c * i - a * k), z + 2 * (a * j - b * i))
+
+
+def clip(x: Column, low: Column, high: Column) -> Column:
+    return F.least(F.greatest(x, low), high)
+
+
+def norm(values: list[Column]) -> Column:
+    """Euclidean length."""
+    return F.sqrt(sum((v * v for v in values[1:]), values[0] * values[0]))
+
+
+def within_box(x: list[Column], centre: list[float], half: list[float]) -> Column:
+    """Whether a point lies in a box of half extents about a centre."""
+    out = F.lit(True)
+    for v, c, h in zip(x, centre, half, strict=True):
+        out = out & (F.abs(v - c) <= h)
+    return out
+
+
+def off_axis(angle: Column) -> Column:
+    """Degrees to the nearest quarter turn."""
+    rest = F.pmod(angle, F.lit(90.0))
+    return F.least(rest, 90.0 - rest)

@@ -5,36 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from episodica.operators import sequence as seq
+from episodica.sources.shared import written
 
-def distribution(value: Column, digits: int = 6) -> list[Column]:
-    """Mean, sample standard deviation, q05, median, q95, least and greatest."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    parts = {"mean": F.avg(value), "std": F.stddev_samp(value), "q05": q(0.05), "median": q(0.5), "q95": q(0.95), "min": F.min(value), "max": F.max(value)}
-    return [F.round(c, digits).alias(n) for n, c in parts.items()]
+
+def distribution(df: DataFrame, keys: list[str], value: str, digits: int = 6) -> DataFrame:
+    """Mean, sample standard deviation, q05, median, q95, least and greatest of each group."""
+    parts = {"mean": F.avg(value), "std": F.stddev_samp(value), "min": F.min(value), "max": F.max(value)}
+    plain = df.groupBy(*keys).agg(*[F.round(c, digits).alias(n) for n, c in parts.items()])
+    q = seq.quantiles(df, keys, value, {"q05": 0.05, "median": 0.5, "q95": 0.95})
+    return plain.join(q.select(*keys, *[F.round(c, digits).alias(c) for c in ("q05", "median", "q95")]), keys, "left")
 
 
 def feature_stats(df: DataFrame, vector: str) -> DataFrame:
     """Count, mean, population standard deviation, extremes and quantiles of each dimension of a vector column."""
     long = df.select(F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    q = {f"q{int(p * 100):02d}": F.percentile("x", F.lit(p)) for p in (0.01, 0.1, 0.5, 0.9, 0.99)}
-    parts = {"mean": F.avg("x"), "std": F.stddev_pop("x"), "min": F.min("x"), "max": F.max("x")} | q
-    return long.groupBy("dim").agg(F.count("x").alias("count"), *[F.round(c, 6).alias(n) for n, c in parts.items()])
-
-
-def quantile_exclusive(ordered: Column, j: int, parts: int = 4) -> Column:
-    """The j-th cut of ``parts`` by the exclusive method (place j * (n + 1) / parts) over a sorted array of two or more."""
-    n = F.size(ordered)
-    place = F.lit(j) * (n + 1)
-    k = F.greatest(F.lit(1), F.least(F.floor(place / parts).cast("int"), n - 1))
-    delta = place - parts * k
-    return (F.element_at(ordered, k) * (parts - delta) + F.element_at(ordered, k + 1) * delta) / parts
+    parts = {"mean": F.avg("x"), "std": F.stddev_pop("x"), "min": F.min("x"), "max": F.max("x")}
+    plain = long.groupBy("dim").agg(F.count("x").alias("count"), *[F.round(c, 6).alias(n) for n, c in parts.items()])
+    wanted = {f"q{int(p * 100):02d}": p for p in (0.01, 0.1, 0.5, 0.9, 0.99)}
+    q = seq.quantiles(long, ["dim"], "x", wanted)
+    return plain.join(q.select("dim", *[F.round(c, 6).alias(c) for c in wanted]), "dim", "left")
 
 
 def tukey_fences(df: DataFrame, keys: list[str], value: str, least: int = 8) -> DataFrame:
-    """Fences 1.5 interquartile ranges outside the exclusive quartiles, of groups of at least ``least`` values."""
-    groups = df.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("a")).where(F.size("a") >= least)
-    q1, q3 = quantile_exclusive(F.col("a"), 1), quantile_exclusive(F.col("a"), 3)
-    fences = groups.withColumns({"q1": q1, "q3": q3})
+    """Fences 1.5 interquartile ranges outside the exclusive quartiles, of groups of at least ``least`` values.
+
+    The j-th quartile by the exclusive method lies at place j * (n + 1) / 4.
+    """
+    low_place = lambda n, j: F.greatest(F.lit(1), F.least(F.floor(F.lit(j) * (n + 1) / 4), n - 1))
+    places = {}
+    for j in (1, 3):
+        places[f"a{j}"] = lambda n, j=j: low_place(n, j)
+        places[f"b{j}"] = lambda n, j=j: low_place(n, j) + 1
+    found = seq.values_at(df, keys, value, places, least)
+    n = F.col("n")
+    delta = lambda j: F.lit(j) * (n + 1) - 4 * low_place(n, j)
+    cut = lambda j: (F.col(f"a{j}") * (4 - delta(j)) + F.col(f"b{j}") * delta(j)) / 4
+    fences = found.withColumns({"q1": cut(1), "q3": cut(3)})
     spread = F.col("q3") - F.col("q1")
     low = F.greatest(F.lit(0.0), F.col("q1") - 1.5 * spread - 0.01)
     return fences.select(*keys, "q1", "q3", low.alias("low"), (F.col("q3") + 1.5 * spread + 0.02).alias("high"))
@@ -42,17 +49,16 @@ def tukey_fences(df: DataFrame, keys: list[str], value: str, least: int = 8) ->
 
 def robust_z(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Deviation from the group's median in scaled median absolute deviations (0 counts as 1e-6)."""
-    mid = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_mid"))
-    off = df.join(mid, keys).withColumn("_off", F.abs(F.col(value) - F.col("_mid")))
-    mad = off.groupBy(*keys).agg(F.percentile("_off", F.lit(0.5)).alias("_mad"))
+    mid = seq.quantiles(df, keys, value, {"_mid": 0.5}).drop("n")
+    off = written(df.join(mid, keys).withColumn("_off", F.abs(F.col(value) - F.col("_mid"))), "off")
+    mad = seq.quantiles(off, keys, "_off", {"_mad": 0.5}).drop("n")
     scale = 1.4826 * F.when(F.col("_mad") == 0, 1e-6).otherwise(F.col("_mad"))
     return off.join(mad, keys).withColumn("z", (F.col(value) - F.col("_mid")) / scale).drop("_mid", "_off", "_mad")
 
 
-def upper_median(value: Column) -> Column:
-    """The element at place n // 2 of the sorted values."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
+def upper_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """The element at place n // 2 of each group's sorted values."""
+    return seq.values_at(df, keys, value, {name: lambda n: F.floor(n / 2) + 1}).drop("n")
 
 
 def mode_vote(df: DataFrame, keys: list[str], signature: str, ordinal: str) -> DataFrame:

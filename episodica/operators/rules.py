@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodica.sources.shared import written
+
 
 def violations(df: DataFrame, record: str, rules: list[tuple[str, Column, str]]) -> DataFrame:
     """A row for each rule that a record breaks, in one pass; a rule is (path, holds, message), null counts as broken."""
@@ -39,11 +41,21 @@ def tri_state(any_fail: Column, any_unknown: Column) -> Column:
     return F.when(any_fail, F.lit(False)).when(any_unknown, F.lit(None).cast("boolean")).otherwise(F.lit(True))
 
 
-def cyclic_nodes(edges: DataFrame, depth: int) -> DataFrame:
-    """Nodes of (graph, a, b) on a cycle: pairs reachable within ``depth`` steps, doubled each round."""
-    reach, span = edges.select("graph", "a", "b").distinct(), 1
-    while span < depth:
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes of (graph, a, b) on a cycle of any length.
+
+    Nodes without an edge in or without one out are peeled off until none is left; of what stays, mostly the cycles
+    themselves, reachable pairs are doubled until no new one is found.
+    """
+    core, size = written(edges.select("graph", "a", "b").distinct(), "edges"), -1
+    while (left := core.count()) != size and left:
+        size = left
+        ends, starts = core.select("graph", F.col("b").alias("a")).distinct(), core.select("graph", F.col("a").alias("b")).distinct()
+        core = written(core.join(ends, ["graph", "a"], "left_semi").join(starts, ["graph", "b"], "left_semi"), "core")
+    reach, size = core.select("graph", "a", "b"), -1
+    while (found := reach.count()) != size and found:
+        size = found
         left, right = reach.alias("l"), reach.alias("r")
         more = left.join(right, (F.col("l.graph") == F.col("r.graph")) & (F.col("l.b") == F.col("r.a"))).select("l.graph", "l.a", "r.b")
-        reach, span = reach.union(more).distinct(), span * 2
+        reach = written(reach.union(more).distinct(), "reach")
     return reach.where("a = b").select("graph", "a").distinct()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int | Column) -> DataFrame:
@@ -26,7 +28,7 @@ def spread(df: DataFrame, keys: list[str], order: list[Column], name: str = "spr
     return level.withColumn(name, (F.row_number().over(w.orderBy("_l", "_p")) - 1).cast("long")).drop("_p", "_n", "_l")
 
 
-def round_robin(df: DataFrame, key: str, within: list[Column], group_order: list[Column], name: str = "turn") -> DataFrame:
+def round_robin(df: DataFrame, key: str, within: list[Column], name: str = "turn") -> DataFrame:
     """A turn for each row: the first of every group, then the second of every group, ..."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*within)).cast("long"))
 
@@ -35,26 +37,23 @@ def greedy_admit(df: DataFrame, keys: list[str], order: list[str], cost: str, ca
     """Rows of a group one by one: admitted if no cap would be passed by what was admitted before.
 
     ``caps`` limits the admitted cost of the rows for which ``classes`` of the same name holds; the first cap that is
-    passed is the reason. A sequential rule is a fold over the group's ordered array, so groups must be of moderate size.
+    passed is the reason. A sequential rule needs one group's rows in one task: one linear pass over each.
     """
     names = list(caps)
-    flags = F.struct(*[classes[n].alias(n) for n in names])
-    rows = F.struct(*order, cost, flags.alias("of"))
-    whole = df.groupBy(*keys).agg(F.array_sort(F.collect_list(rows)).alias("rows"))
-    verdict = "array<struct<" + ",".join(f"{c}:{df.schema[c].dataType.simpleString()}" for c in order) + ",verdict:string>>"
-    sums = F.struct(*[F.lit(0.0).alias(n) for n in names])
-    kind = f"struct<sums:struct<{','.join(f'{n}:double' for n in names)}>,out:{verdict}>"
-    start = F.struct(sums.alias("sums"), F.array().cast(verdict).alias("out")).cast(kind)
-
-    def step(s, r):
-        reason = F.lit(None).cast("string")
-        for n in reversed(names):
-            reason = F.when(r["of"][n] & (s["sums"][n] + r[cost] > caps[n]), n).otherwise(reason)
-        new = F.struct(*[(s["sums"][n] + F.when(reason.isNull() & r["of"][n], r[cost]).otherwise(0.0)).alias(n) for n in names])
-        item = F.struct(*[r[c].alias(c) for c in order], F.coalesce(reason, F.lit("admitted")).alias("verdict"))
-        return F.struct(new.alias("sums"), F.concat(s["out"], F.array(item)).alias("out")).cast(kind)
-
-    return whole.select(*keys, F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select(*keys, "x.*")
+    rows = df.select(*keys, *order, cost, *[classes[n].alias(f"_of{i}") for i, n in enumerate(names)])
+    schema = T.StructType([*df.select(*keys, *order).schema.fields, T.StructField("verdict", T.StringType())])
+
+    def admit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, ignore_index=True)
+        sums, out = [0.0] * len(names), []
+        for price, *of in zip(group[cost].tolist(), *[group[f"_of{i}"].tolist() for i in range(len(names))], strict=True):
+            over = [n for i, n in enumerate(names) if of[i] and sums[i] + price > caps[n]]
+            if not over:
+                sums = [s + price if on else s for s, on in zip(sums, of, strict=True)]
+            out.append(over[0] if over else "admitted")
+        return group[[*keys, *order]].assign(verdict=out)
+
+    return rows.groupBy(*keys).applyInPandas(admit, schema)
 
 
 def hash_order(*cols: str, seed: str = "") -> Column:

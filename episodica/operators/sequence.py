@@ -6,8 +6,14 @@ every window of a query.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from episodica.sources.shared import written
 
 
 def with_frame_index(df: DataFrame, keys: list[str], order: list[Column], name: str = "frame_index") -> DataFrame:
@@ -79,14 +85,19 @@ def motion(df: DataFrame, value: str, keys: list[str], order: str = "frame_index
 
 
 def ema(df: DataFrame, value: str, keys: list[str], alpha: float, order: str = "frame_index") -> DataFrame:
-    """Exponential smoothing from the first value on: one fold over an episode's ordered array."""
-    whole = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("s"))
-    start = F.array().cast("array<double>")
-    fold = lambda acc, x: F.concat(
-        acc, F.array(F.when(F.size(acc) == 0, x[value]).otherwise(F.element_at(acc, -1) + alpha * (x[value] - F.element_at(acc, -1))))
-    )
-    smooth = whole.withColumn("e", F.aggregate("s", start, fold))
-    return smooth.select(*keys, F.posexplode(F.arrays_zip("s", "e")).alias("p", "z")).select(*keys, F.col(f"z.s.{order}").alias(order), F.col(f"z.s.{value}").alias(value), F.col("z.e").alias("ema"))
+    """Exponential smoothing from the first value on; a recurrence, so one linear pass over each episode's frames."""
+    kept = df.select(*keys, order, value)
+    schema = T.StructType([*kept.schema.fields, T.StructField("ema", T.DoubleType())])
+
+    def smooth(episode: pd.DataFrame) -> pd.DataFrame:
+        episode = episode.sort_values(order, ignore_index=True)
+        out, last = [], None
+        for x in episode[value].tolist():
+            last = x if last is None else last + alpha * (x - last)
+            out.append(last)
+        return episode.assign(ema=out)
+
+    return kept.groupBy(*keys).applyInPandas(smooth, schema)
 
 
 def hysteresis_cycles(df: DataFrame, value: str, keys: list[str], share: float = 0.25, order: str = "frame_index") -> DataFrame:
@@ -117,16 +128,60 @@ def hysteresis_cycles(df: DataFrame, value: str, keys: list[str], share: float =
     return done.select(*keys, F.explode(cycles).alias("c")).select(*keys, "c.start", "c.end")
 
 
-def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """A running number from 1 over all rows in order, without bringing them to one task.
+def _by_range(df: DataFrame, order: list[str], within: list[str], value: Column, tag: str) -> DataFrame:
+    """Rows dealt by range of ``order`` and written once, with ``_sum``, the running sum of ``value`` from the first row on.
 
-    Rows are dealt by range, numbered within their partition, and shifted by the counts of the partitions before; only
-    one row a partition meets in the window over counts.
+    Sums restart for each value of ``within``, the first columns of ``order``. A task sums its own range; only one row for
+    each range (and value of ``within``) meets in the window that shifts them.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: both branches must see the same partitions
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(parts, *[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
-    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("long"))
-    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    joined = placed.join(F.broadcast(before), F.col("_part") == F.col("_p"))
-    return joined.withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_p", "_place", "_before")
+    w = Window.partitionBy("_part", *within).orderBy(*[c for c in order if c not in within])
+    summed = written(dealt.withColumn("_sum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))), tag)
+    totals = summed.groupBy("_part", *within).agg(F.max("_sum").alias("_total"))  # values are not negative
+    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)], F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    match = F.col("_part") == F.col("_p")
+    for i, c in enumerate(within):
+        match = match & F.col(c).eqNullSafe(F.col(f"_w{i}"))
+    joined = summed.join(shifts, match).withColumn("_sum", F.col("_before") + F.col("_sum"))
+    return joined.drop("_part", "_p", "_before", *[f"_w{i}" for i in range(len(within))])
+
+
+def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """A running number from 1 over all rows in order, without bringing them to one task."""
+    return _by_range(df, order, [], F.lit(1).cast("long"), "rank").withColumnRenamed("_sum", name)
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """The sum of ``value`` (not negative) over all rows up to each one in order, without bringing them to one task."""
+    return _by_range(df, order, [], F.col(value), "sums").withColumnRenamed("_sum", name)
+
+
+def values_at(df: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]], least: int = 1) -> DataFrame:
+    """For each group (of ``least`` values or more) its size ``n`` and the values at ``places``: functions of n, from 1.
+
+    Equal values collapse before anything is dealt; the distinct ones are numbered by range, so a group may be as large
+    as the table. Nulls are left out.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ends = written(_by_range(counts, [*keys, "_v"], keys, F.col("_c"), "values"), "ends")
+    sizes = ends.groupBy(*keys).agg(F.max("_sum").alias("_n")).where(F.col("_n") >= least)
+    named = sizes.select("_n", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)])
+    match = F.lit(True)
+    for i, c in enumerate(keys):
+        match = match & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    both = ends.join(F.broadcast(named) if not keys else named, match)  # without keys, one row
+    at = [F.max(F.when((F.col("_sum") - F.col("_c") < place(F.col("_n"))) & (place(F.col("_n")) <= F.col("_sum")), F.col("_v"))).alias(name) for name, place in places.items()]
+    return both.groupBy(*keys).agg(F.max("_n").alias("n"), *at)
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Exact quantiles of each group between the two nearest values, as ``percentile`` gives them, for groups of any size."""
+    places = {}
+    for name, q in wanted.items():
+        places[f"{name}_low"] = lambda n, q=q: F.floor((n - 1) * F.lit(q)) + 1
+        places[f"{name}_high"] = lambda n, q=q: F.ceil((n - 1) * F.lit(q)) + 1
+    found = values_at(df, keys, value, places)
+    between = lambda name, q: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * ((F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q)))
+    return found.select(*keys, "n", *[between(name, q).alias(name) for name, q in wanted.items()])

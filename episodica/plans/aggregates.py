@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from episodica.operators import aggregates as agg
+from episodica.operators import sequence as seq
 from episodica.plans.registry import query
 from episodica.sources.tables import table
 
@@ -20,7 +21,7 @@ def vector_feature_stats(spark, sf_dir):
 @query("""SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(quantile_cont(value, 0.05), 6) AS q05, round(median(value), 6) AS median,
        round(quantile_cont(value, 0.95), 6) AS q95, round(min(value), 6) AS min, round(max(value), 6) AS max FROM events GROUP BY 1""")
 def distribution_summary(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*agg.distribution(F.col("value")))
+    return agg.distribution(table(spark, sf_dir, "events").select("event_type", "value"), ["event_type"], "value")
 
 
 @query("""WITH t AS (SELECT p_brand, avg(p_retailprice) AS m, count(*) AS n, sum(p_retailprice) AS s FROM part GROUP BY 1)
@@ -113,7 +114,7 @@ def flag_arrays(spark, sf_dir):
 
 @query("""SELECT p_brand, list_sort(list(p_size))[count(*) // 2 + 1] AS upper_median FROM part GROUP BY 1""")
 def upper_median(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(agg.upper_median(F.col("p_size")).alias("upper_median"))
+    return agg.upper_median(table(spark, sf_dir, "part"), ["p_brand"], "p_size", "upper_median")
 
 
 @query("""SELECT p_brand AS task, count(*) AS episodes, count(DISTINCT p_type) AS types, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS instructions, arg_min(p_name, p_partkey) AS family FROM part GROUP BY 1""")
@@ -146,7 +147,8 @@ def mode_vote(spark, sf_dir):
        round(CASE WHEN quantile_cont(l_discount, 0.99) - quantile_cont(l_discount, 0.01) < 0.001 THEN quantile_cont(l_discount, 0.99) + 0.5 ELSE quantile_cont(l_discount, 0.99) END, 6) AS q99 FROM lineitem GROUP BY 1 HAVING count(*) >= 20""")
 def quantile_calibration(spark, sf_dir):
     """Ranges by quantiles; a range that is too narrow is widened on both sides."""
-    q = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("channel")).agg(F.percentile("l_discount", F.lit(0.01)).alias("a"), F.percentile("l_discount", F.lit(0.99)).alias("b"), F.count(F.lit(1)).alias("n")).where("n >= 20")
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("channel"), "l_discount")
+    q = seq.quantiles(line, ["channel"], "l_discount", {"a": 0.01, "b": 0.99}).where("n >= 20")
     narrow = F.when(F.col("b") - F.col("a") < 0.001, 0.5).otherwise(0.0)
     return q.select("channel", F.round(F.col("a") - narrow, 6).alias("q01"), F.round(F.col("b") + narrow, 6).alias("q99"))
 

@@ -96,14 +96,14 @@ def asof_nearest(spark, sf_dir):
     return joins.nearest(v, p, ["user_id"], "at", "nearest_purchase").where("nearest_purchase is not null").select("event_id", "user_id", "nearest_purchase")
 
 
-@query("""WITH b AS (SELECT l_orderkey AS k, l_partkey AS id, l_quantity AS y0, l_discount * 100 AS x0, l_quantity + 10 AS y1, l_discount * 100 + 5 + l_tax * 100 AS x1 FROM lineitem WHERE l_linenumber <= 2),
+@query("""WITH b AS (SELECT l_orderkey AS k, l_partkey AS id, l_quantity AS y0, l_discount * 100 AS x0, l_quantity + 10 AS y1, l_discount * 100 + 5 + l_tax * 100 AS x1 FROM lineitem),
 u AS (SELECT k, id, min(y0) AS y0, min(x0) AS x0, min(y1) AS y1, min(x1) AS x1 FROM b GROUP BY 1, 2),
 p AS (SELECT a.k, a.id AS a, c.id AS b, greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) * greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) AS i, (a.y1 - a.y0) * (a.x1 - a.x0) + (c.y1 - c.y0) * (c.x1 - c.x0) AS s FROM u a JOIN u c ON a.k = c.k AND a.id < c.id)
 SELECT k, round(min(i / (s - i)), 6) AS agreement, count(*) AS pairs FROM p GROUP BY 1""")
 def pair_iou(spark, sf_dir):
     """The least overlap of any two boxes of an episode; episodes have few boxes."""
     x = F.col("l_discount") * 100
-    line = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("id"), F.col("l_quantity").alias("y0"), x.alias("x0"), (F.col("l_quantity") + 10).alias("y1"), (x + 5 + F.col("l_tax") * 100).alias("x1"))
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("id"), F.col("l_quantity").alias("y0"), x.alias("x0"), (F.col("l_quantity") + 10).alias("y1"), (x + 5 + F.col("l_tax") * 100).alias("x1"))
     u = line.groupBy("k", "id").agg(F.min("y0").alias("y0"), F.min("x0").alias("x0"), F.min("y1").alias("y1"), F.min("x1").alias("x1")).select("k", "id", F.array("y0", "x0", "y1", "x1").alias("box"))
     pairs = u.alias("a").join(u.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")))
     return pairs.groupBy("a.k").agg(F.round(F.min(geometry.iou(F.col("a.box"), F.col("b.box"))), 6).alias("agreement"), F.count(F.lit(1)).alias("pairs"))
@@ -130,18 +130,22 @@ def pivot_paired_conditions(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g')) AS t FROM documents), b AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g')) AS t FROM benchmark),
-x AS (SELECT doc_id, array_to_string(string_split(t, ' ')[1:8], ' ') AS s FROM d), y AS (SELECT item_id, array_to_string(string_split(t, ' ')[1:8], ' ') AS s FROM b)
-SELECT 'text' AS kind, count(*) AS n FROM (SELECT DISTINCT doc_id FROM d JOIN b USING (t)) UNION ALL SELECT 'opening', count(*) FROM (SELECT DISTINCT doc_id FROM x JOIN y USING (s)) UNION ALL
+x AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + 7], ' ') FOR i IN range(1, greatest(len(w) - 6, 1))]) AS s FROM (SELECT doc_id, string_split(t, ' ') AS w FROM d)),
+y AS (SELECT DISTINCT unnest([array_to_string(w[i:i + 7], ' ') FOR i IN range(1, greatest(len(w) - 6, 1))]) AS s FROM (SELECT string_split(t, ' ') AS w FROM b))
+SELECT 'text' AS kind, count(*) AS n FROM (SELECT DISTINCT doc_id FROM d JOIN b USING (t)) UNION ALL SELECT 'run', count(*) FROM (SELECT DISTINCT doc_id FROM x JOIN y USING (s)) UNION ALL
 SELECT 'id', count(*) FROM (SELECT DISTINCT doc_id FROM d JOIN b ON doc_id = item_id)""")
 def overlap_report(spark, sf_dir):
     """Training rows that a held-out set also has, by kind of match."""
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9_]+", " "))
-    opening = F.array_join(F.slice(F.split("t", " "), 1, 8), " ")
-    d = table(spark, sf_dir, "documents").select("doc_id", norm(F.col("text")).alias("t")).withColumn("s", opening)
-    b = table(spark, sf_dir, "benchmark").select("item_id", norm(F.col("text")).alias("t")).withColumn("s", opening)
+    d = table(spark, sf_dir, "documents").select("doc_id", norm(F.col("text")).alias("t"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", norm(F.col("text")).alias("t"))
+    words = F.split("t", " ")
+    runs = F.when(F.size(words) >= 8, F.transform(F.sequence(F.lit(1), F.size(words) - 7), lambda i: F.array_join(F.slice(words, i, 8), " "))).otherwise(F.array().cast("array<string>"))
+    run = lambda df, *more: df.select(*more, F.explode(F.array_distinct(runs)).alias("s"))
+    shared = run(d, "doc_id").join(run(b).distinct(), "s", "left_semi").select("doc_id").distinct()
     count = lambda kind, hits: hits.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
     ids = d.join(b.select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi")
-    return count("text", d.join(b, "t", "left_semi")).union(count("opening", d.join(b, "s", "left_semi"))).union(count("id", ids))
+    return count("text", d.join(b, "t", "left_semi")).union(count("run", shared)).union(count("id", ids))
 
 
 @query("""SELECT k, min(src) AS first_seen FROM (SELECT c_nationkey AS k, 'customer' AS src FROM customer UNION ALL SELECT s_nationkey, 'supplier' FROM supplier) GROUP BY 1""")
@@ -179,30 +183,32 @@ SELECT g.o_orderpriority, g.o_orderstatus, g.y::INT AS year, coalesce(c.n, 0) AS
 def grid_densification(spark, sf_dir):
     """Every cell of a grid of literals, pending where nothing was found; the grid is a handful of rows."""
     o = table(spark, sf_dir, "orders")
-    kinds = o.groupBy("o_orderpriority").agg(F.lit(1).alias("one")).join(o.groupBy("o_orderstatus").agg(F.lit(1).alias("one")), "one").drop("one")
-    grid = kinds.withColumn("year", F.explode(F.array(F.lit(1993), F.lit(1999), F.lit(2010))))
+    kinds = o.agg(F.collect_set("o_orderpriority").alias("p"), F.collect_set("o_orderstatus").alias("s"))  # a few literals each
+    grid = kinds.select(F.explode("p").alias("o_orderpriority"), "s").select("o_orderpriority", F.explode("s").alias("o_orderstatus"))
+    grid = grid.withColumn("year", F.explode(F.array(F.lit(1993), F.lit(1999), F.lit(2010))))
     c = o.groupBy("o_orderpriority", "o_orderstatus", F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("c"))
     return grid.join(c, ["o_orderpriority", "o_orderstatus", "year"], "left").select("o_orderpriority", "o_orderstatus", "year", F.coalesce("c", F.lit(0)).alias("n"), F.when(F.col("c").isNull(), "pending").otherwise("done").alias("status"))
 
 
-@query("""SELECT l.l_orderkey, l.l_linenumber, p.p_brand, n.n_name, r.r_name, count(*) AS n FROM lineitem l JOIN part p ON p_partkey = l_partkey JOIN supplier s ON s_suppkey = l_suppkey JOIN nation n ON n_nationkey = s_nationkey JOIN region r ON r_regionkey = n_regionkey WHERE l_quantity > 45 GROUP BY ALL""")
+@query("""SELECT l.l_orderkey, l.l_linenumber, p.p_brand, n.n_name, r.r_name, count(*) AS n FROM lineitem l JOIN part p ON p_partkey = l_partkey JOIN supplier s ON s_suppkey = l_suppkey JOIN nation n ON n_nationkey = s_nationkey JOIN region r ON r_regionkey = n_regionkey GROUP BY ALL""")
 def multi_hop_reference(spark, sf_dir):
     """A reference followed over four tables."""
-    line = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     out = line.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))
     out = out.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("s_suppkey") == F.col("l_suppkey"))
     out = out.join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
     return out.groupBy("l_orderkey", "l_linenumber", "p_brand", "n_name", "r_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT doc_id, left(trim(regexp_replace(regexp_replace(lower(left(text, 200)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')), 48) AS slug FROM documents""")
+@query("""SELECT doc_id, left(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')), 48) AS slug FROM documents""")
 def text_slug(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.left("text", F.lit(200))).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
-@query("""SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+'), ' ') AS norm FROM documents WHERE lang = 'en'""")
+@query("""SELECT doc_id, array_to_string(regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\\p{L}\\p{N}_]+'), ' ') AS norm FROM documents""")
 def text_normalise(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.normalised(F.col("text")).alias("norm"))
+    """Compatibility form, case folded, words joined by one space; the SQL has no such form, but these texts need none of it but ß."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalised(F.col("text")).alias("norm"))
 
 
 @query("""WITH a AS (SELECT page_id, CASE WHEN strpos(html, '<title>') > 0 THEN html[strpos(html, '<title>') + 7:] END AS rest FROM pages)

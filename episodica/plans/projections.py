@@ -39,7 +39,7 @@ SELECT e.event_id, CASE WHEN value < lo THEN 'low' ELSE 'high' END AS side FROM
 def range_gate(spark, sf_dir):
     """Rows outside their channel's quantiles by more than a tolerance."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    q = e.groupBy("event_type").agg((F.percentile("value", F.lit(0.01)) - 0.02).alias("lo"), (F.percentile("value", F.lit(0.99)) + 0.02).alias("hi"))
+    q = seq.quantiles(e, ["event_type"], "value", {"a": 0.01, "b": 0.99}).select("event_type", (F.col("a") - 0.02).alias("lo"), (F.col("b") + 0.02).alias("hi"))
     low = F.col("value") < F.col("lo")
     return e.join(q, "event_type").where(low | (F.col("value") > F.col("hi"))).select("event_id", F.when(low, "low").otherwise("high").alias("side"))
 
@@ -50,10 +50,10 @@ def channel_utilisation(spark, sf_dir):
     """How far each channel uses the range of the quantiles; null if never seen."""
     part = table(spark, sf_dir, "part")
     s = part.where("p_size > 5").groupBy("p_brand").agg(F.min("p_retailprice").alias("a"), F.max("p_retailprice").alias("b"))
-    g = part.agg(F.percentile("p_retailprice", F.lit(0.01)).alias("q1"), F.percentile("p_retailprice", F.lit(0.99)).alias("q9"), F.lit(1).alias("one"))
-    k = part.select("p_brand").distinct().join(s, "p_brand", "left").withColumn("one", F.lit(1)).join(F.broadcast(g), "one")  # one row
-    span = F.col("q9") - F.col("q1")
-    return k.select("p_brand", F.round((F.col("a") - F.col("q1")) / span, 6).alias("low"), F.round((F.col("b") - F.col("q1")) / span, 6).alias("high"))
+    g = seq.quantiles(part, [], "p_retailprice", {"q1": 0.01, "q9": 0.99}).first()
+    q1, span = F.lit(g["q1"]), F.lit(g["q9"]) - F.lit(g["q1"])  # two numbers
+    k = part.select("p_brand").distinct().join(s, "p_brand", "left")
+    return k.select("p_brand", F.round((F.col("a") - q1) / span, 6).alias("low"), F.round((F.col("b") - q1) / span, 6).alias("high"))
 
 
 @query("""SELECT doc_id, (n_chars >= 100 AND lang IN ('en', 'de') AND coalesce(quality, 1) = 1) AS passed FROM documents LEFT JOIN labels USING (doc_id)""")
@@ -166,13 +166,13 @@ def admission_gate(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT text, count(*) AS c FROM documents GROUP BY 1)
-SELECT doc_id, concat_ws(',', CASE WHEN n_chars < 150 THEN 'too_small' END, CASE WHEN length(regexp_replace(left(text, 400), '[^A-Z]', '', 'g')) > 120 THEN 'exposure' END, CASE WHEN c > 1 THEN 'duplicate' END) AS reasons FROM documents JOIN d USING (text)""")
+SELECT doc_id, concat_ws(',', CASE WHEN n_chars < 150 THEN 'too_small' END, CASE WHEN length(regexp_replace(text, '[^A-Z]', '', 'g')) > 0.08 * length(text) THEN 'exposure' END, CASE WHEN c > 1 THEN 'duplicate' END) AS reasons FROM documents JOIN d USING (text)""")
 def visual_screen(spark, sf_dir):
     """Reasons to draw a configuration again; duplicates are found by the hash of the content."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.sha2("text", 256).alias("sha"), F.length(F.regexp_replace(F.left("text", F.lit(400)), "[^A-Z]", "")).alias("caps"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.sha2("text", 256).alias("sha"), (F.length(F.regexp_replace("text", "[^A-Z]", "")) > 0.08 * F.length("text")).alias("exposed"))
     twice = d.groupBy("sha").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     j = d.join(twice, "sha", "left")
-    reasons = F.array_compact(F.array(F.when(F.col("n_chars") < 150, "too_small"), F.when(F.col("caps") > 120, "exposure"), F.when(F.col("c").isNotNull(), "duplicate")))
+    reasons = F.array_compact(F.array(F.when(F.col("n_chars") < 150, "too_small"), F.when(F.col("exposed"), "exposure"), F.when(F.col("c").isNotNull(), "duplicate")))
     return j.select("doc_id", F.array_join(reasons, ",").alias("reasons"))
 
 

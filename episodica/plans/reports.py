@@ -56,12 +56,12 @@ def curation_index(spark, sf_dir):
     return table(spark, sf_dir, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.col("n_name").alias("task"), zero(F.col("r")).alias("reviewed"), zero(F.col("a")).alias("accepted"), zero(F.col("v")).alias("available"))
 
 
-@query("""WITH d AS (SELECT l_orderkey AS k, l_partkey AS id, min(l_quantity) AS v FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2),
+@query("""WITH d AS (SELECT l_orderkey AS k, l_partkey AS id, min(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
 p AS (SELECT a.k, a.id, sum(1 / (1 + abs(a.v - b.v))) AS s FROM d a JOIN d b ON a.k = b.k AND a.id <> b.id GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(s, 9) DESC, id) AS j FROM p)
 SELECT k, id FROM r WHERE j = 1""")
 def medoid(spark, sf_dir):
     """The draft that agrees most with the others; a record has few drafts."""
-    d = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("id")).agg(F.min("l_quantity").alias("v"))
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("id")).agg(F.min("l_quantity").alias("v"))
     a, b = d.alias("a"), d.alias("b")
     p = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.id") != F.col("b.id"))).groupBy("a.k", "a.id").agg(F.round(F.sum(1 / (1 + F.abs(F.col("a.v") - F.col("b.v")))), 9).alias("s"))
     return p.groupBy("k").agg(F.max_by("id", F.struct("s", -F.col("id"))).alias("id"))
@@ -86,15 +86,13 @@ def three_way_inventory(spark, sf_dir):
     return j.select("doc_id", F.when(F.col("r").isNull(), "missing").when((F.col("rs") != 0) & (F.col("rs") != F.col("size")), "size").when(F.col("l").isNull(), "remote only").otherwise("ok").alias("state"))
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_custkey, sum(o_orderkey % 3) OVER (ORDER BY o_orderkey) - o_orderkey % 3 AS off, o_orderkey % 3 AS n FROM orders WHERE o_orderkey <= 300),
-c AS (SELECT unnest(range(0, 400)) AS idx) SELECT idx::BIGINT AS contact, o_orderkey FROM c JOIN o ON idx >= off AND idx < off + n""")
+@query("""WITH o AS (SELECT o_orderkey, sum(o_orderkey % 3) OVER (ORDER BY o_orderkey) - o_orderkey % 3 AS off, o_orderkey % 3 AS n FROM orders)
+SELECT unnest(range(off::BIGINT, (off + n)::BIGINT)) AS contact, o_orderkey FROM o""")
 def ragged_offsets(spark, sf_dir):
     """Contacts of each row from offsets: the row is repeated as often as its offsets differ, no range join needed."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 300").select("o_orderkey", (F.col("o_orderkey") % 3).alias("n"))
-    # offsets are a running sum in order; the filtered rows are few
-    off = o.withColumn("off", F.sum("n").over(Window.orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)))
-    rows = off.where("n > 0").withColumn("contact", F.explode(F.sequence(F.coalesce("off", F.lit(0)), F.coalesce("off", F.lit(0)) + F.col("n") - 1)))
-    return rows.where("contact < 400").select("contact", "o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 3).alias("n"))
+    ends = seq.running_sum(o, ["o_orderkey"], "n", "end").where("n > 0")
+    return ends.select(F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("contact"), "o_orderkey")
 
 
 @query("""WITH a AS (SELECT l_orderkey AS k, sum(l_quantity) AS x FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey AS k, sum(l_quantity) * (CASE WHEN l_orderkey % 50 = 0 THEN 1.1 ELSE 1.0 END) AS x FROM lineitem GROUP BY 1)
@@ -142,9 +140,8 @@ def round_slice(spark, sf_dir):
 def sample_with_floor(spark, sf_dir):
     """Three in a hundred by hash order, one at least: ranks by range, not in one task."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat(F.lit("floor|"), F.col("doc_id").cast("string")), 256).alias("h"))
-    n = d.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * 0.03)).alias("n"))
-    ranked = seq.global_rank(d, ["h"], "k").withColumn("one", F.lit(1))
-    return ranked.join(F.broadcast(n.withColumn("one", F.lit(1))), "one").where("k <= n").select("doc_id")
+    n = max(1, int(d.count() * 0.03))
+    return seq.global_rank(d, ["h"], "k").where(F.col("k") <= n).select("doc_id")
 
 
 @query("""SELECT o_orderstatus AS outcome, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1 UNION ALL SELECT 'replaced', count(*), round(avg(o_totalprice), 4) FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 100000""")
@@ -171,8 +168,12 @@ def provenance_order(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.bool_and(F.col("role") == want).alias("ok"), F.coalesce(F.min(F.when(F.col("role") != want, t)), F.lit(-1)).alias("first_off"))
 
 
-@query("""SELECT page_id, sha256(html) = sha256(html || '') AS sha_ok, length(html) > 0 AS present, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang FROM pages""")
+@query("""WITH m AS (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN sha256(url) ELSE sha256(html) END AS sha FROM pages WHERE page_id % 13 <> 0)
+SELECT p.page_id, length(html) > 0 AS present, CASE WHEN m.page_id IS NULL THEN 'unrecorded' WHEN sha256(html) = m.sha THEN 'ok' ELSE 'changed' END AS state FROM pages p LEFT JOIN m USING (page_id)""")
 def manifest_check(spark, sf_dir):
-    """Text present and of the hash recorded for it."""
-    recorded = F.sha2(F.concat("html", F.lit("")), 256)
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).eqNullSafe(recorded).alias("sha_ok"), (F.length("html") > 0).alias("present"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"))
+    """Text present and of the hash a manifest records for it; some records are stale and some are lacking."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    recorded = F.when(F.col("page_id") % 9 == 0, F.sha2("url", 256)).otherwise(F.sha2("html", 256))
+    m = p.where("page_id % 13 <> 0").select(F.col("page_id").alias("id"), recorded.alias("sha"))
+    state = F.when(F.col("id").isNull(), "unrecorded").when(F.sha2("html", 256) == F.col("sha"), "ok").otherwise("changed")
+    return p.join(m, F.col("page_id") == F.col("id"), "left").select("page_id", (F.length("html") > 0).alias("present"), state.alias("state"))

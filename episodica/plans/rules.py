@@ -30,7 +30,7 @@ SELECT l_returnflag, count(*) FILTER (abs(x) > 1) AS over_one, count(*) FILTER (
 def minmax_normalise_clip(spark, sf_dir):
     """Values scaled between quantiles, and how many leave the range."""
     line = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity")
-    q = line.groupBy("l_returnflag").agg(F.percentile("l_quantity", F.lit(0.01)).alias("lo"), F.percentile("l_quantity", F.lit(0.99)).alias("hi"))
+    q = seq.quantiles(line, ["l_returnflag"], "l_quantity", {"lo": 0.01, "hi": 0.99})
     x = geometry.normalise(F.array("l_quantity"), F.array("lo"), F.array("hi"))[0]
     n = line.join(q, "l_returnflag").withColumn("x", x)
     return n.groupBy("l_returnflag").agg(F.count_if(F.abs("x") > 1).alias("over_one"), F.count_if(F.abs("x") > 2).alias("over_two"), F.round(F.min("x"), 6).alias("low"), F.round(F.max("x"), 6).alias("high"))
@@ -83,7 +83,7 @@ def graph_cycle(spark, sf_dir):
     """Nodes on a cycle of a precedence graph; graphs have few nodes."""
     n = table(spark, sf_dir, "nation")
     edges = n.select(F.col("n_regionkey").alias("graph"), (F.col("n_nationkey") % 4).alias("a"), ((F.col("n_nationkey") * 3 + 1) % 4).alias("b"))
-    return rules.cyclic_nodes(edges, 4)
+    return rules.cyclic_nodes(edges)
 
 
 @query("""WITH d AS (SELECT d.doc_id, n_chars, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from episodica.operators import selection as sel
 from episodica.operators import sequence as seq
 from episodica.plans.registry import query
+from episodica.sources.shared import written
 from episodica.sources.tables import table
 
 
@@ -49,7 +50,7 @@ def round_robin_plan(spark, sf_dir):
     """Turns over tasks, those with the least progress first; retries before new ones."""
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "task")
     progress = o.groupBy("task").agg(F.count_if(F.col("o_orderstatus") == "F").alias("progress"))
-    turns = sel.round_robin(o.where("o_orderstatus <> 'F'"), "task", [F.desc(F.col("o_orderstatus") == "P"), F.col("o_orderkey")], [])
+    turns = sel.round_robin(o.where("o_orderstatus <> 'F'"), "task", [F.desc(F.col("o_orderstatus") == "P"), F.col("o_orderkey")])
     return turns.join(progress, "task").orderBy("turn", "progress", "task").limit(100).select("o_orderkey", "task", "turn")
 
 
@@ -126,10 +127,10 @@ def task_balanced_draw(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_brand", "p_partkey")
     number = lambda tag: F.conv(F.substring(F.sha2(F.concat(F.lit(f"{tag}|0|"), F.col("draw").cast("string")), 256), 1, 8), 16, 10).cast("long")
     brands = part.select("p_brand").distinct()
-    ordered = brands.select("p_brand", (F.row_number().over(Window.orderBy("p_brand")) - 1).cast("long").alias("i"), F.count(F.lit(1)).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("m"))
+    ordered = written(seq.global_rank(brands, ["p_brand"], "i").withColumn("i", F.col("i") - 1), "tasks")
     w = Window.partitionBy("p_brand")
     e = part.withColumn("j", (F.row_number().over(w.orderBy("p_partkey")) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(w)).withColumnRenamed("p_brand", "brand")
-    m = ordered.agg(F.max("m").alias("m"))
+    m = ordered.agg(F.count(F.lit(1)).alias("m"))
     draws = m.select("m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))).alias("draw")).select("draw", F.pmod(number("task"), F.col("m")).alias("i"), number("episode").alias("h"))
-    d = draws.join(ordered.drop("m"), "i")
+    d = draws.join(ordered, "i")
     return d.join(e, (d["p_brand"] == e["brand"]) & (e["j"] == F.pmod(d["h"], e["n"]))).select("draw", "p_brand", "p_partkey")

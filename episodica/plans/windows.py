@@ -131,11 +131,10 @@ def held_intervals(spark, sf_dir):
 @query(f"""WITH RECURSIVE {FRAMES_SQL}, e AS (
   SELECT user_id, frame_index, value, value AS ema FROM frames WHERE frame_index = 0
   UNION ALL SELECT f.user_id, f.frame_index, f.value, e.ema + 0.3 * (f.value - e.ema) FROM e JOIN frames f ON f.user_id = e.user_id AND f.frame_index = e.frame_index + 1)
-SELECT user_id, frame_index, floor(ema * 1000000 + 0.31415926)::BIGINT AS ema_micro FROM e""")
+SELECT user_id, frame_index, round(ema, 4) AS ema FROM e""")
 def ema_smoothing(spark, sf_dir):
-    """Smoothed values in millionths. Early values are short decimals, so the cut is where none of them can lie."""
-    micro = F.floor(F.col("ema") * 1000000 + F.lit(0.31415926))
-    return seq.ema(frames(spark, sf_dir), "value", USER, 0.3).select("user_id", "frame_index", micro.alias("ema_micro"))
+    """Smoothed values, to four digits."""
+    return seq.ema(frames(spark, sf_dir), "value", USER, 0.3).select("user_id", "frame_index", F.round("ema", 4).alias("ema"))
 
 
 @query(f"""WITH {FRAMES_SQL}, b AS (SELECT user_id, max(CASE WHEN NOT value > 10 THEN frame_index END) AS bad, max(frame_index) AS last FROM frames GROUP BY 1)

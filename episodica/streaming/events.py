@@ -5,7 +5,6 @@ Each function takes a streaming DataFrame and returns one; ``upsert`` drives suc
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from episodica.sources.shared import shared_dir
+
 LATE = "10 minutes"
 
 
@@ -92,11 +93,6 @@ def transitions(events: DataFrame, start: str = "start") -> DataFrame:
     return keyed.applyInPandasWithState(fold, "user_id long, last string, steps long, repeats long", "last string, steps long, repeats long", "update", GroupStateTimeout.NoTimeout)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    return (path or "file://" + tempfile.mkdtemp(prefix="episodica-")).rstrip("/")
-
-
 def upsert(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
     """Run a stream over what its source has now and return the last value of each key.
 

@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from episodica.functions import geometry, text
@@ -31,9 +32,10 @@ def test_exclusive_quartiles_follow_the_published_method(spark):
     draw = random.Random(3)
     for n in (2, 3, 8, 9, 10, 31):
         values = [draw.uniform(0, 100) for _ in range(n)]
-        df = spark.createDataFrame([(v,) for v in values], "v double").agg(F.array_sort(F.collect_list("v")).alias("a"))
-        got = df.select(*[agg.quantile_exclusive(F.col("a"), j).alias(f"q{j}") for j in (1, 2, 3)]).first()
-        assert all(abs(a - b) < 1e-9 for a, b in zip(got, statistics.quantiles(values, n=4), strict=True))
+        df = spark.createDataFrame([("g", v) for v in values], "k string, v double")
+        got = agg.tukey_fences(df, ["k"], "v", 2).first()
+        want = statistics.quantiles(values, n=4)
+        assert abs(got["q1"] - want[0]) < 1e-9 and abs(got["q3"] - want[2]) < 1e-9
 
 
 def test_exposure_percentile(spark):
@@ -42,8 +44,35 @@ def test_exposure_percentile(spark):
 
 
 def test_upper_median(spark):
-    df = spark.createDataFrame([(1,), (2,), (3,), (4,)], "n int")
-    assert df.agg(agg.upper_median(F.col("n"))).first()[0] == 3
+    df = spark.createDataFrame([("g", 1), ("g", 2), ("g", 3), ("g", 4), ("h", 5), (None, 7), ("h", None)], "k string, n int")
+    assert sorted(one(agg.upper_median(df, ["k"], "n", "m")), key=str) == [("g", 3), ("h", 5), (None, 7)]
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_quantiles_of_large_groups_match_percentile(spark, keys):
+    """Places picked from ranges of the distinct values, against the built-in that gathers a group."""
+    draw = random.Random(6)
+    rows = [(draw.choice("aab"), draw.choice([1.5, 2.0, draw.uniform(-5, 5)]), draw.choice([None, 1.0])) for _ in range(500)]
+    df = spark.createDataFrame(rows, "k string, v double, w double").repartition(5)
+    wanted = {"x": 0.0, "y": 0.3, "z": 0.995}
+    got = sorted(one(seq.quantiles(df, keys, "v", wanted).drop("n")))
+    want = sorted(one(df.groupBy(*keys).agg(*[F.percentile("v", F.lit(q)).alias(n) for n, q in wanted.items()])))
+    for a, b in zip(got, want, strict=True):
+        assert a[: len(keys)] == b[: len(keys)] and all(abs(x - y) < 1e-9 for x, y in zip(a[len(keys) :], b[len(keys) :], strict=True))
+
+
+def test_running_sum(spark):
+    rows = [(i, (i * 7) % 4) for i in range(300)]
+    got = sorted(one(seq.running_sum(spark.createDataFrame(rows, "i long, n long").repartition(6), ["i"], "n", "s")))
+    total = 0
+    for (i, n), row in zip(rows, got, strict=True):
+        total += n
+        assert row == (i, n, total)
+
+
+def test_text_forms(spark):
+    df = spark.createDataFrame([("Straße \ufb01x \u00b2 \u212bngstr\u00f6m, A_b",), (None,), ("",)], "t string")
+    assert [r[0] for r in one(df.select(text.normalised(F.col("t"))))] == ["strasse fix 2 ångström a_b", None, ""]
 
 
 def test_runs_and_merging_match_a_scan(spark):
@@ -135,8 +164,9 @@ def test_reservation_rounds_up_to_cents(spark):
 
 
 def test_cycles(spark):
-    edges = spark.createDataFrame([("g", 1, 2), ("g", 2, 3), ("g", 3, 1), ("g", 3, 4), ("h", 1, 2), ("h", 2, 3)], "graph string, a int, b int")
-    assert sorted(one(rules.cyclic_nodes(edges, 4))) == [("g", 1), ("g", 2), ("g", 3)]
+    long = [("l", i, (i + 1) % 23) for i in range(23)]
+    edges = spark.createDataFrame([("g", 1, 2), ("g", 2, 3), ("g", 3, 1), ("g", 3, 4), ("h", 1, 2), ("h", 2, 3), *long], "graph string, a int, b int")
+    assert sorted(one(rules.cyclic_nodes(edges))) == [("g", 1), ("g", 2), ("g", 3), *[("l", i) for i in range(23)]]
 
 
 def test_empty_tables(spark):
