@@ -72,3 +72,10 @@ def kelvin_rgb(kelvin: Column) -> Column:
 def verb_form(verb: Column) -> Column:
     """Third person of a verb: es behind a hiss or o, ies for a consonant and y, else s."""
     return F.when(verb.rlike("(s|x|z|ch|sh|o)$"), F.concat(verb, F.lit("es"))).when(verb.rlike("[^aeiou]y$"), F.regexp_replace(verb, "y$", "ies")).otherwise(F.concat(verb, F.lit("s")))
+
+
+def facing_edge(x: Column, y: Column) -> Column:
+    """The image edge that a person at +x enters by, from a camera's level look (x, y); the first of equal ones."""
+    length = F.hypot(x, y)
+    scores = (("bottom", -x / length), ("top", x / length), ("right", y / length), ("left", -y / length))
+    return F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(-k).alias("k"), F.lit(n).alias("name")) for k, (n, s) in enumerate(scores)]))["name"]
