@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from episodica.plans import aggregates, joins, projections, reports, rules, scalars, selection, streams, verification, windows  # noqa: F401
+from episodica.plans import aggregates, joins, layouts, projections, reports, rules, scalars, selection, streams, verification, windows, workflow  # noqa: F401
 from episodica.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "grasp_onsets"

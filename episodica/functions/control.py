@@ -79,3 +79,11 @@ def facing_edge(x: Column, y: Column) -> Column:
     length = F.hypot(x, y)
     scores = (("bottom", -x / length), ("top", x / length), ("right", y / length), ("left", -y / length))
     return F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(-k).alias("k"), F.lit(n).alias("name")) for k, (n, s) in enumerate(scores)]))["name"]
+
+
+def by_mode(mode: Column, values: dict[str, Column]) -> Column:
+    """The value of the mode named; an unknown mode has none."""
+    out = F.lit(None).cast("double")
+    for name, value in values.items():
+        out = F.when(mode == name, value).otherwise(out)
+    return out

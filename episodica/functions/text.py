@@ -97,7 +97,7 @@ def ordered_actions(clauses: Column) -> Column:
 
 def cut_at_word(text: Column, size: int) -> Column:
     """At most ``size`` characters, without a broken last word."""
-    return F.when(F.length(text) <= size, text).otherwise(F.regexp_replace(F.left(text, F.lit(size)), r"\s+\S*$", ""))
+    return F.when(F.length(text) <= size, text).otherwise(F.regexp_replace(F.left(text, F.lit(size)), r"\s+\S*\z", ""))
 
 
 def html_escaped(text: Column) -> Column:

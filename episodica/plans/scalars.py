@@ -99,7 +99,7 @@ def evidence_reference(spark, sf_dir):
     )
 
 
-@query("""SELECT doc_id, left(text, 500) AS head, CASE WHEN length(text) <= 160 THEN text ELSE regexp_replace(left(text, 160), '\\s+\\S*$', '') END AS brief FROM documents""")
+@query("""SELECT doc_id, left(text, 500) AS head, CASE WHEN length(text) <= 160 THEN text ELSE regexp_replace(left(text, 160), '\\s+\\S*\\z', '') END AS brief FROM documents""")
 def text_cuts(spark, sf_dir):
     """The first 500 signs, and at most 160 without a broken word."""
     return table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(500)).alias("head"), text.cut_at_word(F.col("text"), 160).alias("brief"))

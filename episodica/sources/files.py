@@ -20,16 +20,16 @@ def lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFra
     return text.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-def last_file_wins(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """Keyed records of many JSON files; of equal keys the one of the last file by name stays."""
-    rows = spark.read.schema(schema).json(path).withColumn("_file", F.col("_metadata.file_name"))
+def last_file_wins(spark: SparkSession, path: str, schema: str, key: str, by_path: bool = False) -> DataFrame:
+    """Keyed records of many JSON files; of equal keys the one of the last file by name (or by whole path) stays."""
+    rows = spark.read.schema(schema).json(path).withColumn("_file", F.col("_metadata.file_path" if by_path else "_metadata.file_name"))
     newest = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "_file")]), "_file").alias("r"))
     return newest.select(key, "r.*")
 
 
-def with_path(spark: SparkSession, path: str, schema: str, pattern: str = "result.json") -> DataFrame:
-    """Whole JSON files of a tree, with the path each row came from."""
-    reader = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("multiLine", "true")
+def with_path(spark: SparkSession, path: str, schema: str, pattern: str = "result.json", lines: bool = False) -> DataFrame:
+    """JSON files of a tree, whole ones or line-delimited, with the path each row came from."""
+    reader = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("multiLine", str(not lines).lower())
     return reader.json(path).withColumn("_result_path", F.col("_metadata.file_path"))
 
 
@@ -147,3 +147,17 @@ def write_if_changed(df: DataFrame, path: str) -> bool:
 def episodes(df: DataFrame, path: str, key: str, order: str) -> None:
     """One folder for each episode, rows in order within their files."""
     df.repartition(key).sortWithinPartitions(key, order).write.mode("overwrite").partitionBy(key).parquet(path)
+
+
+def one_episode(spark: SparkSession, path: str, key: str, value: int) -> DataFrame:
+    """The rows of one episode of ``episodes``: its folder alone is read, not the tree."""
+    return spark.read.option("basePath", path).parquet(f"{path}/{key}={value}")
+
+
+def chunks(df: DataFrame, key: str, content: str, size: int = 1 << 20) -> DataFrame:
+    """key, chunk (from 0), part and its SHA-256: contents in parts of ``size`` bytes, none for an empty one."""
+    count = F.ceil(F.octet_length(content) / size).cast("int")
+    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    parts = df.select(key, content, F.explode(places).alias("chunk"))
+    part = F.substring(content, F.col("chunk") * size + 1, F.lit(size))
+    return parts.select(key, "chunk", part.alias("part"), F.sha2(part, 256).alias("sha256"))
