@@ -44,8 +44,8 @@ def stream_dedup(spark, sf_dir):
 @query("""WITH t AS (SELECT user_id, event_type, lag(event_type) OVER w AS p, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, arg_max(event_type, k) AS last, count(*) AS steps, count(*) FILTER (event_type = p) AS repeats FROM t GROUP BY 1""")
 def stream_state(spark, sf_dir):
-    """Per-user state kept across triggers. The table is one trigger here, so its order is the events' order."""
-    return ev.upsert(ev.transitions(ev.event_stream(spark, sf_dir, 1_000)), ["user_id"])
+    """Per-user state kept across triggers, in the order of the events whatever the order of their files."""
+    return ev.upsert(ev.transitions(ev.event_stream(spark, sf_dir), late=ev.span(spark, sf_dir)), ["user_id"])
 
 
 @query("""SELECT event_type, count(*) AS n, round(max(value), 6) AS top FROM events GROUP BY 1""")
@@ -58,5 +58,5 @@ def stream_progress(spark, sf_dir):
 @query("""WITH o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), e AS (SELECT user_id, min(k) AS k FROM o WHERE event_type IN ('purchase', 'error') GROUP BY 1)
 SELECT u.user_id, coalesce(e.k - 1, u.n) AS polls, coalesce(o.event_type, '') AS ended FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) u LEFT JOIN e USING (user_id) LEFT JOIN o ON o.user_id = e.user_id AND o.k = e.k""")
 def stream_poll(spark, sf_dir):
-    """Polls of each request until it ends. The table is one trigger here, so its order is the events' order."""
-    return ev.upsert(ev.terminal(ev.event_stream(spark, sf_dir, 1_000), ["purchase", "error"]), ["user_id"])
+    """Polls of each request until it ends, in the order of the events whatever the order of their files."""
+    return ev.upsert(ev.terminal(ev.event_stream(spark, sf_dir), ["purchase", "error"], ev.span(spark, sf_dir)), ["user_id"])

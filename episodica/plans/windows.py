@@ -203,9 +203,15 @@ def five_tap_mean(spark, sf_dir):
     return frames(spark, sf_dir).select("user_id", "frame_index", F.round(F.sum("value").over(w) / 5, 6).alias("smooth"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAMES_SQL}, t AS (SELECT user_id, frame_index AS i, sum(value) OVER (PARTITION BY user_id ORDER BY frame_index ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS x FROM frames),
+p AS (SELECT user_id, (max(x) - min(x)) * 0.25 AS span, max(i) AS last FROM t GROUP BY 1),
+f AS (SELECT user_id, -1::BIGINT AS i, '-inf'::DOUBLE AS peak, NULL::BIGINT AS start, NULL::DOUBLE AS low, NULL::BIGINT AS cycle, span, last FROM p
+  UNION ALL SELECT f.user_id, t.i, CASE WHEN f.start IS NOT NULL AND x > low + span THEN x ELSE greatest(peak, x) END, CASE WHEN f.start IS NULL AND greatest(peak, x) - x > span THEN t.i WHEN f.start IS NOT NULL AND x > low + span THEN NULL ELSE f.start END,
+    CASE WHEN f.start IS NULL AND greatest(peak, x) - x > span THEN x ELSE low END, CASE WHEN f.start IS NOT NULL AND x > low + span THEN f.start END, span, last FROM f JOIN t ON t.user_id = f.user_id AND t.i = f.i + 1)
+SELECT user_id, cycle AS start, i AS "end" FROM f WHERE cycle IS NOT NULL UNION ALL SELECT user_id, start, -1 FROM f WHERE i = last AND start IS NOT NULL""")
 def hysteresis_cycles(spark, sf_dir):
-    return seq.hysteresis_cycles(frames(spark, sf_dir), "value", USER)
+    """Cycles of a hysteresis; one that never opens again ends at -1."""
+    return seq.hysteresis_cycles(frames(spark, sf_dir), "value", USER).select("user_id", "start", F.coalesce("end", F.lit(-1)).alias("end"))
 
 
 @query("""SELECT p_partkey, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::BIGINT AS new_index, p_brand FROM part""")

@@ -5,8 +5,9 @@ Each function takes a streaming DataFrame and returns one; ``upsert`` drives suc
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -51,46 +52,54 @@ def once(events: DataFrame, keys: list[str], late: str = LATE) -> DataFrame:
 
 
 def progress(events: DataFrame, keys: list[str]) -> DataFrame:
-    """A snapshot that grows with the stream: events, users and the greatest value of each key."""
-    return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("user_id", 0.01).alias("users"), F.max("value").alias("top"))
+    """A snapshot that grows with the stream: events and the greatest value of each key."""
+    return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
 
 
-def terminal(events: DataFrame, done: list[str]) -> DataFrame:
-    """Requests that are polled until they end: per user the first terminal event, and the polls before it."""
+def in_event_order(events: DataFrame, start: tuple, step: Callable[[tuple, str], tuple], columns: list[str], late: str) -> DataFrame:
+    """A fold over each user's events in the order of (ts, event_id), whatever trigger they come in.
+
+    The state is the fold of all events up to the watermark, and those behind it, which wait for others of the same time;
+    so it holds no more than ``late`` of a user's events. What is given out folds the waiting ones as well.
+    """
+    names = [c.split()[0] for c in columns]
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        polls, ended = state.get if state.exists else (0, "")
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        for kind in rows["event_type"].tolist():
-            if ended:
-                break
-            if kind in done:
-                ended = kind
-            else:
-                polls += 1
-        state.update((polls, ended))
-        yield pd.DataFrame({"user_id": [key[0]], "polls": [polls], "ended": [ended]})
+        done, waiting = json.loads(state.get[0]) if state.exists else (list(start), [])
+        rows = pd.concat(list(parts))
+        waiting = sorted(waiting + [list(r) for r in zip(rows["at"].tolist(), rows["event_id"].tolist(), rows["event_type"].tolist(), strict=True)])
+        settled, upto = tuple(done), state.getCurrentWatermarkMs() * 1000
+        while waiting and waiting[0][0] < upto:
+            settled = step(settled, waiting.pop(0)[2])
+        state.update((json.dumps([settled, waiting]),))
+        out = settled
+        for _, _, kind in waiting:
+            out = step(out, kind)
+        yield pd.DataFrame({"user_id": [key[0]], **{n: [v] for n, v in zip(names, out, strict=True)}})
+
+    at = F.unix_micros("ts").alias("at")
+    keyed = events.withWatermark("ts", late).select("user_id", "event_id", "ts", at, "event_type").groupBy("user_id")
+    return keyed.applyInPandasWithState(fold, "user_id long, " + ", ".join(columns), "state string", "update", GroupStateTimeout.NoTimeout)
+
+
+def terminal(events: DataFrame, done: list[str], late: str = LATE) -> DataFrame:
+    """Requests that are polled until they end: per user the first terminal event, and the polls before it."""
 
-    keyed = events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id")
-    return keyed.applyInPandasWithState(fold, "user_id long, polls long, ended string", "polls long, ended string", "update", GroupStateTimeout.NoTimeout)
+    def step(state: tuple, kind: str) -> tuple:
+        polls, ended = state
+        return state if ended else (polls, kind) if kind in done else (polls + 1, "")
 
+    return in_event_order(events, (0, ""), step, ["polls long", "ended string"], late)
 
-def transitions(events: DataFrame, start: str = "start") -> DataFrame:
-    """Per user, in event order within each trigger: steps so far, repeated states and the last state."""
 
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, steps, repeats = state.get if state.exists else (start, 0, 0)
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        kinds = rows["event_type"].tolist()
-        for kind in kinds:
-            repeats += kind == last
-            last = kind
-        steps += len(kinds)
-        state.update((last, steps, int(repeats)))
-        yield pd.DataFrame({"user_id": [key[0]], "last": [last], "steps": [steps], "repeats": [int(repeats)]})
-
-    keyed = events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id")
-    return keyed.applyInPandasWithState(fold, "user_id long, last string, steps long, repeats long", "last string, steps long, repeats long", "update", GroupStateTimeout.NoTimeout)
+def transitions(events: DataFrame, start: str = "start", late: str = LATE) -> DataFrame:
+    """Per user, in event order: the last state, steps so far and repeated states."""
+
+    def step(state: tuple, kind: str) -> tuple:
+        last, steps, repeats = state
+        return kind, steps + 1, repeats + (kind == last)
+
+    return in_event_order(events, (start, 0, 0), step, ["last string", "steps long", "repeats long"], late)
 
 
 def upsert(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:

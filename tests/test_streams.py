@@ -13,3 +13,24 @@ def test_no_event_is_late_in_a_table_of_many_files(spark, tmp_path, query):
     for row in reversed(rows):
         spark.createDataFrame([row], "event_id long, user_id long, event_type string, ts timestamp, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
     assert query(spark, str(tmp_path)).count() == 14
+
+
+def test_state_follows_the_order_of_events(spark, tmp_path):
+    """Events of a few users over many files in no order, some triggers: the folds see them by time."""
+    import random
+
+    draw, start = random.Random(4), dt.datetime(2024, 1, 1)
+    rows = [(i, i % 3, draw.choice(["view", "click", "purchase"]), start + dt.timedelta(minutes=draw.randrange(50)), 1.0) for i in range(60)]
+    mixed = draw.sample(rows, len(rows))
+    for k in range(0, 60, 6):
+        spark.createDataFrame(mixed[k : k + 6], "event_id long, user_id long, event_type string, ts timestamp, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    for late in ("1 hour", "10 days"):
+        stream = streams.ev.event_stream(spark, str(tmp_path))
+        state = {r["user_id"]: r for r in streams.ev.upsert(streams.ev.transitions(stream, late=late), ["user_id"]).collect()}
+        polls = {r["user_id"]: r for r in streams.ev.upsert(streams.ev.terminal(stream, ["purchase"], late), ["user_id"]).collect()}
+        for user in range(3):
+            kinds = [k for _, _, k in sorted((t, i, k) for i, u, k, t, _ in rows if u == user)]
+            assert (state[user]["last"], state[user]["steps"]) == (kinds[-1], 20)
+            assert state[user]["repeats"] == sum(a == b for a, b in zip(kinds, kinds[1:], strict=False))
+            first = kinds.index("purchase") if "purchase" in kinds else len(kinds)
+            assert polls[user]["polls"] == first and polls[user]["ended"] == ("purchase" if "purchase" in kinds else "")
