@@ -165,7 +165,7 @@ def values_at(df: DataFrame, keys: list[str], value: str, places: dict[str, Call
     as the table. Nulls are left out.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    ends = written(_by_range(counts, [*keys, "_v"], keys, F.col("_c"), "values"), "ends")
+    ends = _by_range(counts, [*keys, "_v"], keys, F.col("_c"), "values")
     sizes = ends.groupBy(*keys).agg(F.max("_sum").alias("_n")).where(F.col("_n") >= least)
     named = sizes.select("_n", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)])
     match = F.lit(True)

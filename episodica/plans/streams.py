@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from episodica.plans.registry import query
+from episodica.plans.registry import FRAMES_SQL, query
 from episodica.streaming import events as ev
 
 
@@ -60,3 +60,26 @@ SELECT u.user_id, coalesce(e.k - 1, u.n) AS polls, coalesce(o.event_type, '') AS
 def stream_poll(spark, sf_dir):
     """Polls of each request until it ends, in the order of the events whatever the order of their files."""
     return ev.upsert(ev.terminal(ev.event_stream(spark, sf_dir), ["purchase", "error"], ev.span(spark, sf_dir)), ["user_id"])
+
+
+@query(f"""WITH RECURSIVE {FRAMES_SQL}, e AS (SELECT user_id, frame_index, value AS smooth, value AS control FROM frames WHERE frame_index = 0
+  UNION ALL SELECT f.user_id, f.frame_index, e.smooth + 0.3 * (f.value - e.smooth), least(greatest(e.smooth + 0.3 * (f.value - e.smooth), e.control - 20), e.control + 20) FROM e JOIN frames f ON f.user_id = e.user_id AND f.frame_index = e.frame_index + 1)
+SELECT user_id, round(arg_max(smooth, frame_index), 4) AS smooth, round(arg_max(control, frame_index), 4) AS control, count(*) AS steps FROM e GROUP BY 1""")
+def stream_controls(spark, sf_dir):
+    """Controls that follow a smoothed value at a limited rate, kept for each user over the triggers."""
+    out = ev.upsert(ev.controls(ev.event_stream(spark, sf_dir), late=ev.span(spark, sf_dir)), ["user_id"])
+    return out.select("user_id", F.round("smooth", 4).alias("smooth"), F.round("control", 4).alias("control"), "steps")
+
+
+@query(f"""WITH {FRAMES_SQL}, l AS (SELECT user_id, max(frame_index) AS last, max(frame_index) FILTER (event_type = 'purchase') AS done FROM frames GROUP BY 1)
+SELECT user_id, coalesce(done + 1, 0) AS published, last - coalesce(done, -1) AS waiting FROM l""")
+def stream_publish(spark, sf_dir):
+    """Complete clips published in order from what arrives, with those that wait."""
+    return ev.upsert(ev.publications(ev.event_stream(spark, sf_dir), "purchase", ev.span(spark, sf_dir)), ["user_id"])
+
+
+@query("""SELECT event_id, user_id, round(value, 6) AS value FROM events WHERE event_type = 'error'""")
+def stream_retry_log(spark, sf_dir):
+    """An append-only log of the events that ask for a retry."""
+    stream = ev.event_stream(spark, sf_dir).where("event_type = 'error'").select("event_id", "user_id", "value")
+    return ev.upsert(stream, ["event_id"], mode="append").select("event_id", "user_id", F.round("value", 6).alias("value"))

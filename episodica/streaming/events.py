@@ -56,7 +56,7 @@ def progress(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
 
 
-def in_event_order(events: DataFrame, start: tuple, step: Callable[[tuple, str], tuple], columns: list[str], late: str) -> DataFrame:
+def in_event_order(events: DataFrame, start: tuple, step: Callable[[tuple, str, float], tuple], columns: list[str], late: str) -> DataFrame:
     """A fold over each user's events in the order of (ts, event_id), whatever trigger they come in.
 
     The state is the fold of all events up to the watermark, and those behind it, which wait for others of the same time;
@@ -67,25 +67,25 @@ def in_event_order(events: DataFrame, start: tuple, step: Callable[[tuple, str],
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, waiting = json.loads(state.get[0]) if state.exists else (list(start), [])
         rows = pd.concat(list(parts))
-        waiting = sorted(waiting + [list(r) for r in zip(rows["at"].tolist(), rows["event_id"].tolist(), rows["event_type"].tolist(), strict=True)])
+        waiting = sorted(waiting + [list(r) for r in zip(rows["at"].tolist(), rows["event_id"].tolist(), rows["event_type"].tolist(), rows["value"].tolist(), strict=True)])
         settled, upto = tuple(done), state.getCurrentWatermarkMs() * 1000
         while waiting and waiting[0][0] < upto:
-            settled = step(settled, waiting.pop(0)[2])
+            settled = step(settled, *waiting.pop(0)[2:])
         state.update((json.dumps([settled, waiting]),))
         out = settled
-        for _, _, kind in waiting:
-            out = step(out, kind)
+        for _, _, kind, value in waiting:
+            out = step(out, kind, value)
         yield pd.DataFrame({"user_id": [key[0]], **{n: [v] for n, v in zip(names, out, strict=True)}})
 
     at = F.unix_micros("ts").alias("at")
-    keyed = events.withWatermark("ts", late).select("user_id", "event_id", "ts", at, "event_type").groupBy("user_id")
+    keyed = events.withWatermark("ts", late).select("user_id", "event_id", "ts", at, "event_type", "value").groupBy("user_id")
     return keyed.applyInPandasWithState(fold, "user_id long, " + ", ".join(columns), "state string", "update", GroupStateTimeout.NoTimeout)
 
 
 def terminal(events: DataFrame, done: list[str], late: str = LATE) -> DataFrame:
     """Requests that are polled until they end: per user the first terminal event, and the polls before it."""
 
-    def step(state: tuple, kind: str) -> tuple:
+    def step(state: tuple, kind: str, _: float) -> tuple:
         polls, ended = state
         return state if ended else (polls, kind) if kind in done else (polls + 1, "")
 
@@ -95,13 +95,35 @@ def terminal(events: DataFrame, done: list[str], late: str = LATE) -> DataFrame:
 def transitions(events: DataFrame, start: str = "start", late: str = LATE) -> DataFrame:
     """Per user, in event order: the last state, steps so far and repeated states."""
 
-    def step(state: tuple, kind: str) -> tuple:
+    def step(state: tuple, kind: str, _: float) -> tuple:
         last, steps, repeats = state
         return kind, steps + 1, repeats + (kind == last)
 
     return in_event_order(events, (start, 0, 0), step, ["last string", "steps long", "repeats long"], late)
 
 
+def controls(events: DataFrame, alpha: float = 0.3, rate: float = 20.0, late: str = LATE) -> DataFrame:
+    """Per user: the smoothed value, and the control that follows it by no more than ``rate`` a step."""
+
+    def step(state: tuple, _: str, value: float) -> tuple:
+        smooth, control, steps = state
+        smooth = smooth + alpha * (value - smooth) if steps else value
+        control = min(max(smooth, control - rate), control + rate) if steps else smooth
+        return smooth, control, steps + 1
+
+    return in_event_order(events, (0.0, 0.0, 0), step, ["smooth double", "control double", "steps long"], late)
+
+
+def publications(events: DataFrame, done: str, late: str = LATE) -> DataFrame:
+    """Per user, clips that are complete are published in order: how many are, and how many wait since the last."""
+
+    def step(state: tuple, kind: str, _: float) -> tuple:
+        published, waiting = state
+        return (published + waiting + 1, 0) if kind == done else (published, waiting + 1)
+
+    return in_event_order(events, (0, 0), step, ["published long", "waiting long"], late)
+
+
 def upsert(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
     """Run a stream over what its source has now and return the last value of each key.
 
