@@ -8,12 +8,14 @@ it picks: sets that share tokens share paths. Paths of depth ``DEPTH`` are the f
 probability ``RECALL`` even in buckets of the greatest depth (``runs_for``); more alike pairs meet nearly always.
 
 Small buckets are compared by brute force: sketches rule out most pairs, then the sets themselves give the exact
-similarity. The sets of buckets that are still large (groups of many near copies, which share most of their paths) are
-dealt once to blocks of at most about ``BLOCK`` sets, and every two blocks that meet in any large bucket are compared
-once, by products of their incidence over shared members. So the members of such a group are shipped once for each
-block of it, not once for each bucket, run and group; nothing is capped, and no task holds more than two blocks.
-
-A pair that shares a large bucket is counted by its blocks, any other pair by the least of the small buckets it shares,
+similarity. The sets of buckets that are still large (groups of many near copies) first meet a few leaders: Jaccard
+distance is a metric, so sets within ``RADIUS`` of one leader are all linked, and such a ball counts its links from its
+size, in work that grows with its rows. The other pairs of these sets are dealt once to blocks of at most about
+``BLOCK`` sets, and every two blocks that meet in any large bucket, but for blocks of one ball, are compared once, by
+products of their incidence over shared members. So the members of such a group are shipped once for each block of it,
+not once for each bucket, run and group; nothing is capped, and no task holds more than two blocks.
+
+A pair within a ball is counted there, one that shares a large bucket by its blocks, any other by the least small bucket,
 so links are counted without listing all pairs; buckets and blocks hand on the number of links of each set and a
 spanning forest of them, which are as many rows as they have sets. Classes are the connected components of the forests.
 
@@ -46,6 +48,11 @@ BUCKET = 256
 #: Sets of a block of large buckets, and members of its sets, about.
 BLOCK = 1_024
 BLOCK_MEMBERS = 1 << 21
+#: Similarity to a leader from which a set is in its ball: two such sets are at most twice that distance apart.
+RADIUS = (1 + THRESHOLD) / 2
+LEADERS = 4
+#: Bytes of all leaders' sets up to which they may be broadcast.
+LEADER_BYTES = 1 << 25
 #: Standard errors by which a sketch may fall below the threshold before its pair is ruled out.
 MARGIN = 5.0
 EMPTY = 0
@@ -169,6 +176,7 @@ def _alike_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     leaf = table.column("leaf").to_numpy()
     sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, SLOTS)
     leaves, large = table.column("leaves").to_pylist(), table.column("large").to_pylist()
+    balls = table.column("ball").to_pylist() if "ball" in table.column_names else [None] * len(leaf)
     starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(leaf)]]))
     least = (THRESHOLD - MARGIN * (THRESHOLD * (1 - THRESHOLD) / SLOTS) ** 0.5) * SLOTS
@@ -181,7 +189,8 @@ def _alike_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     def counted_here(x: int, y: int) -> bool:
         (small_x, large_x), (small_y, large_y) = own(x), own(y)
-        return min(small_x & small_y) == leaf[x] and large_x.isdisjoint(large_y)
+        apart = balls[x] is None or balls[x] != balls[y]
+        return apart and min(small_x & small_y) == leaf[x] and large_x.isdisjoint(large_y)
 
     left, right, first = [], [], []
     for size in np.unique(sizes).tolist():
@@ -338,22 +347,76 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
 # ---------------------------------------------------------------- the join
 
 
-def _block_tasks(heavy: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _homes(heavy: DataFrame, sketches: DataFrame) -> DataFrame:
+    """set, home (the largest of its large buckets), large (all of them), copies, members; ``heavy`` is leaf, set, size."""
+    home = heavy.groupBy("set").agg(F.max(F.struct("size", "leaf"))["leaf"].alias("home"), F.collect_list("leaf").alias("large"))  # a set has few paths
+    slim = sketches.select(F.col("set").alias("own"), "copies", "members")
+    return common.materialize(home.join(slim, F.col("set") == F.col("own")).drop("own"), "join-homes")
+
+
+def _balls(heavy: DataFrame, homes: DataFrame, sets: DataFrame) -> DataFrame:
+    """set, ball: of the leaders of its home within the radius, the one of most sets; in balls of more than ``BUCKET``.
+
+    Jaccard distance is a metric: two sets of similarity ``RADIUS`` or more to one leader are linked, so the links within
+    a ball are counted from its size, without a comparison. A bucket has a few leaders, those of least hash, so that buckets
+    of much the same sets have the same ones. ``heavy`` is leaf, set, size; ``homes`` that of ``_homes``.
+    """
+    picks = F.array_distinct(F.array(*[F.min_by("set", F.xxhash64("set", F.lit(k))) for k in range(LEADERS)]))
+    asked = homes.select(F.col("home").alias("leaf")).distinct()
+    picked = heavy.join(asked, "leaf", "left_semi").groupBy("leaf").agg(picks.alias("leaders")).select(F.col("leaf").alias("h"), F.explode("leaders").alias("leader"))
+    led = picked.join(sets.withColumnRenamed("set", "named"), F.col("leader") == F.col("named"))
+    led = led.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("leader", "shingles"))).alias("leaders"))  # ``LEADERS`` at most
+    led = common.materialize(led, "join-leaders")
+    size = led.agg(F.sum(F.aggregate("leaders", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x["shingles"])))).first()[0] or 0
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for name, members, leaders in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                own = np.frombuffer(members, np.uint64)
+                for x in leaders:
+                    other = np.frombuffer(x["shingles"], np.uint64)
+                    inter = len(np.intersect1d(own, other, assume_unique=True))
+                    if inter >= RADIUS * (len(own) + len(other) - inter):
+                        found.append((name, x["leader"]))
+            columns = list(zip(*found, strict=True)) if found else [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["set", "ball"])
+
+    rows = homes.select("set", "home").join(sets.withColumnRenamed("set", "named"), F.col("set") == F.col("named"))
+    rows = rows.join(common.maybe_broadcast(led, size, LEADER_BYTES), F.col("home") == F.col("h")).select("set", "shingles", "leaders")
+    near = common.materialize(rows.mapInArrow(close, "set long, ball long"), "join-near")
+    # small balls are not worth blocks of their own
+    large = near.groupBy("ball").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).withColumnRenamed("ball", "b")
+    large = common.materialize(large, "join-large-balls")
+    inside = near.join(common.maybe_broadcast(large, large.count()), F.col("ball") == F.col("b"))
+    return common.materialize(inside.groupBy("set").agg(F.max(F.struct("n", "ball"))["ball"].alias("ball")), "join-balls")
+
+
+def _ball_links(homes: DataFrame) -> DataFrame:
+    """set, links, to: the links within each ball, and its members' edges to the leader; ``homes`` has ball."""
+    inside = homes.where("ball is not null").select("set", "ball", "copies")
+    totals = inside.groupBy("ball").agg(F.sum("copies").alias("total")).withColumnRenamed("ball", "b")
+    totals = common.materialize(totals, "join-ball-sizes")
+    each = inside.join(common.maybe_broadcast(totals, totals.count()), F.col("ball") == F.col("b"))
+    own = each.select("set", (F.col("total") - F.col("copies")).alias("links"), F.col("set").alias("to")).where("links > 0")
+    return own.unionByName(inside.where("set <> ball").select("set", F.lit(0).cast("long").alias("links"), F.col("ball").alias("to")))
+
+
+def _block_tasks(homes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sets of large buckets in blocks (set, copies, large, block), and the pairs of blocks that meet (task, side, block).
 
-    A set goes to a block of the largest of its buckets, dealt by its hash. ``heavy`` is leaf, set, size.
+    A set goes to a block of its ball, or else of its home, dealt by its hash; blocks of one ball do not meet.
     """
-    home = heavy.groupBy("set").agg(F.max(F.struct("size", "leaf"))["leaf"].alias("home"), F.collect_list("leaf").alias("large"))  # a set has few paths
-    slim = sketches.select(F.col("set").alias("own"), "copies", "members")
-    home = common.materialize(home.join(slim, F.col("set") == F.col("own")).drop("own"), "join-homes")
+    dealt = homes.withColumn("place", F.when(F.col("ball").isNotNull(), F.xxhash64(F.lit("ball"), "ball")).otherwise(F.xxhash64(F.lit("home"), "home")))
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("members") / BLOCK_MEMBERS))
-    homes = common.materialize(home.groupBy("home").agg(parts.alias("parts")).withColumnRenamed("home", "h"), "join-home-parts")
-    dealt = home.join(common.maybe_broadcast(homes, homes.count()), F.col("home") == F.col("h"))
-    block = F.xxhash64("home", F.pmod(F.xxhash64("set", F.lit("block")), F.col("parts")))
-    blocks = common.materialize(dealt.select("set", "copies", "large", block.alias("block")), "join-blocks")
-    met = common.materialize(blocks.select("block", F.explode("large").alias("leaf")).distinct(), "join-met")
-    other = met.select(F.col("block").alias("other"), F.col("leaf").alias("l"))
-    pairs = met.join(other, F.col("leaf") == F.col("l")).where("block <= other").select("block", "other").distinct()
+    sizes = common.materialize(dealt.groupBy("place").agg(parts.alias("parts")).withColumnRenamed("place", "p"), "join-place-parts")
+    dealt = dealt.join(common.maybe_broadcast(sizes, sizes.count()), F.col("place") == F.col("p"))
+    block = F.xxhash64("place", F.pmod(F.xxhash64("set", F.lit("block")), F.col("parts")))
+    blocks = common.materialize(dealt.select("set", "copies", "large", "ball", block.alias("block")), "join-blocks")
+    met = common.materialize(blocks.select("block", "ball", F.explode("large").alias("leaf")).distinct(), "join-met")
+    other = met.select(F.col("block").alias("other"), F.col("ball").alias("other_ball"), F.col("leaf").alias("l"))
+    apart = F.col("ball").isNull() | F.col("other_ball").isNull() | (F.col("ball") != F.col("other_ball"))
+    pairs = met.join(other, F.col("leaf") == F.col("l")).where(F.col("block") <= F.col("other")).where(apart).select("block", "other").distinct()
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("block").alias("of")), F.struct(F.lit(1).alias("side"), F.col("other").alias("of")))
     sides = F.when(F.col("block") == F.col("other"), F.slice(sides, 1, 1)).otherwise(sides)
     tasks = pairs.select(F.xxhash64("block", "other").alias("task"), F.explode(sides).alias("s"))
@@ -397,29 +460,31 @@ def links_of(sketches: DataFrame, shingles: Callable[[DataFrame], DataFrame], re
         deeper = heavy.join(own.withColumnRenamed("set", "own"), F.col("set") == F.col("own")).select("leaf", "set", "sketch")
         members = common.materialize(deeper.mapInArrow(longer_paths, "leaf long, set long"), "join-paths")
     leaves = common.materialize(leaves, "join-leaves")
-    blocks, tasks = _block_tasks(heavy, sketches)
-    common.discard(*used)
+    homes = _homes(heavy, sketches)
     of_set = leaves.groupBy("set").agg(F.collect_list("leaf").alias("leaves"))  # a set has few paths
     known = sketches.join(of_set.withColumnRenamed("set", "own"), F.col("set") == F.col("own")).drop("own")
-    large = blocks.select(F.col("set").alias("own"), "large")
+    large = homes.select(F.col("set").alias("own"), "large")
     known = known.join(large, F.col("set") == F.col("own"), "left").select("set", "sketch", "copies", "leaves", "large")
     known = common.materialize(known, "join-known")
     of = known.withColumnRenamed("set", "own")
     asked = leaves.join(of.drop("copies"), F.col("set") == F.col("own")).select("leaf", "set", "sketch", "leaves", "large")
     asked = asked.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(screen, "leaf long, set long")
     asked = common.materialize(asked, "join-candidates")
-    needed = common.materialize(asked.select("set").unionByName(blocks.select("set")).distinct(), "join-needed")
+    needed = common.materialize(asked.select("set").unionByName(homes.select("set")).distinct(), "join-needed")
     found = common.materialize(shingles(needed), "join-shingles")
     sets = found.withColumnRenamed("set", "named")
+    balls = _balls(heavy, homes, found).withColumnRenamed("set", "own")
+    homes_of = common.materialize(homes.join(balls, F.col("set") == F.col("own"), "left").drop("own"), "join-dealt")
+    blocks, tasks = _block_tasks(homes_of)
     full = asked.join(of, F.col("set") == F.col("own")).drop("own").join(sets, F.col("set") == F.col("named"))
-    full = full.select("leaf", "set", "sketch", "leaves", "large", "copies", "shingles")
+    full = full.join(balls, F.col("set") == F.col("own"), "left").select("leaf", "set", "sketch", "leaves", "large", "copies", "shingles", "ball")
     links = full.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(verify, _LINKS)
     if any_heavy:
         whole = blocks.join(sets, F.col("set") == F.col("named"))
         pairs = tasks.join(whole, F.col("of") == F.col("block")).select("task", "side", "set", "copies", "large", "shingles")
-        links = links.unionByName(pairs.repartition("task").sortWithinPartitions("task").mapInArrow(verify_blocks, _LINKS))
+        links = links.unionByName(pairs.repartition("task").sortWithinPartitions("task").mapInArrow(verify_blocks, _LINKS)).unionByName(_ball_links(homes_of))
     links = common.materialize(links, "join-links")
-    common.discard(leaves, blocks, tasks, known, asked, needed, found)
+    common.discard(*used, leaves, homes, homes_of, blocks, tasks, known, asked, needed, found)
     return links
 
 

@@ -89,6 +89,29 @@ def test_blocks_meet_a_bounded_number_of_times(spark, monkeypatch):
     assert blocks.groupBy("set").count().where("count > 1").count() == 0
 
 
+def test_a_tight_group_needs_no_comparison(spark, monkeypatch):
+    """Near copies within the radius of a leader count their links from the ball's size: no two of its blocks meet."""
+    monkeypatch.setattr(ngram_join, "BUCKET", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    shipped = []
+    real = ngram_join._block_tasks
+    monkeypatch.setattr(ngram_join, "_block_tasks", lambda *a: shipped.append(real(*a)) or shipped[-1])
+    monkeypatch.setattr(ngram_join.common, "discard", lambda *tables: None)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for k in range(120):
+        text = list(base)
+        text[rng.randrange(300)] = f"own{k}"
+        texts += [" ".join(text)] * (2 if k % 10 == 0 else 1)
+    got, want = found(spark, texts), brute(list(range(len(texts))), texts)
+    assert got == want
+    blocks, tasks = shipped[0]
+    assert blocks.where("ball is not null").count() >= 100 and blocks.select("block").distinct().count() >= 6
+    inside = blocks.where("ball is not null").groupBy("ball").count().agg({"count": "max"}).first()[0]
+    assert inside >= 100 and tasks.count() == 0
+
+
 @pytest.mark.parametrize("depth", [2, 3, 4])
 def test_recall_at_the_threshold(depth):
     """Sketches of sets at Jaccard 0.8 meet in at least one bucket of each depth as often as the target says."""
