@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common, webp
 
@@ -91,6 +92,27 @@ def load(stored: DataFrame) -> DataFrame:
     return stored.mapInArrow(read, f"doc_id {own}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def pixels(stored: DataFrame, media_col: str = "media") -> DataFrame:
+    """doc_id, image (from 0), width, height and pixels (red, green, blue, alpha, row by row) of every image in ``media_col``.
+
+    Any lossless WebP is read: all prefix codes, back-references, colour caches and transforms. A null or empty value has
+    no image.
+    """
+    slim = stored.select("doc_id", F.col(media_col).alias("media"))
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, media in enumerate(batch.column(1).to_pylist()):
+                images = webp.decode(media or b"")
+                rows = [(k, image.shape[1], image.shape[0], image.astype(np.uint8).tobytes()) for k, image in enumerate(images)]
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+                arrays = [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([at] * len(rows), pa.int64())), *arrays], ["doc_id", "image", "width", "height", "pixels"])
+
+    return slim.mapInArrow(read, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, image int, width int, height int, pixels binary")
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = common.materialize(store(common.read(spark, sf_dir, "documents")), "media")
     return load(stored)

@@ -45,3 +45,26 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DATA).count() == 0
+
+
+def test_rows_of_every_kind_go_through(spark):
+    """Null and repeated ids, null, empty and very long texts, null sources, and columns named as the stages' own."""
+    line = "The text of number {} and what it is for. It was read by the staff in the town, and by others of the place. "
+    rows = [(i, line.format(i) * (1 + i % 3), "en", "a" if i % 3 else None, 9) for i in range(60)]
+    rows += [(None, line.format("none"), None, "b", None), (None, line.format("other") * 2, "en", "b", 1), (7, line.format("seven again"), "en", "b", 1)]
+    rows += [(100, None, "en", "a", 0), (101, "", "en", "a", 0), (102, "long words of a text. " * 40_000, "en", "c", 1), (3, line.format(3), "en", "a", 9)]
+    extra = "1 AS quality, 2 AS severity, 3 AS h, 4 AS copies, 5 AS seed, 6 AS size, 7 AS length, 8 AS `set`, 9 AS class_id"
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *extra.split(", "))
+    columns, before = docs.columns, docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = stage(spark, before, DATA)
+        assert before.columns == columns
+    ids = {r["doc_id"] for r in rows_of(before.select("doc_id"))}
+    assert not ids & {100, 101} and len(ids) > 20
+    last = rows_of(corpus_pipeline.STAGES[-1][1](spark, before, DATA))
+    places = {}
+    for r in last:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in places.values():
+        ends = [0] + [a + n for a, n in sorted(parts)]
+        assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= packing.CAPACITY

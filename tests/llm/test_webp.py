@@ -273,3 +273,16 @@ def test_media_column(spark):
     same = [{k: v for k, v in r.items() if k != "doc_id"} for r in got]
     assert same[0] == same[1] and same[2] == same[3]
     assert rows_of(media.load(media.store(docs(spark, [])))) == []
+
+
+def test_pixel_arrays(spark):
+    """What is stored comes back as pixel arrays, and so do images of colours, transforms and back-references."""
+    texts = ["", "some text", "ab" * 400]
+    stored = media.store(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    got = {r["doc_id"]: r for r in rows_of(media.pixels(stored))}
+    for i, text in enumerate(texts):
+        image = np.frombuffer(got[i]["pixels"], np.uint8).reshape(got[i]["height"], got[i]["width"], 4)
+        assert image[..., 1].tobytes() == media.payload_of(text)[0] and (image[..., 3] == 255).all() and got[i]["image"] == 0
+    two = media.to_media(media.payload_of("x")[0]) * 2
+    rows = spark.createDataFrame([(1, two), (2, None)], "doc_id long, media binary")
+    assert [(r["doc_id"], r["image"], r["width"], r["height"]) for r in rows_of(media.pixels(rows))] == [(1, 0, 64, 1), (1, 1, 64, 1)]
