@@ -1,7 +1,12 @@
 """A corpus pipeline: quality, toxicity, near duplicates, source mix and packing, each on all that the last one kept.
 
 Every stage reads the columns of ``documents`` and all but the last return them; each is written as Parquet in the
-shared folder and read again. Null or empty texts are rejected by the first stage; an empty table goes through as one.
+shared folder and read again.
+
+Defined cases: null or empty texts are rejected by the first stage; very long texts are read whole and cut in pieces by
+the last stage only; of rows that repeat a text, or an id and a text, one stays after the third stage, and of a tie the
+least id (null ids last); different texts under null or equal ids are kept; null sources are one source; columns named as
+those of a stage pass through; an empty table goes through as one.
 """
 
 from __future__ import annotations

@@ -168,14 +168,15 @@ o AS (SELECT *, count(*) OVER (PARTITION BY user_id, frame_index) AS m FROM d)
 SELECT user_id, frame_index::BIGINT AS frame_index, string_agg(reason, '+' ORDER BY k) AS reasons FROM o WHERE m = 1 OR reason <> 'filler' GROUP BY 1, 2""")
 def frame_selection(spark, sf_dir):
     """Frames around events, at even steps, and near the end, with their reasons; a filler counts only alone."""
-    f = frames(spark, sf_dir)
-    n = f.groupBy("user_id").agg(F.max("frame_index").alias("last"))
-    e = f.where("event_type = 'purchase'").join(n, "user_id").select("user_id", "last", F.explode(F.transform(F.array(*[F.lit(o) for o in (-6, -3, 0, 3, 6)]), lambda o: F.least(F.greatest(F.col("frame_index") + o, F.lit(0)), F.col("last")))).alias("frame_index"))
-    filler = n.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(20).cast("long"))).alias("frame_index"))
-    end = n.select("user_id", F.explode(F.sequence(F.greatest(F.col("last") - 20, F.lit(0)), F.col("last"), F.lit(5).cast("long"))).alias("frame_index"))
-    named = [(e, "event", 0), (filler, "filler", 1), (end, "end", 2)]
-    parts = [p.select("user_id", F.col("frame_index").cast("long").alias("frame_index"), F.lit(k).alias("k"), F.lit(r).alias("reason")) for p, r, k in named]
-    whole = parts[0].union(parts[1]).union(parts[2]).groupBy("user_id", "frame_index").agg(F.array_sort(F.collect_set(F.struct("k", "reason"))).alias("s"))
+    i, last = F.col("frame_index"), F.col("last")
+    f = frames(spark, sf_dir).withColumn("last", F.max("frame_index").over(Window.partitionBy("user_id")))
+    named = lambda frame, k, reason: F.struct(frame.cast("long").alias("frame_index"), F.lit(k).alias("k"), F.lit(reason).alias("reason"))
+    around = F.transform(F.array(*[F.lit(o) for o in (-6, -3, 0, 3, 6)]), lambda o: named(F.least(F.greatest(i + o, F.lit(0)), last), 0, "event"))
+    near_end = (i >= last - 20) & ((i - F.greatest(last - 20, F.lit(0))) % 5 == 0)
+    none = F.array().cast("array<struct<frame_index:bigint,k:int,reason:string>>")
+    found = F.concat(F.when(F.col("event_type") == "purchase", around).otherwise(none), F.when(i % 20 == 0, F.array(named(i, 1, "filler"))).otherwise(none), F.when(near_end, F.array(named(i, 2, "end"))).otherwise(none))
+    rows = f.select("user_id", F.explode(found).alias("x")).select("user_id", "x.*")
+    whole = rows.groupBy("user_id", "frame_index").agg(F.array_sort(F.collect_set(F.struct("k", "reason"))).alias("s"))
     kept = F.when(F.size("s") > 1, F.filter("s", lambda x: x["reason"] != "filler")).otherwise(F.col("s"))
     return whole.select("user_id", "frame_index", F.array_join(F.transform(kept, lambda x: x["reason"]), "+").alias("reasons"))
 
