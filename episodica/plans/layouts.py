@@ -101,3 +101,36 @@ def chunked_content(spark, sf_dir):
     joined = parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.array_sort(F.collect_list(F.struct("chunk", F.hex("part").alias("h")))).alias("p"))
     whole = F.sha2(F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")), 256)
     return d.join(joined, "doc_id", "left").select("doc_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce(whole, F.sha2(F.lit(""), 256)).alias("whole"))
+
+
+@query("""SELECT unnest(['first write', 'second write', 'same rows again', 'changed rows', 'rows there']) AS step, unnest(['written', 'refused', 'left', 'written', (SELECT count(*)::VARCHAR FROM documents)]) AS outcome""")
+def guarded_writes(spark, sf_dir):
+    """A writer that never replaces, and one that writes only what has changed; a write is whole or not there."""
+    once, kept = _folder(spark, "once"), _folder(spark, "kept")
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    outcome = []
+    for step in ("first write", "second write"):
+        try:
+            files.write_once(d, once)
+            outcome.append((step, "written"))
+        except Exception as error:
+            if "PATH_ALREADY_EXISTS" not in str(error):
+                raise
+            outcome.append((step, "refused"))
+    said = {True: "written", False: "left"}
+    files.write_if_changed(d.withColumn("n_chars", F.col("n_chars") + 1), kept)
+    outcome.append(("same rows again", said[files.write_if_changed(d.withColumn("n_chars", F.col("n_chars") + 1), kept)]))
+    outcome.append(("changed rows", said[files.write_if_changed(d, kept)]))
+    outcome.append(("rows there", str(spark.read.parquet(kept).count())))
+    return spark.createDataFrame(outcome, "step string, outcome string")
+
+
+@query("""SELECT 'R' || r_regionkey AS row, 'N' || c AS "column", CASE WHEN r_regionkey = c THEN 'X' ELSE (r_regionkey * 5 + c)::VARCHAR END AS value FROM region, (SELECT unnest(range(5)) AS c)""")
+def matrix_cells(spark, sf_dir):
+    """A white-space matrix with colour codes as rows of (row, column, value)."""
+    path = _folder(spark, "matrix")
+    cell = lambda c: F.when(F.col("r_regionkey") == c, "X").otherwise((F.col("r_regionkey") * 5 + c).cast("string"))
+    lines = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.concat_ws("  ", F.concat(F.lit("\x1b[4mR"), F.col("r_regionkey").cast("string"), F.lit("\x1b[0m")), *[cell(c) for c in range(5)]).alias("value"))
+    head = spark.range(1).select(F.lit(-1).alias("k"), F.lit("\t" + "\t".join(f"N{c}" for c in range(5))).alias("value"))
+    head.unionByName(lines).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    return files.matrix(spark, path)

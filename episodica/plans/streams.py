@@ -83,3 +83,12 @@ def stream_retry_log(spark, sf_dir):
     """An append-only log of the events that ask for a retry."""
     stream = ev.event_stream(spark, sf_dir).where("event_type = 'error'").select("event_id", "user_id", "value")
     return ev.upsert(stream, ["event_id"], mode="append").select("event_id", "user_id", F.round("value", 6).alias("value"))
+
+
+@query("""SELECT event_id AS step, round(value, 6) AS value FROM events""")
+def stream_metrics(spark, sf_dir):
+    """An append-only log of scalar metrics as JSON lines; a step that is sent again is not logged twice."""
+    both = ev.event_stream(spark, sf_dir).unionByName(ev.event_stream(spark, sf_dir))
+    line = F.to_json(F.struct(F.col("event_id").alias("step"), "value"))
+    log = ev.upsert(ev.once(both, ["event_id"], ev.span(spark, sf_dir)).select("event_id", line.alias("line")), ["event_id"], mode="append")
+    return log.select(F.from_json("line", "step long, value double").alias("r")).select("r.step", F.round("r.value", 6).alias("value"))

@@ -109,7 +109,7 @@ def gpu_samples(spark: SparkSession, path: str) -> DataFrame:
 
 def matrix(spark: SparkSession, path: str) -> DataFrame:
     """A white-space matrix with row and column names as rows (row, column, value); colour codes are stripped."""
-    clean = F.trim(F.regexp_replace("value", r"\x1b\[[0-9;]*m", ""))
+    clean = F.regexp_replace(F.regexp_replace("value", r"\x1b\[[0-9;]*m", ""), r"^\s+|\s+$", "")  # tabs too
     rows = spark.read.option("wholetext", "true").text(path).select(F.explode(F.split("value", "\n")).alias("value")).select(F.split(clean, r"\s+").alias("f")).where(F.size("f") > 1)
     head = rows.where(~F.col("f")[1].rlike(r"^(X|NV|SYS|PIX|PHB|NODE|\d)")).select(F.col("f").alias("names")).limit(1)
     cells = rows.where(F.col("f")[1].rlike(r"^(X|NV|SYS|PIX|PHB|NODE|\d)")).join(F.broadcast(head))
