@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from episodica.operators.sequence import fold_in_order
 
 
 def latest_state(events: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
@@ -39,27 +39,18 @@ def transitions(log: DataFrame, key: str, order: str, expected: str, new: str, e
     """What each entry of a record's log does: key, order, outcome and the state after it.
 
     An entry names the state it expects. It is replayed if it repeats the last edge taken, mismatched if the record is in
-    another state, applied if the edge is legal, else illegal. A rule that hangs on its own outcome needs one linear pass
-    over each record's entries.
+    another state, applied if the edge is legal, else illegal.
     """
     legal = set(edges)
-    rows = log.select(key, order, expected, new)
-    schema = T.StructType([rows.schema[key], rows.schema[order], T.StructField("outcome", T.StringType()), T.StructField("state", T.StringType())])
-
-    def fold(entries: pd.DataFrame) -> pd.DataFrame:
-        entries = entries.sort_values(order, ignore_index=True)
-        state, old, out, states = start, start, [], []
-        for want, to in zip(entries[expected], entries[new], strict=True):
-            if to == state and want == old:
-                out.append("replayed")
-            elif want != state:
-                out.append("mismatch")
-            elif (state, to) in legal:
-                out.append("applied")
-                state, old = to, state
-            else:
-                out.append("illegal")
-            states.append(state)
-        return entries[[key, order]].assign(outcome=out, state=states)
-
-    return rows.groupBy(key).applyInPandas(fold, schema)
+
+    def step(state: tuple[str, str], want: str, to: str) -> tuple[tuple[str, str], tuple[str, str]]:
+        now, old = state
+        if to == now and want == old:
+            return state, ("replayed", now)
+        if want != now:
+            return state, ("mismatch", now)
+        if (now, to) in legal:
+            return (to, now), ("applied", to)
+        return state, ("illegal", now)
+
+    return fold_in_order(log, [key], [order], [expected, new], (start, start), step, {"outcome": "string", "state": "string"})

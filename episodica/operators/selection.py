@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from episodica.operators.sequence import fold_in_order
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int | Column) -> DataFrame:
@@ -37,23 +37,19 @@ def greedy_admit(df: DataFrame, keys: list[str], order: list[str], cost: str, ca
     """Rows of a group one by one: admitted if no cap would be passed by what was admitted before.
 
     ``caps`` limits the admitted cost of the rows for which ``classes`` of the same name holds; the first cap that is
-    passed is the reason. A sequential rule needs one group's rows in one task: one linear pass over each.
+    passed is the reason.
     """
     names = list(caps)
-    rows = df.select(*keys, *order, cost, *[classes[n].alias(f"_of{i}") for i, n in enumerate(names)])
-    schema = T.StructType([*df.select(*keys, *order).schema.fields, T.StructField("verdict", T.StringType())])
-
-    def admit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, ignore_index=True)
-        sums, out = [0.0] * len(names), []
-        for price, *of in zip(group[cost].tolist(), *[group[f"_of{i}"].tolist() for i in range(len(names))], strict=True):
-            over = [n for i, n in enumerate(names) if of[i] and sums[i] + price > caps[n]]
-            if not over:
-                sums = [s + price if on else s for s, on in zip(sums, of, strict=True)]
-            out.append(over[0] if over else "admitted")
-        return group[[*keys, *order]].assign(verdict=out)
-
-    return rows.groupBy(*keys).applyInPandas(admit, schema)
+    flags = [f"_of{i}" for i in range(len(names))]
+    rows = df.withColumns({f: classes[n] for f, n in zip(flags, names, strict=True)})
+
+    def step(sums: tuple[float, ...], price: float, *of: bool) -> tuple[tuple[float, ...], tuple[str]]:
+        over = next((n for n, s, on in zip(names, sums, of, strict=True) if on and s + price > caps[n]), None)
+        if over:
+            return sums, (over,)
+        return tuple(s + price if on else s for s, on in zip(sums, of, strict=True)), ("admitted",)
+
+    return fold_in_order(rows, keys, order, [cost, *flags], (0.0,) * len(names), step, {"verdict": "string"})
 
 
 def hash_order(*cols: str, seed: str = "") -> Column:

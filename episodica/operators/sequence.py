@@ -6,9 +6,9 @@ every window of a query.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,20 +84,43 @@ def motion(df: DataFrame, value: str, keys: list[str], order: str = "frame_index
     )
 
 
+def fold_in_order(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], start, step: Callable, outputs: dict[str, str], keep: list[str] | None = None) -> DataFrame:
+    """keys, order, ``keep`` and ``outputs`` (name to string or double): a fold over each group's rows in order.
+
+    ``step(state, *inputs)`` gives the next state and the outputs of its row. Groups are dealt by key and sorted, and rows
+    are read as they come, so a task holds the state of one group and one batch, however long the group is.
+    """
+    kept = list(dict.fromkeys([*keys, *order, *(keep or [])]))
+    rows = df.select(*kept, *[F.col(c).alias(f"_in{i}") for i, c in enumerate(inputs)])
+    types = {"string": (T.StringType(), pa.string()), "double": (T.DoubleType(), pa.float64())}
+    schema = T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(n, types[t][0]) for n, t in outputs.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, start
+        for batch in batches:
+            names = zip(*(batch.column(kept.index(c)).to_pylist() for c in keys), strict=True)
+            values = zip(*(batch.column(len(kept) + i).to_pylist() for i in range(len(inputs))), strict=True)
+            out = []
+            for name, value in zip(names, values, strict=True):
+                if name != last:
+                    last, state = name, start
+                state, given = step(state, *value)
+                out.append(given)
+            columns = list(zip(*out, strict=True)) if out else [()] * len(outputs)
+            made = [pa.array(list(c), types[t][1]) for c, t in zip(columns, outputs.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], [*kept, *outputs])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def ema(df: DataFrame, value: str, keys: list[str], alpha: float, order: str = "frame_index") -> DataFrame:
-    """Exponential smoothing from the first value on; a recurrence, so one linear pass over each episode's frames."""
-    kept = df.select(*keys, order, value)
-    schema = T.StructType([*kept.schema.fields, T.StructField("ema", T.DoubleType())])
-
-    def smooth(episode: pd.DataFrame) -> pd.DataFrame:
-        episode = episode.sort_values(order, ignore_index=True)
-        out, last = [], None
-        for x in episode[value].tolist():
-            last = x if last is None else last + alpha * (x - last)
-            out.append(last)
-        return episode.assign(ema=out)
-
-    return kept.groupBy(*keys).applyInPandas(smooth, schema)
+    """Exponential smoothing from the first value on."""
+
+    def step(last: float | None, x: float) -> tuple[float, tuple[float]]:
+        now = x if last is None else last + alpha * (x - last)
+        return now, (now,)
+
+    return fold_in_order(df, keys, [order], [value], None, step, {"ema": "double"}, [value])
 
 
 def hysteresis_cycles(df: DataFrame, value: str, keys: list[str], share: float = 0.25, order: str = "frame_index") -> DataFrame:
