@@ -139,9 +139,9 @@ def overlap_report(spark, sf_dir):
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9_]+", " "))
     d = table(spark, sf_dir, "documents").select("doc_id", norm(F.col("text")).alias("t"))
     b = table(spark, sf_dir, "benchmark").select("item_id", norm(F.col("text")).alias("t"))
-    words = F.split("t", " ")
+    words = F.col("words")  # a column of its own, split once a row
     runs = F.when(F.size(words) >= 8, F.transform(F.sequence(F.lit(1), F.size(words) - 7), lambda i: F.array_join(F.slice(words, i, 8), " "))).otherwise(F.array().cast("array<string>"))
-    run = lambda df, *more: df.select(*more, F.explode(F.array_distinct(runs)).alias("s"))
+    run = lambda df, *more: df.withColumn("words", F.split("t", " ")).select(*more, F.explode(F.array_distinct(runs)).alias("s"))
     shared = run(d, "doc_id").join(run(b).distinct(), "s", "left_semi").select("doc_id").distinct()
     count = lambda kind, hits: hits.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
     ids = d.join(b.select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi")
