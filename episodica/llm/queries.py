@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, media, mixing, ngram_join, packing, quality, token_counts, topk, toxicity, urls
+from . import collocations, html_extract, lexical, line_rules, media, mixing, ngram_join, packing, quality, token_counts, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -19,6 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_topk_search": topk.op9_topk_search,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_line_rules": line_rules.op12_line_rules,
+    "op13_lexical_search": lexical.op13_lexical_search,
 }
 
-SQL: dict[str, str] = {"op3_source_mix": mixing.OP3_SQL, "op9_topk_search": topk.OP9_SQL}
+SQL: dict[str, str] = {
+    "op3_source_mix": mixing.OP3_SQL,
+    "op9_topk_search": topk.OP9_SQL,
+    "op11_collocations": collocations.OP11_SQL,
+    "op12_line_rules": line_rules.OP12_SQL,
+    "op13_lexical_search": lexical.OP13_SQL,
+}
