@@ -3,9 +3,9 @@
 Each task numbers the words of its documents, a shard of at most ``SHARD_WORDS`` at a time, and builds one automaton of all
 substrings of bounded depth: states are substrings that end at the same places, with the number of these places and a
 suffix link. Their substrings and counts are summed over the shards. A phrase can be frequent only if the phrase of its
-suffix link and the one without its last word are, so the phrases of d words that are frequent go to the next pass as a
-filter of ``FILTER_BITS`` bits, whatever the corpus; it lets pass a few more than it should and never fewer, and the last
-pass counts what it passed exactly, by its words. A phrase hands its count to its suffix link, where the shorter phrase
+suffix link and the one without its last word are, so a pass over the hashes of shorter phrases gives the next one a filter
+of ``FILTER_BITS`` bits, whatever the corpus; it lets pass a few more than it should and never fewer, and the last pass
+counts what it passed exactly, by its words. A phrase hands its count to its suffix link, where the shorter phrase
 learns that it hardly stands alone.
 
 Defined cases: null text is empty; null languages are ``und``; texts are read whole, whatever their length; repeated rows
@@ -27,13 +27,12 @@ from . import common
 from .textvec import mix
 
 #: Words of a shard; one text more may pass it.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 FILTER_BITS = 1 << 26
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Ends of pieces become a byte that no text holds.
 _BYTES = bytes.maketrans(_UPPER + b".,;:!?\n\x0b\x0c\r\t", _UPPER.lower() + b"\xff" * 10 + b" ")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_ROWS = "lang string, phrase string, size int, hash long, n long"
 
 
 class _Numbers(dict):
@@ -165,54 +164,63 @@ def _holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _counted(docs: DataFrame, depth: int, filters: list, words: bool, spelled: bool) -> DataFrame:
-    """Counts by shard: of words and of all words of a language (``words``), and of phrases, by hash or ``spelled``.
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
+    shard = Shard()
+    for rows in batches:
+        for text, lang in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+            shard.add(text, lang)
+            if shard.size >= SHARD_WORDS:
+                yield shard
+                shard = Shard()
+    yield shard
 
-    ``filters`` holds those of the phrases of 2, 3, ... words; with one for all but the last length, spelled phrases of
-    every length are counted, else hashes of the last length only.
+
+def _substrings(shard: Shard, depth: int, bits: np.ndarray | None):
+    """The shard's sequence, hashes by length and end, and its substrings whose parts the filter holds.
+
+    The filter knows all lengths below ``depth``.
     """
-    shared = [docs.sparkSession.sparkContext.broadcast(f) for f in filters]
-
-    def flush(shard: Shard) -> Iterator[pa.RecordBatch]:
-        sequence = shard.sequence()
-        if not shard.words:
-            return
-        rolled = _rolled(sequence, shard.hashes(), depth)
-        passes = lambda length, places: _holds(shared[length - 2].value, rolled[length - 1][places]) if 0 <= length - 2 < len(shared) else np.ones(len(places), bool)
-        ends, lengths, counts = SuffixAutomaton(sequence, depth, passes).substrings()
-        spell, tongue = pa.array([None, *shard.words], pa.string()), pa.array(["", *shard.langs]).dictionary_encode()
-
-        def batch(chosen: np.ndarray, size: int, spelled: bool) -> pa.RecordBatch:
-            at, n = ends[chosen], len(chosen)
-            none = pa.nulls(n, pa.string())
-            phrase = pc.binary_join_element_wise(*[spell.take(pa.array(sequence[at - j])) for j in range(size - 1, -1, -1)], " ") if spelled else none
-            lang = tongue.take(pa.array(sequence[at])).cast(pa.string()) if spelled else none
-            hashed = pa.nulls(n, pa.int64()) if spelled else pa.array(rolled[size - 1][at].view(np.int64))
-            return pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(n, size, np.int32)), hashed, pa.array(counts[chosen])], ["lang", "phrase", "size", "hash", "n"])
-
-        if words:
-            own = np.flatnonzero(lengths == 1)
-            yield batch(own, 1, True)
-            sums = np.bincount(tongue.indices.to_numpy()[sequence[ends[own]]], weights=counts[own], minlength=len(tongue.dictionary)).astype(np.int64)
-            full = pa.array(sums > 0)
-            k = int((sums > 0).sum())
-            yield pa.RecordBatch.from_arrays([tongue.dictionary.filter(full), pa.nulls(k, pa.string()), pa.array(np.zeros(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(sums[sums > 0])], ["lang", "phrase", "size", "hash", "n"])
-        for size in range(2 if spelled else depth, depth + 1):
-            chosen = np.flatnonzero(lengths == size)
-            for first in range(0, len(chosen), 1 << 18):
-                yield batch(chosen[first : first + (1 << 18)], size, spelled)
+    sequence = shard.sequence()
+    rolled = _rolled(sequence, shard.hashes(), depth)
+    passes = None if bits is None else lambda length, places: _holds(bits, rolled[length - 1][places]) if length < depth else np.ones(len(places), bool)
+    return sequence, rolled, SuffixAutomaton(sequence, depth, passes).substrings()
+
+
+def _hashed(docs: DataFrame, depth: int, least: int, bits) -> DataFrame:
+    """hash: of the phrases of ``depth`` words that may occur ``least`` times; at first, of shorter ones too."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard()
-        for rows in batches:
-            for text, lang in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                shard.add(text, lang)
-                if shard.size >= SHARD_WORDS:
-                    yield from flush(shard)
-                    shard = Shard()
-        yield from flush(shard)
+        for shard in _shards(batches):
+            _, rolled, (ends, lengths, counts) = _substrings(shard, depth, bits and bits.value)
+            for size in range(1 if bits is None else depth, depth + 1):
+                of = np.flatnonzero(lengths == size)
+                for first in range(0, len(of), 1 << 18):
+                    some = of[first : first + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(rolled[size - 1][ends[some]].view(np.int64)), pa.array(counts[some])], ["hash", "n"])
 
-    return docs.mapInArrow(count, _ROWS).groupBy("lang", "phrase", "size", "hash").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("hash")
+
+
+def _spelled(docs: DataFrame, longest: int, bits) -> DataFrame:
+    """lang, phrase, size, n by shard: substrings whose parts pass, and all words of each language as size 0."""
+    names = ["lang", "phrase", "size", "n"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches):
+            sequence, _, (ends, lengths, counts) = _substrings(shard, longest, bits.value)
+            spell, tongue = pa.array([None, *shard.words], pa.string()), pa.array(["", *shard.langs], pa.string()).dictionary_encode()
+            sums = np.bincount(tongue.indices.to_numpy()[sequence[sequence > 0]], minlength=len(tongue.dictionary))
+            full = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([tongue.dictionary.take(pa.array(full)), pa.nulls(len(full), pa.string()), pa.array(np.zeros(len(full), np.int32)), pa.array(sums[full])], names)
+            for size in range(1, longest + 1):
+                of = np.flatnonzero(lengths == size)
+                for first in range(0, len(of), 1 << 18):
+                    some = of[first : first + (1 << 18)]
+                    at = ends[some]
+                    phrase = pc.binary_join_element_wise(*[spell.take(pa.array(sequence[at - j])) for j in range(size - 1, -1, -1)], " ")
+                    yield pa.RecordBatch.from_arrays([tongue.take(pa.array(sequence[at])).cast(pa.string()), phrase, pa.array(np.full(len(some), size, np.int32)), pa.array(counts[some])], names)
+
+    return docs.mapInArrow(count, "lang string, phrase string, size int, n long")
 
 
 def frequent_phrases(docs: DataFrame, text_col: str, lang_col: str, longest: int, least: int) -> DataFrame:
@@ -221,21 +229,13 @@ def frequent_phrases(docs: DataFrame, text_col: str, lang_col: str, longest: int
     Rows of size 0 hold the number of all words of a language.
     """
     slim = docs.select(docs[text_col].alias("text"), docs[lang_col].alias("lang"))
-    seen, filters = None, []
-    for depth in range(2, longest):
-        counts = _counted(slim, depth, filters, words=seen is None, spelled=False).where((F.col("size") == 0) | (F.col("n") >= least))
-        pairs = common.materialize(counts, f"phrases-{depth}")
-        seen = pairs if seen is None else seen
-        filters.append(_bits(pairs.where(F.col("size") == depth)))
-        if pairs is not seen:
-            common.discard(pairs)
-    last = _counted(slim, longest, filters, words=seen is None, spelled=True).where((F.col("size") == 0) | (F.col("n") >= least))
-    columns = ["lang", "phrase", "size", "n"]
-    both = last.select(*columns) if seen is None else last.select(*columns).unionByName(seen.where("size < 2").select(*columns))
-    found = common.materialize(both, "phrases")
-    if seen is not None:
-        common.discard(seen)
-    return found
+    share = docs.sparkSession.sparkContext.broadcast
+    bits = None
+    for depth in [min(2, longest - 1), *range(3, longest)]:
+        found = _bits(_hashed(slim, depth, least, bits))
+        bits = share(found if bits is None else bits.value | found)
+    counts = _spelled(slim, longest, bits).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    return common.materialize(counts.where((F.col("size") == 0) | (F.col("n") >= least)), "phrases")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, least: int = 10, share: int = 50, top: int = 2_000) -> DataFrame:

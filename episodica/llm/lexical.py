@@ -54,21 +54,15 @@ def _item_terms(items: DataFrame) -> DataFrame:
     return items.mapInArrow(split, "row long, term string, times long")
 
 
-def _blocks_of_items(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with a block for each item: consecutive items of a task until ``ITEM_TERMS`` pairs are reached."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, last = 0, 0, None
-        for batch in batches:
-            out = []
-            for row in batch.column(0).to_pylist():
-                if row != last and size >= ITEM_TERMS:
-                    block, size = block + 1, 0
-                last, size = row, size + 1
-                out.append(block)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "block"])
-
-    return pairs.mapInArrow(deal, "row long, term string, times long, block long").withColumn("block", F.col("block") * (1 << 20) + F.spark_partition_id())
+def _blocks_of_items(pairs: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``pairs`` with a block for each item, and the blocks: none of two items or more passes twice ``ITEM_TERMS``."""
+    few = max(1, math.ceil(pairs.count() / ITEM_TERMS))
+    while True:
+        dealt = pairs.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(few)))
+        sizes = dealt.groupBy("block", "row").agg(F.count(F.lit(1)).alias("n")).groupBy("block").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("items"))
+        if not sizes.where((F.col("n") > 2 * ITEM_TERMS) & (F.col("items") > 1)).head(1):
+            return dealt, [r["block"] for r in sizes.select("block").collect()]  # some for each ITEM_TERMS pairs
+        few *= 2
 
 
 def _document_blocks(docs: DataFrame, vocabulary) -> DataFrame:
@@ -183,10 +177,8 @@ def lexical_search(docs: DataFrame, items: DataFrame, k: int = 10, once: bool =
     rows = items.select(F.monotonically_increasing_id().alias("row"), items[item_col].alias("item_id"), items["text"].alias("text"))
     rows = common.materialize(rows, "search-items")
     pairs = common.materialize(_item_terms(rows), "search-terms")
-    few = max(1, math.ceil(pairs.count() / ITEM_TERMS))
-    dealt = common.materialize(_blocks_of_items(pairs.repartitionByRange(few, "row").sortWithinPartitions("row")), "search-dealt")
-    numbers = [r["block"] for r in dealt.select("block").distinct().collect()]  # one for each ITEM_TERMS pairs
-    results, spent = [], [pairs, dealt]
+    dealt, numbers = _blocks_of_items(pairs)
+    results, spent = [], [pairs]
     for number in numbers or [0]:
         mine = dealt.where(F.col("block") == number).select("row", "term", "times").toArrow()
         spelled = sorted(set(mine["term"].to_pylist()))

@@ -49,12 +49,12 @@ def corpus(seed, n):
     return docs, [(i, " ".join(draw.choices(words + ["unseen"], k=draw.randint(0, 12)))) for i in range(12)]
 
 
-@pytest.mark.parametrize("block,pairs,terms,once", [(300, 1 << 21, 1 << 20, True), (260, 50, 20, True), (8_192, 1 << 21, 7, False)])
+@pytest.mark.parametrize("block,pairs,terms,once", [(300, 1 << 21, 1 << 20, True), (260, 50, 60, False)])
 def test_against_brute_force(spark, monkeypatch, block, pairs, terms, once):
     monkeypatch.setattr(lexical, "BLOCK_DOCS", block)
     monkeypatch.setattr(lexical, "BLOCK_PAIRS", pairs)
     monkeypatch.setattr(lexical, "ITEM_TERMS", terms)
-    docs, items = corpus(terms, 700)
+    docs, items = corpus(block, 700)
     docs += [(None, "rare word"), (5, "w1 w1 w1"), (5, "w1 w1 w1"), (9_000, None), (9_001, ""), (9_002, "w2 " * 50_000)] + [(20_000 + i, "the same text w3") for i in range(40)]
     items += [(3, "w1"), (None, "w2 same"), (77, None), (78, "")]
     assert found(spark, docs, items, once=once) == brute(docs, items, once=once)
