@@ -59,11 +59,11 @@ class Shard:
         self._parts: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, text: str | None, lang: str | None) -> None:
+    def add(self, text: bytes | None, lang: str | None) -> None:
         lang = "und" if lang is None else lang
         if lang not in self._numbers:
             self._numbers[lang] = _Numbers(self.words, self.langs, lang)
-        found = (text or "").encode().translate(_BYTES).replace(b"\xff", b" \xff ").split()
+        found = (text or b"").translate(_BYTES).replace(b"\xff", b" \xff ").split()
         found.append(b"\xff")
         self._parts.append(np.fromiter(map(self._numbers[lang].__getitem__, found), np.int64, len(found)))
         self.size += len(found)
@@ -146,10 +146,16 @@ def _rolled(sequence: np.ndarray, hashes: np.ndarray, depth: int) -> list[np.nda
     return out
 
 
-def _bits(hashed: DataFrame) -> np.ndarray:
-    """A filter of ``FILTER_BITS`` bits with two of them set for each hash."""
-    places = F.array(F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftright("hash", 32).bitwiseAND(F.lit(FILTER_BITS - 1)))
-    words = hashed.select(F.explode(places).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash in a filter, from its first 16 and last 40 bits."""
+    low = hashes & np.uint64((1 << 40) - 1)
+    last = np.uint64(FILTER_BITS - 1)
+    return mix(low) & last, mix(low + (hashes >> np.uint64(48)) * _ODD) & last
+
+
+def _filter(bits: DataFrame) -> np.ndarray:
+    """``FILTER_BITS`` bits with those of the column ``bit`` set."""
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word"))
     found = words.agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
     out = np.zeros(FILTER_BITS >> 6, np.int64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy()
@@ -157,21 +163,21 @@ def _bits(hashed: DataFrame) -> np.ndarray:
 
 
 def _holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    last = np.uint64(len(bits) * 64 - 1)
     out = np.ones(len(hashes), bool)
-    for place in (hashes & last, (hashes >> np.uint64(32)) & last):
+    for place in _places(hashes):
         out &= (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
     return out
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
     shard = Shard()
-    for rows in batches:
-        for text, lang in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-            shard.add(text, lang)
-            if shard.size >= SHARD_WORDS:
-                yield shard
-                shard = Shard()
+    for batch in batches:
+        for rows in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for text, lang in zip(rows.column(0).cast(pa.binary()).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                shard.add(text, lang)
+                if shard.size >= SHARD_WORDS:
+                    yield shard
+                    shard = Shard()
     yield shard
 
 
@@ -186,19 +192,62 @@ def _substrings(shard: Shard, depth: int, bits: np.ndarray | None):
     return sequence, rolled, SuffixAutomaton(sequence, depth, passes).substrings()
 
 
-def _hashed(docs: DataFrame, depth: int, least: int, bits) -> DataFrame:
-    """hash: of the phrases of ``depth`` words that may occur ``least`` times; at first, of shorter ones too."""
+def _packed(hashes: np.ndarray, counts: np.ndarray, least: int, shift: int) -> pa.RecordBatch:
+    """A row for each run of equal first bits: the last 40 bits of its hashes and, up to ``least``, their counts."""
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], np.minimum(counts[order], least).astype(np.uint32)
+    group = (hashes >> np.uint64(48 + shift)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    ends = np.concatenate([at, [len(group)]]).tolist()
+    low = hashes.view(np.uint8).reshape(-1, 8)  # 6 bytes hold all but the first 16 bits
+    high = (hashes >> np.uint64(48)).astype(np.uint16)
+    pairs = list(zip(ends[:-1], ends[1:], strict=True))
+    columns = [[np.ascontiguousarray(low[a:b, :5]).tobytes() for a, b in pairs], [high[a:b].tobytes() for a, b in pairs], [counts[a:b].tobytes() for a, b in pairs]]
+    return pa.RecordBatch.from_arrays([pa.array(group[at]), *[pa.array(c, pa.binary()) for c in columns]], ["bucket", "low", "high", "n"])
+
+
+def _frequent_bits(docs: DataFrame, depth: int, least: int, bits) -> DataFrame:
+    """bit: the places in a filter of phrases of ``depth`` words that may occur ``least`` times; at first, of shorter ones too.
+
+    Hashes travel packed, in rows by their first bits: as many buckets as shuffle partitions or somewhat more. Hashes that
+    agree in 56 bits count as one, which lets pass more.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shift = max(0, 16 - max(parts - 1, 1).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
             _, rolled, (ends, lengths, counts) = _substrings(shard, depth, bits and bits.value)
-            for size in range(1 if bits is None else depth, depth + 1):
-                of = np.flatnonzero(lengths == size)
-                for first in range(0, len(of), 1 << 18):
-                    some = of[first : first + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(rolled[size - 1][ends[some]].view(np.int64)), pa.array(counts[some])], ["hash", "n"])
-
-    return docs.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("hash")
+            of = [np.flatnonzero(lengths == size) for size in range(1 if bits is None else depth, depth + 1)]
+            hashes = np.concatenate([rolled[lengths[some[0]] - 1][ends[some]] for some in of if len(some)] or [np.zeros(0, np.uint64)])
+            yield _packed(hashes, np.concatenate([counts[some] for some in of]), least, shift)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def frequent() -> pa.RecordBatch:
+            low = np.frombuffer(b"".join(h[0] for h in held), np.uint8).reshape(-1, 5)
+            wide = np.zeros((len(low), 8), np.uint8)
+            wide[:, :5] = low
+            keys = wide.view(np.uint64)[:, 0] | (np.frombuffer(b"".join(h[1] for h in held), np.uint16).astype(np.uint64) << np.uint64(48))
+            order = np.argsort(keys)
+            keys, n = keys[order], np.frombuffer(b"".join(h[2] for h in held), np.uint32)[order].astype(np.int64)
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            often = keys[at][np.add.reduceat(n, at) >= least]
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(_places(often))).astype(np.int64))], ["bit"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if row[0] != bucket and held:
+                    yield frequent()
+                    held = []
+                bucket = row[0]
+                held.append(row[1:])
+        if held:
+            yield frequent()
+
+    packed = docs.mapInArrow(count, "bucket long, low binary, high binary, n binary")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bit long")
 
 
 def _spelled(docs: DataFrame, longest: int, bits) -> DataFrame:
@@ -232,7 +281,7 @@ def frequent_phrases(docs: DataFrame, text_col: str, lang_col: str, longest: int
     share = docs.sparkSession.sparkContext.broadcast
     bits = None
     for depth in [min(2, longest - 1), *range(3, longest)]:
-        found = _bits(_hashed(slim, depth, least, bits))
+        found = _filter(_frequent_bits(slim, depth, least, bits))
         bits = share(found if bits is None else bits.value | found)
     counts = _spelled(slim, longest, bits).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
     return common.materialize(counts.where((F.col("size") == 0) | (F.col("n") >= least)), "phrases")
