@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.operators.sequence import fold_in_order
+from episodica.operators.scan import Table, scan
 
 
 def latest_state(events: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
@@ -41,7 +41,7 @@ def transitions(log: DataFrame, key: str, order: str, expected: str, new: str, e
     An entry names the state it expects. It is replayed if it repeats the last edge taken, mismatched if the record is in
     another state, applied if the edge is legal, else illegal.
     """
-    legal = set(edges)
+    legal, names = set(edges), sorted({start, *[s for edge in edges for s in edge]})
 
     def step(state: tuple[str, str], want: str, to: str) -> tuple[tuple[str, str], tuple[str, str]]:
         now, old = state
@@ -53,4 +53,5 @@ def transitions(log: DataFrame, key: str, order: str, expected: str, new: str, e
             return (to, now), ("applied", to)
         return state, ("illegal", now)
 
-    return fold_in_order(log, [key], [order], [expected, new], (start, start), step, {"outcome": "string", "state": "string"})
+    pairs = [(now, old) for now in names for old in names]
+    return scan(log, [key], [order], [expected, new], (start, start), step, lambda: Table(pairs, step), {"outcome": "string", "state": "string"})

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from episodica.sources.shared import written
+from episodica.operators.graphs import strong_components
+from episodica.operators.scan import Table, scan
 
 
 def violations(df: DataFrame, record: str, rules: list[tuple[str, Column, str]]) -> DataFrame:
@@ -42,20 +43,20 @@ def tri_state(any_fail: Column, any_unknown: Column) -> Column:
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes of (graph, a, b) on a cycle of any length.
+    """Nodes of (graph, a, b) on a cycle of any length."""
+    return strong_components(edges).select("graph", F.col("node").alias("a"))
 
-    Nodes without an edge in or without one out are peeled off until none is left; of what stays, mostly the cycles
-    themselves, reachable pairs are doubled until no new one is found.
+
+def in_order(df: DataFrame, keys: list[str], order: str, step: str) -> DataFrame:
+    """keys, order, ok: whether no step up to a row repeats the one before it; the first that does spoils all that follow.
+
+    Steps are few, and so are the states (last step, spoilt).
     """
-    core, size = written(edges.select("graph", "a", "b").distinct(), "edges"), -1
-    while (left := core.count()) != size and left:
-        size = left
-        ends, starts = core.select("graph", F.col("b").alias("a")).distinct(), core.select("graph", F.col("a").alias("b")).distinct()
-        core = written(core.join(ends, ["graph", "a"], "left_semi").join(starts, ["graph", "b"], "left_semi"), "core")
-    reach, size = core.select("graph", "a", "b"), -1
-    while (found := reach.count()) != size and found:
-        size = found
-        left, right = reach.alias("l"), reach.alias("r")
-        more = left.join(right, (F.col("l.graph") == F.col("r.graph")) & (F.col("l.b") == F.col("r.a"))).select("l.graph", "l.a", "r.b")
-        reach = written(reach.union(more).distinct(), "reach")
-    return reach.where("a = b").select("graph", "a").distinct()
+    kinds = [r[0] for r in df.select(step).distinct().collect()]
+    states = [(k, broken) for k in (*kinds, "") for broken in (False, True)]
+
+    def move(state: tuple[str, bool], kind: str) -> tuple[tuple[str, bool], tuple[int]]:
+        broken = state[1] or state[0] == kind
+        return (kind, broken), (int(not broken),)
+
+    return scan(df, keys, [order], [step], ("", False), move, lambda: Table(states, move), {"ok": "long"})

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from episodica.operators.scan import Affine, Hysteresis, hysteresis_step, scan
 from episodica.sources.shared import written
 
 
@@ -120,7 +121,7 @@ def ema(df: DataFrame, value: str, keys: list[str], alpha: float, order: str = "
         now = x if last is None else last + alpha * (x - last)
         return now, (now,)
 
-    return fold_in_order(df, keys, [order], [value], None, step, {"ema": "double"}, [value])
+    return scan(df, keys, [order], [value], None, step, lambda: Affine(alpha), {"ema": "double"}, [value])
 
 
 def hysteresis_cycles(df: DataFrame, value: str, keys: list[str], share: float = 0.25, order: str = "frame_index") -> DataFrame:
@@ -128,27 +129,13 @@ def hysteresis_cycles(df: DataFrame, value: str, keys: list[str], share: float =
 
     The value is smoothed by five taps with zeros outside the episode. Rows: keys, start, end (null if never opened).
     """
-    w = by(keys, order)
-    taps = df.withColumn("_s", F.sum(value).over(w.rowsBetween(-2, 2)) / 5)
-    whole = taps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), F.col("_s").alias("x")))).alias("a"), ((F.max("_s") - F.min("_s")) * share).alias("span"))
-    state = "struct<peak:double,start:bigint,low:double,out:array<struct<start:bigint,end:bigint>>>"
-    begin = F.struct(F.lit(float("-inf")).alias("peak"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("double").alias("low"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out")).cast(state)
-
-    def step(s, e):
-        closes = s["start"].isNull() & (F.greatest(s["peak"], e["x"]) - e["x"] > F.col("span"))
-        opens = s["start"].isNotNull() & (e["x"] > s["low"] + F.col("span"))
-        cycle = F.array(F.struct(s["start"].alias("start"), e["i"].alias("end")))
-        return F.struct(
-            F.when(opens, e["x"]).otherwise(F.greatest(s["peak"], e["x"])).alias("peak"),
-            F.when(closes, e["i"]).when(opens, F.lit(None)).otherwise(s["start"]).cast("bigint").alias("start"),
-            F.when(closes, e["x"]).otherwise(s["low"]).alias("low"),
-            F.when(opens, F.concat(s["out"], cycle)).otherwise(s["out"]).alias("out"),
-        ).cast(state)
-
-    done = whole.withColumn("s", F.aggregate("a", begin, step))
-    tail = F.when(F.col("s.start").isNotNull(), F.array(F.struct(F.col("s.start").alias("start"), F.lit(None).cast("bigint").alias("end"))))
-    cycles = F.concat(F.col("s.out"), F.coalesce(tail, F.array().cast("array<struct<start:bigint,end:bigint>>")))
-    return done.select(*keys, F.explode(cycles).alias("c")).select(*keys, "c.start", "c.end")
+    taps = df.withColumn("_s", F.sum(value).over(by(keys, order).rowsBetween(-2, 2)) / 5)
+    span = df.select(*keys, order, value)  # the taps' extremes by episode, in their own shuffle
+    span = span.withColumn("_s", F.sum(value).over(by(keys, order).rowsBetween(-2, 2)) / 5).groupBy(*keys).agg(((F.max("_s") - F.min("_s")) * share).alias("_span"))
+    begin = ("above", float("-inf"))
+    seen = scan(taps.join(span, keys), keys, [order], ["_s", "_span"], begin, hysteresis_step, Hysteresis, {"event": "string"}).where("event is not null")
+    closes = seen.withColumn("end", F.lead(order).over(by(keys, order))).where("event = 'close'")
+    return closes.select(*keys, F.col(order).alias("start"), "end")
 
 
 def _by_range(df: DataFrame, order: list[str], within: list[str], value: Column, tag: str) -> DataFrame:

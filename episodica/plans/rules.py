@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from episodica.functions import geometry
-from episodica.operators import ledger, rules
+from episodica.operators import graphs, ledger, rules
 from episodica.operators import sequence as seq
 from episodica.plans.registry import FRAMES_SQL, query
 from episodica.sources.tables import frames, table
@@ -76,14 +76,34 @@ def staged_validation(spark, sf_dir):
     return v.groupBy(F.col("record.l_orderkey").alias("record")).agg(F.count_if(F.col("path") == "structure").alias("structure"), F.count_if(F.col("path") == "content").alias("content"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey AS graph, n_nationkey % 4 AS a, (n_nationkey * 3 + 1) % 4 AS b FROM nation),
-r AS (SELECT graph, a, b FROM e UNION SELECT r.graph, r.a, e.b FROM r JOIN e ON e.graph = r.graph AND e.a = r.b)
-SELECT DISTINCT graph, a FROM r WHERE a = b""")
+_STEPS_SQL = """s AS (SELECT user_id, event_type || strftime(ts, '%H') AS node, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+e AS (SELECT DISTINCT x.user_id AS graph, x.node AS a, y.node AS b FROM s x JOIN s y ON x.user_id = y.user_id AND y.k = x.k + 1),
+r AS (SELECT graph, a, b FROM e UNION SELECT r.graph, r.a, e.b FROM r JOIN e ON e.graph = r.graph AND e.a = r.b)"""
+
+
+def _steps(spark, sf_dir):
+    """Of each user, an edge from every event's kind and hour to those of the next one."""
+    e = table(spark, sf_dir, "events").withColumn("a", F.concat("event_type", F.date_format("ts", "HH")))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return e.withColumn("b", F.lead("a").over(w)).where("b is not null").select(F.col("user_id").alias("graph"), "a", "b")
+
+
+@query("""WITH RECURSIVE s AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS k FROM lineitem),
+e AS (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM s x JOIN s y ON x.l_orderkey = y.l_orderkey AND y.k = x.k + 1),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT 'suppliers' AS graph, a FROM r WHERE a = b""")
 def graph_cycle(spark, sf_dir):
-    """Nodes on a cycle of a precedence graph; graphs have few nodes."""
-    n = table(spark, sf_dir, "nation")
-    edges = n.select(F.col("n_regionkey").alias("graph"), (F.col("n_nationkey") % 4).alias("a"), ((F.col("n_nationkey") * 3 + 1) % 4).alias("b"))
-    return rules.cyclic_nodes(edges)
+    """Suppliers on a cycle of one precedence graph: each line of an order comes before the next."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey")
+    line = table(spark, sf_dir, "lineitem").select(F.lit("suppliers").alias("graph"), F.col("l_suppkey").alias("a"), F.lead("l_suppkey").over(w).alias("b"))
+    return rules.cyclic_nodes(line.where("b is not null"))
+
+
+@query(f"""WITH RECURSIVE {_STEPS_SQL}
+SELECT x.graph, x.a AS node, min(y.a) AS component FROM r x JOIN r y ON y.graph = x.graph AND y.a = x.b AND y.b = x.a GROUP BY 1, 2""")
+def strong_components(spark, sf_dir):
+    """Those that can be reached from each other, named by the least of them."""
+    return graphs.strong_components(_steps(spark, sf_dir))
 
 
 @query("""WITH d AS (SELECT d.doc_id, n_chars, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id))
@@ -117,16 +137,10 @@ def state_history_legality(spark, sf_dir):
 b AS (SELECT conv_id, min(turn) FILTER (role = p) AS broken FROM t GROUP BY 1)
 SELECT c.conv_id, count(*) FILTER (broken IS NULL OR c.turn < broken) AS in_order, broken IS NOT NULL AS violated FROM conversations c JOIN b USING (conv_id) GROUP BY c.conv_id, broken""")
 def ordered_completion(spark, sf_dir):
-    """Steps in order until the first violation, which absorbs all that follows: a fold over the ordered array."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("s"))
-    kind = "struct<last:string,n:bigint,violated:boolean>"
-    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("violated")).cast(kind)
-
-    def step(a, x):
-        broken = a["violated"] | (a["last"] == x["role"])
-        return F.struct(x["role"].alias("last"), (a["n"] + F.when(broken, 0).otherwise(1)).alias("n"), broken.alias("violated")).cast(kind)
-
-    return c.withColumn("r", F.aggregate("s", start, step)).select("conv_id", F.col("r.n").alias("in_order"), "r.violated")
+    """Steps in order until the first violation, which absorbs all that follows: a scan with an automaton."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    ok = rules.in_order(c, ["conv_id"], "turn", "role")
+    return ok.groupBy("conv_id").agg(F.sum("ok").alias("in_order"), (F.min("ok") == 0).alias("violated"))
 
 
 @query("""SELECT o_orderkey, ceil(CASE WHEN o_orderdate < TIMESTAMP '1995-06-01' THEN o_totalprice * 0.011 ELSE o_totalprice * 0.013 END * 100 - 1e-9) / 100 AS reserve FROM orders""")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from episodica.functions import control
-from episodica.operators import rules
+from episodica.operators import rules, trees
 from episodica.operators import sequence as seq
 from episodica.plans.registry import FRAMES_SQL, query
 from episodica.sources.tables import frames, table
@@ -254,14 +254,47 @@ def overlay_verification(spark, sf_dir):
     )
 
 
-@query("""WITH s AS (SELECT source, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS now FROM documents GROUP BY 1), o AS (SELECT source, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS old FROM documents WHERE NOT (source = 'src1' AND doc_id % 5 = 0) AND source <> 'src3' GROUP BY 1)
-SELECT source, CASE WHEN old IS NULL THEN 'written' WHEN old = now THEN 'same' ELSE 'refused' END AS outcome FROM s LEFT JOIN o USING (source)""")
+#: Depth of the hash trees below; a leaf holds files / 16 ** depth.
+_DEPTH = 3
+
+
+def _tree_sql(name: str, files: str) -> str:
+    """The hash tree of (source, name, sha) rows as tables ``{name}3`` down to ``{name}0``."""
+    levels = [f"""{name}{_DEPTH} AS (SELECT source, left(md5(name), {_DEPTH}) AS node, sha256(string_agg(name || ':' || sha, chr(10) ORDER BY name || ':' || sha)) AS sha FROM ({files}) GROUP BY 1, 2)"""]
+    levels += [f"""{name}{up} AS (SELECT source, left(node, {up}) AS node, sha256(string_agg(node || ':' || sha, chr(10) ORDER BY node || ':' || sha)) AS sha FROM {name}{up + 1} GROUP BY 1, 2)""" for up in range(_DEPTH - 1, -1, -1)]
+    return ", ".join(levels)
+
+
+_FILES = "SELECT source, printf('%06d', doc_id) AS name, sha256(text) AS sha FROM documents"
+_BEFORE = "SELECT source, printf('%06d', doc_id) AS name, CASE WHEN doc_id % 97 = 0 THEN sha256('older') ELSE sha256(text) END AS sha FROM documents WHERE NOT (source = 'src1' AND doc_id % 5 = 0) AND source <> 'src3'"
+
+
+def _files(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("source", "doc_id", F.format_string("%06d", "doc_id").alias("name"), F.sha2("text", 256).alias("sha"))
+
+
+def _before(files):
+    """An earlier state of the files: a source that was not there, one that lacked some, and some of other contents."""
+    old = files.where(~((F.col("source") == "src1") & (F.col("doc_id") % 5 == 0)) & (F.col("source") != "src3"))
+    return old.withColumn("sha", F.when(F.col("doc_id") % 97 == 0, F.sha2(F.lit("older"), 256)).otherwise(F.col("sha")))
+
+
+@query(f"""WITH {_tree_sql("n", _FILES)}, {_tree_sql("o", _BEFORE)}
+SELECT n0.source, CASE WHEN o0.sha IS NULL THEN 'written' WHEN o0.sha = n0.sha THEN 'same' ELSE 'refused' END AS outcome FROM n0 LEFT JOIN o0 ON o0.source = n0.source""")
 def fail_closed_freeze(spark, sf_dir):
-    """A manifest is written where none is, left where it is the same, and refused where it would replace another."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    mark = lambda df, name: df.groupBy("source").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda k: k.cast("string")), ",")).alias(name))
-    old = mark(d.where(~((F.col("source") == "src1") & (F.col("doc_id") % 5 == 0)) & (F.col("source") != "src3")), "old")
-    return mark(d, "now").join(old, "source", "left").select("source", F.when(F.col("old").isNull(), "written").when(F.col("old") == F.col("now"), "same").otherwise("refused").alias("outcome"))
+    """A manifest, by the root of its hash tree, is written where none is, left where it is the same, and else refused."""
+    files = _files(spark, sf_dir)
+    now, old = (trees.roots(trees.nodes(f, ["source"], "name", "sha", _DEPTH), ["source"]).select("source", F.col("tree").alias(c)) for f, c in ((files, "now"), (_before(files), "old")))
+    return now.join(old, "source", "left").select("source", F.when(F.col("old").isNull(), "written").when(F.col("old") == F.col("now"), "same").otherwise("refused").alias("outcome"))
+
+
+@query(f"""SELECT source, name AS path, CASE WHEN o.sha IS NULL THEN 'added' WHEN n.sha IS NULL THEN 'removed' ELSE 'altered' END AS change
+FROM ({_BEFORE}) o FULL JOIN ({_FILES}) n USING (source, name) WHERE o.sha IS DISTINCT FROM n.sha""")
+def tree_diff(spark, sf_dir):
+    """The files that differ between two trees, found from their roots down."""
+    files = _files(spark, sf_dir)
+    return trees.changed(_before(files), files, ["source"], "name", "sha", _DEPTH)
 
 
 @query("""WITH e AS (SELECT source, count(*) AS expected, count(*) FILTER (quality IS NOT NULL) AS checked, count(*) FILTER (quality = 1) AS ok, sum(n_chars)::BIGINT AS bytes FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)
@@ -274,11 +307,11 @@ def release_gate(spark, sf_dir):
     return e.select("source", "expected", "checked", "ok", F.when(whole, "released").otherwise("refused").alias("state"), F.when(whole, F.col("all_bytes")).alias("bytes"))
 
 
-@query("""SELECT source, sha256(string_agg(path || ':' || sha, chr(10) ORDER BY path)) AS tree FROM (SELECT source, printf('%06d', doc_id) AS path, sha256(text) AS sha FROM documents WHERE doc_id % 10 <> 0) GROUP BY 1""")
+@query(f"""WITH {_tree_sql("t", _FILES + " WHERE doc_id % 10 <> 0")} SELECT source, sha AS tree FROM t0""")
 def tree_hash(spark, sf_dir):
-    """One hash of a tree from the hashes of its files by path, control files left out."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 10 <> 0").select("source", F.concat(F.format_string("%06d", "doc_id"), F.lit(":"), F.sha2("text", 256)).alias("line"))
-    return d.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("tree"))
+    """The root of each source's hash tree over its files by path, control files left out."""
+    kept = _files(spark, sf_dir).where("doc_id % 10 <> 0")
+    return trees.roots(trees.nodes(kept, ["source"], "name", "sha", _DEPTH), ["source"]).select("source", "tree")
 
 
 _LIMITS = {"joint_speed": 9000.0, "linear_speed": 9500.0, "angular_speed": 150.0, "joint_acceleration": 700000.0, "linear_acceleration": 750000.0, "angular_acceleration": 12000.0}

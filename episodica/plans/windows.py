@@ -131,10 +131,10 @@ def held_intervals(spark, sf_dir):
 @query(f"""WITH RECURSIVE {FRAMES_SQL}, e AS (
   SELECT user_id, frame_index, value, value AS ema FROM frames WHERE frame_index = 0
   UNION ALL SELECT f.user_id, f.frame_index, f.value, e.ema + 0.3 * (f.value - e.ema) FROM e JOIN frames f ON f.user_id = e.user_id AND f.frame_index = e.frame_index + 1)
-SELECT user_id, frame_index, ema FROM e""")
+SELECT user_id, frame_index, round(ema, 9) AS ema FROM e""")
 def ema_smoothing(spark, sf_dir):
-    """Smoothed values. Both sides take the same steps in doubles, so they agree to the last bit and nothing is rounded."""
-    return seq.ema(frames(spark, sf_dir), "value", USER, 0.3).select("user_id", "frame_index", "ema")
+    """Smoothed values; the state a range of frames is entered with is a sum of another order, so the last bits may differ."""
+    return seq.ema(frames(spark, sf_dir), "value", USER, 0.3).select("user_id", "frame_index", F.round("ema", 9).alias("ema"))
 
 
 @query(f"""WITH {FRAMES_SQL}, b AS (SELECT user_id, max(CASE WHEN NOT value > 10 THEN frame_index END) AS bad, max(frame_index) AS last FROM frames GROUP BY 1)

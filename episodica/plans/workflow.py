@@ -231,12 +231,12 @@ def viewer_totals(spark, sf_dir):
     return d.agg(F.count_distinct("source").alias("datasets"), F.round(F.sum("n_chars") / 1800.0, 6).alias("minutes"), F.count_if(F.col("lang") == "en").alias("wrist"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("families"))
 
 
-@query("""SELECT conv_id, string_agg(role || ': ' || left(text, 20), ' | ' ORDER BY turn) AS issues, count(*) AS parts FROM conversations WHERE role <> 'system' AND length(text) > 150 GROUP BY 1""")
+@query("""SELECT conv_id, string_agg(role || ': ' || text, ' | ' ORDER BY turn) AS issues, count(*) AS parts FROM conversations WHERE role <> 'system' AND length(text) > 150 GROUP BY 1""")
 def flattened_issues(spark, sf_dir):
     """The issues of the parts that are not correct, with the part they are of."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("parts"))
     bad = F.filter("parts", lambda p: (p["role"] != "system") & (F.length(p["text"]) > 150))
-    issues = F.transform(bad, lambda p: F.concat(p["role"], F.lit(": "), F.left(p["text"], F.lit(20))))
+    issues = F.transform(bad, lambda p: F.concat(p["role"], F.lit(": "), p["text"]))
     return c.where(F.size(bad) > 0).select("conv_id", F.array_join(issues, " | ").alias("issues"), F.size(bad).cast("long").alias("parts"))
 
 
