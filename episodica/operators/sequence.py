@@ -17,6 +17,15 @@ from episodica.operators.scan import Affine, Hysteresis, hysteresis_step, scan
 from episodica.sources.shared import written
 
 
+#: Cells that a bracket of values is counted in, brackets that are sent to every task, rows that brackets may hold to be
+#: sorted at once, and rounds before they are sorted however many.
+CELLS = 2_048
+BROADCAST_BRACKETS = 50_000
+SORTED = 1 << 20
+ROUNDS = 8
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
 def with_frame_index(df: DataFrame, keys: list[str], order: list[Column], name: str = "frame_index") -> DataFrame:
     """A frame index from 0 in the order given."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
@@ -168,22 +177,76 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataF
     return _by_range(df, order, [], F.col(value), "sums").withColumnRenamed("_sum", name)
 
 
+def _values_by_sort(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _v, _c, _sum of the values of each group: its distinct values with their counts and running counts.
+
+    Equal values collapse before anything is dealt; the distinct ones are numbered by range.
+    """
+    counts = df.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return _by_range(counts, [*keys, "_v"], keys, F.col("_c"), "values")
+
+
+def _same(pairs: list[tuple[str, str]]) -> Column:
+    out = F.lit(True)
+    for a, b in pairs:
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
+
+
 def values_at(df: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]], least: int = 1) -> DataFrame:
     """For each group (of ``least`` values or more) its size ``n`` and the values at ``places``: functions of n, from 1.
 
-    Equal values collapse before anything is dealt; the distinct ones are numbered by range, so a group may be as large
-    as the table. Nulls are left out.
+    By brackets: the values between two bounds are counted in at most ``CELLS`` cells of equal width, by task first, with
+    the least and greatest of each; the cell that a place falls in is its next bracket, with the place less what lies
+    below. A cell of one value ends it. The last bracket's values are sorted, after ``ROUNDS`` rounds or as soon as
+    brackets hold few, so no more than these is ever sorted, and a group may be as large as the table. Nulls are left out.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    ends = _by_range(counts, [*keys, "_v"], keys, F.col("_c"), "values")
-    sizes = ends.groupBy(*keys).agg(F.max("_sum").alias("_n")).where(F.col("_n") >= least)
-    named = sizes.select("_n", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)])
-    match = F.lit(True)
-    for i, c in enumerate(keys):
-        match = match & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    both = ends.join(F.broadcast(named) if not keys else named, match)  # without keys, one row
-    at = [F.max(F.when((F.col("_sum") - F.col("_c") < place(F.col("_n"))) & (place(F.col("_n")) <= F.col("_sum")), F.col("_v"))).alias(name) for name, place in places.items()]
-    return both.groupBy(*keys).agg(F.max("_n").alias("n"), *at)
+    named = [f"_k{i}" for i in range(len(keys))]
+    values = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(keys, named, strict=True)], F.col(value).alias("_v"))
+    whole = values.groupBy(*named).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).where(F.col("_n") >= least)
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("_n")).cast("long").alias("place")) for name, place in places.items()]))
+    open_ = whole.withColumn("_w", wanted).select(*named, "_n", "_lo", "_hi", F.col("_w.name").alias("_name"), F.col("_w.place").alias("_t"), F.col("_n").alias("_in"))
+    open_, done = written(open_.where(F.col("_t").between(1, F.col("_n"))), "brackets"), []
+    kind = dict(values.dtypes)["_v"]
+    for _ in range(ROUNDS if kind in _NUMBERS else 0):
+        done.append(open_.where(F.col("_lo").eqNullSafe(F.col("_hi"))).select(*named, "_n", "_name", F.col("_lo").alias("_v")))
+        left = open_.where(~F.col("_lo").eqNullSafe(F.col("_hi")))
+        if (left.agg(F.sum("_in")).first()[0] or 0) <= SORTED:
+            open_ = left
+            break
+        brackets = left.select(*named, "_lo", "_hi").distinct()
+        inside = _within(values, brackets, named)
+        at, span = F.col("_v").cast("double") - F.col("_lo").cast("double"), F.col("_hi").cast("double") - F.col("_lo").cast("double")
+        cell = F.when(F.isnan(at) | F.isnan(span) | (span == float("inf")), 0).otherwise(F.least(F.floor(at / span * CELLS), F.lit(CELLS - 1))).cast("int")
+        cells = inside.groupBy(*named, "_lo", "_hi", cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        w = Window.partitionBy(*named, "_lo", "_hi").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)  # CELLS rows at most
+        cells = cells.withColumn("_sum", F.sum("_c").over(w))
+        right = cells.select(*[F.col(k).alias(f"{k}r") for k in named], F.col("_lo").alias("_lor"), F.col("_hi").alias("_hir"), "_c", "_a", "_b", "_sum")
+        match = _same([*[(k, f"{k}r") for k in named], ("_lo", "_lor"), ("_hi", "_hir")])
+        hit = left.join(right, match & (F.col("_t") <= F.col("_sum")) & (F.col("_t") > F.col("_sum") - F.col("_c")))
+        hit = hit.select(*named, "_n", F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), "_name", (F.col("_t") - F.col("_sum") + F.col("_c")).alias("_t"), F.col("_c").alias("_in"))
+        open_ = written(hit, "brackets")
+    rest = open_.where(~F.col("_lo").eqNullSafe(F.col("_hi")))
+    done.append(open_.where(F.col("_lo").eqNullSafe(F.col("_hi"))).select(*named, "_n", "_name", F.col("_lo").alias("_v")))
+    if rest.head(1):
+        inside = _within(values, rest.select(*named, "_lo", "_hi").distinct(), named)
+        ends = _values_by_sort(inside, [*named, "_lo", "_hi"]).select(*[F.col(k).alias(f"{k}r") for k in named], F.col("_lo").alias("_lor"), F.col("_hi").alias("_hir"), "_v", "_c", "_sum")
+        match = _same([*[(k, f"{k}r") for k in named], ("_lo", "_lor"), ("_hi", "_hir")])
+        picked = rest.join(ends, match & (F.col("_t") <= F.col("_sum")) & (F.col("_t") > F.col("_sum") - F.col("_c")))
+        done.append(picked.select(*named, "_n", "_name", "_v"))
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    picks = [F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in places]
+    return found.groupBy(*[F.col(k).alias(c) for c, k in zip(keys, named, strict=True)]).agg(F.max("_n").alias("n"), *picks)
+
+
+def _within(values: DataFrame, brackets: DataFrame, named: list[str]) -> DataFrame:
+    """Rows of ``values`` with each bracket of their group that holds them; few brackets go to every task."""
+    right = brackets.select(*[F.col(k).alias(f"{k}r") for k in named], "_lo", "_hi")
+    few = right.limit(BROADCAST_BRACKETS + 1).count() <= BROADCAST_BRACKETS
+    match = _same([(k, f"{k}r") for k in named]) & F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    return values.join(F.broadcast(right) if few else right, match).drop(*[f"{k}r" for k in named])
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:

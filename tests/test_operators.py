@@ -48,9 +48,12 @@ def test_upper_median(spark):
     assert sorted(one(agg.upper_median(df, ["k"], "n", "m")), key=str) == [("g", 3), ("h", 5), (None, 7)]
 
 
+@pytest.mark.parametrize("sorted_rows", [0, 100, 1 << 20])
 @pytest.mark.parametrize("keys", [[], ["k"]])
-def test_quantiles_of_large_groups_match_percentile(spark, keys):
-    """Places picked from ranges of the distinct values, against the built-in that gathers a group."""
+def test_quantiles_of_large_groups_match_percentile(spark, monkeypatch, keys, sorted_rows):
+    """Places found by brackets, down to single values or with few rows sorted, against the built-in that gathers a group."""
+    monkeypatch.setattr(seq, "SORTED", sorted_rows)
+    monkeypatch.setattr(seq, "CELLS", 16)
     draw = random.Random(6)
     rows = [(draw.choice("aab"), draw.choice([1.5, 2.0, draw.uniform(-5, 5)]), draw.choice([None, 1.0])) for _ in range(500)]
     df = spark.createDataFrame(rows, "k string, v double, w double").repartition(5)
@@ -174,3 +177,33 @@ def test_empty_tables(spark):
     assert one(seq.runs(empty, F.col("f"), ["k"])) == []
     assert one(seq.hysteresis_cycles(empty, "v", ["k"])) == []
     assert one(agg.tukey_fences(empty, ["k"], "v")) == []
+
+
+@pytest.mark.parametrize("rounds,broadcast", [(1, 0), (2, 10), (8, 10)])
+def test_brackets_of_odd_values(spark, monkeypatch, rounds, broadcast):
+    """Infinite, huge, tiny and equal values, NaN, null groups and whole numbers, however far the brackets get."""
+    monkeypatch.setattr(seq, "SORTED", 0)
+    monkeypatch.setattr(seq, "CELLS", 4)
+    monkeypatch.setattr(seq, "ROUNDS", rounds)
+    monkeypatch.setattr(seq, "BROADCAST_BRACKETS", broadcast)
+    draw, inf, nan = random.Random(2), float("inf"), float("nan")
+    groups = {"a": [1e308, -1e308, 5e-324, 0.0, -0.0, 1.0], "b": [inf, -inf, 1.0, 2.0, nan], "c": [7.0] * 9, None: [draw.expovariate(1) ** 9 for _ in range(200)], "d": [nan, nan]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("a", None)], "k string, v double").repartition(3)
+    got = {r["k"]: r for r in seq.values_at(df, ["k"], "v", {"low": lambda n: F.lit(2), "mid": lambda n: F.floor(n / 2) + 1, "top": lambda n: n}).collect()}
+    for k, vs in groups.items():
+        want = sorted(vs, key=lambda x: (x != x, x))
+        for name, place in (("low", 2), ("mid", len(vs) // 2 + 1), ("top", len(vs))):
+            assert got[k][name] == want[place - 1] or (got[k][name] != got[k][name] and want[place - 1] != want[place - 1]), (k, name)
+        assert got[k]["n"] == len(vs)
+
+
+def test_brackets_sort_no_more_than_they_hold(spark, monkeypatch):
+    """Of 40,000 different values only those of the last brackets are ever written to be sorted."""
+    monkeypatch.setattr(seq, "SORTED", 500)
+    seen, real = [], seq._values_by_sort
+    monkeypatch.setattr(seq, "_values_by_sort", lambda df, keys: seen.append(df) or real(df, keys))
+    df = spark.range(40_000).selectExpr("id % 2 as k", "sin(id) * 1000 as v")
+    got = {r["k"]: r["m"] for r in seq.quantiles(df, ["k"], "v", {"m": 0.5}).collect()}
+    want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("m")).collect()}
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in (0, 1))
+    assert all(t.count() <= 500 for t in seen)
