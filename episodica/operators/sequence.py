@@ -205,10 +205,17 @@ def values_at(df: DataFrame, keys: list[str], value: str, places: dict[str, Call
     values = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(keys, named, strict=True)], F.col(value).alias("_v"))
     whole = values.groupBy(*named).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).where(F.col("_n") >= least)
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("_n")).cast("long").alias("place")) for name, place in places.items()]))
+    whole, done = written(whole, "groups"), []
     open_ = whole.withColumn("_w", wanted).select(*named, "_n", "_lo", "_hi", F.col("_w.name").alias("_name"), F.col("_w.place").alias("_t"), F.col("_n").alias("_in"))
-    open_, done = written(open_.where(F.col("_t").between(1, F.col("_n"))), "brackets"), []
+    open_ = open_.where(F.col("_t").between(1, F.col("_n")))
     kind = dict(values.dtypes)["_v"]
-    for _ in range(ROUNDS if kind in _NUMBERS else 0):
+    small = (whole.agg(F.sum("_n")).first()[0] or 0) <= SORTED
+    if small or kind not in _NUMBERS:
+        ends = _values_by_sort(values, named)
+        ends = ends.select(*[F.col(k).alias(f"{k}r") for k in named], "_v", "_c", "_sum")
+        match = _same([(k, f"{k}r") for k in named]) & (F.col("_t") <= F.col("_sum")) & (F.col("_t") > F.col("_sum") - F.col("_c"))
+        return _by_name(open_.join(ends, match).select(*named, "_n", "_name", "_v"), keys, named, places)
+    for _ in range(ROUNDS):
         done.append(open_.where(F.col("_lo").eqNullSafe(F.col("_hi"))).select(*named, "_n", "_name", F.col("_lo").alias("_v")))
         left = open_.where(~F.col("_lo").eqNullSafe(F.col("_hi")))
         if (left.agg(F.sum("_in")).first()[0] or 0) <= SORTED:
@@ -237,6 +244,10 @@ def values_at(df: DataFrame, keys: list[str], value: str, places: dict[str, Call
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
+    return _by_name(found, keys, named, places)
+
+
+def _by_name(found: DataFrame, keys: list[str], named: list[str], places: dict) -> DataFrame:
     picks = [F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in places]
     return found.groupBy(*[F.col(k).alias(c) for c, k in zip(keys, named, strict=True)]).agg(F.max("_n").alias("n"), *picks)
 

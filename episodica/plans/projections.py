@@ -21,7 +21,8 @@ def unit_conversion(spark, sf_dir):
 SELECT user_id, CASE WHEN greatest(abs(a), abs(b)) <= 40 THEN round(a, 6) END AS off_low, CASE WHEN greatest(abs(a), abs(b)) <= 40 THEN round(b, 6) END AS off_high FROM q""")
 def calibration_anchor(spark, sf_dir):
     """Offsets that bring the extremes to their anchors; none if they would be large."""
-    q = table(spark, sf_dir, "events").groupBy("user_id").agg((5 - F.percentile("value", F.lit(0.005))).alias("a"), (95 - F.percentile("value", F.lit(0.995))).alias("b"))
+    q = table(spark, sf_dir, "events").select("user_id", "value")
+    q = seq.quantiles(q, ["user_id"], "value", {"low": 0.005, "high": 0.995}).select("user_id", (5 - F.col("low")).alias("a"), (95 - F.col("high")).alias("b"))
     near = F.greatest(F.abs("a"), F.abs("b")) <= 40
     return q.select("user_id", F.when(near, F.round("a", 6)).alias("off_low"), F.when(near, F.round("b", 6)).alias("off_high"))
 

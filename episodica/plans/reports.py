@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from episodica.operators import sequence as seq
 from episodica.plans.registry import FRAMES_SQL, query
+from episodica.sources.shared import written
 from episodica.sources.tables import frames, table
 
 
@@ -17,10 +18,11 @@ def screening_row(spark, sf_dir):
     """One row of measures for each dataset."""
     d = frames(spark, sf_dir).withColumn("step", F.abs(seq.difference("value", ["user_id"])))
     e = d.groupBy("user_id").agg((F.count(F.lit(1)) / 4).alias("s"), F.max("step").alias("jump"), (F.max("value") - F.min("value")).alias("ptp"))
-    return e.groupBy((F.col("user_id") % 3).alias("dataset")).agg(
-        F.count(F.lit(1)).alias("episodes"), F.round(F.min("s"), 1).alias("shortest"), F.round(F.percentile("s", F.lit(0.5)), 1).alias("middle"), F.round(F.max("s"), 1).alias("longest"),
-        F.round(F.percentile("jump", F.lit(0.99)), 4).alias("jump"), F.count_if(F.col("ptp") < 100).alias("still"),
-    )
+    e = written(e.withColumn("dataset", F.col("user_id") % 3), "episodes")
+    plain = e.groupBy("dataset").agg(F.count(F.lit(1)).alias("episodes"), F.round(F.min("s"), 1).alias("shortest"), F.round(F.max("s"), 1).alias("longest"), F.count_if(F.col("ptp") < 100).alias("still"))
+    middle = seq.quantiles(e.withColumn("s", F.col("s").cast("double")), ["dataset"], "s", {"q": 0.5}).select("dataset", F.round("q", 1).alias("middle"))
+    jump = seq.quantiles(e, ["dataset"], "jump", {"q": 0.99}).select("dataset", F.round("q", 4).alias("jump"))
+    return plain.join(middle, "dataset", "left").join(jump, "dataset", "left")
 
 
 @query("""WITH k AS (SELECT o_orderpriority || '/' || o_orderstatus AS key FROM orders) SELECT key, count(*) AS n FROM k GROUP BY 1""")

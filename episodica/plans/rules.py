@@ -20,7 +20,9 @@ def scan_pruned_frames(spark, sf_dir):
 
 @query("""WITH u AS (SELECT user_id, quantile_cont(abs(value), 0.999) AS p, count(*) AS n FROM events GROUP BY 1) SELECT user_id, CASE WHEN n < 20 THEN NULL WHEN p > 101 THEN 'deg' ELSE 'norm' END AS unit FROM u""")
 def unit_classifier(spark, sf_dir):
-    u = table(spark, sf_dir, "events").groupBy("user_id").agg(F.percentile(F.abs("value"), F.lit(0.999)).alias("p"), F.count(F.lit(1)).alias("n"))
+    u = table(spark, sf_dir, "events").select("user_id", F.abs("value").alias("size"))
+    sizes = u.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))  # users without a value too
+    u = sizes.join(seq.quantiles(u, ["user_id"], "size", {"p": 0.999}).select("user_id", "p"), "user_id", "left")
     return u.select("user_id", F.when(F.col("n") < 20, F.lit(None)).when(F.col("p") > 101, "deg").otherwise("norm").alias("unit"))
 
 

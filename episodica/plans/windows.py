@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from episodica.operators import sequence as seq
 from episodica.plans.registry import FRAMES_SQL, query
+from episodica.sources.shared import written
 from episodica.sources.tables import frames, table
 
 USER = ["user_id"]
@@ -35,8 +36,8 @@ SELECT user_id, min(start)::BIGINT AS start, max("end")::BIGINT AS "end" FROM gr
 def holds_merged(spark, sf_dir):
     """Runs above a level that adapts to the episode's span; near runs merge, short ones go last."""
     f = frames(spark, sf_dir)
-    low, high = F.percentile("value", F.lit(0.02)), F.percentile("value", F.lit(0.98))
-    level = f.groupBy("user_id").agg((low + F.greatest(F.lit(1.5), 0.08 * (high - low))).alias("level"))
+    ends = seq.quantiles(table(spark, sf_dir, "events"), USER, "value", {"low": 0.02, "high": 0.98})
+    level = ends.select("user_id", (F.col("low") + F.greatest(F.lit(1.5), 0.08 * (F.col("high") - F.col("low")))).alias("level"))
     found = seq.runs(f.join(level, "user_id"), F.col("value") > F.col("level"), USER)
     return seq.merge_runs(found, USER, 3).where(F.col("end") - F.col("start") >= 3)
 
@@ -53,11 +54,9 @@ def segment_midpoints(spark, sf_dir):
 SELECT user_id, count(*) AS frames, round(max(abs(step)), 6) AS max_jump, round(max(value) - min(value), 6) AS peak_to_peak,
        round(quantile_cont(abs(step), 0.99), 6) AS jump_p99 FROM d GROUP BY 1""")
 def first_difference_jump(spark, sf_dir):
-    d = frames(spark, sf_dir).withColumn("step", seq.difference("value", USER))
-    return d.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("frames"), F.round(F.max(F.abs("step")), 6).alias("max_jump"),
-        F.round(F.max("value") - F.min("value"), 6).alias("peak_to_peak"), F.round(F.percentile(F.abs("step"), F.lit(0.99)), 6).alias("jump_p99"),
-    )
+    d = written(frames(spark, sf_dir).select("user_id", "value", F.abs(seq.difference("value", USER)).alias("step")), "steps")
+    plain = d.groupBy("user_id").agg(F.count(F.lit(1)).alias("frames"), F.round(F.max("step"), 6).alias("max_jump"), F.round(F.max("value") - F.min("value"), 6).alias("peak_to_peak"))
+    return plain.join(seq.quantiles(d, USER, "step", {"p": 0.99}).select("user_id", F.round("p", 6).alias("jump_p99")), "user_id", "left")
 
 
 @query(f"""WITH {FRAMES_SQL}, d AS (SELECT user_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY frame_index) AS step FROM frames),
