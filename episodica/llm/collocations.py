@@ -3,8 +3,8 @@
 Each task numbers the words of its documents, a shard of at most ``SHARD_WORDS`` at a time, and builds one automaton of all
 substrings of bounded depth: states are substrings that end at the same places, with the number of these places and a
 suffix link. Their substrings and counts are summed over the shards. A phrase can be frequent only if the phrase of its
-suffix link and the one without its last word are, so a pass over the hashes of shorter phrases gives the next one a filter
-of ``FILTER_BITS`` bits, whatever the corpus; it lets pass a few more than it should and never fewer, and the last pass
+suffix link and the one without its last word are, so passes over the hashes of phrases of 2, 3, ... words fill a filter of
+``FILTER_BITS`` bits, whatever the corpus, that spares the next one all others; it lets pass a few more than it should and never fewer, and the last pass
 counts what it passed exactly, by its words. A phrase hands its count to its suffix link, where the shorter phrase
 learns that it hardly stands alone.
 
@@ -147,10 +147,10 @@ def _rolled(sequence: np.ndarray, hashes: np.ndarray, depth: int) -> list[np.nda
 
 
 def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of each hash in a filter, from its first 16 and last 40 bits."""
+    """The two bits of each hash in a filter, from its last 40 bits."""
     low = hashes & np.uint64((1 << 40) - 1)
     last = np.uint64(FILTER_BITS - 1)
-    return mix(low) & last, mix(low + (hashes >> np.uint64(48)) * _ODD) & last
+    return mix(low) & last, mix(low + _ODD) & last
 
 
 def _filter(bits: DataFrame) -> np.ndarray:
@@ -181,43 +181,46 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
     yield shard
 
 
-def _substrings(shard: Shard, depth: int, bits: np.ndarray | None):
+def _substrings(shard: Shard, depth: int, bits: np.ndarray | None, known: int):
     """The shard's sequence, hashes by length and end, and its substrings whose parts the filter holds.
 
-    The filter knows all lengths below ``depth``.
+    The filter knows all lengths up to ``known``.
     """
     sequence = shard.sequence()
     rolled = _rolled(sequence, shard.hashes(), depth)
-    passes = None if bits is None else lambda length, places: _holds(bits, rolled[length - 1][places]) if length < depth else np.ones(len(places), bool)
+    passes = None if bits is None else lambda length, places: _holds(bits, rolled[length - 1][places]) if length <= known else np.ones(len(places), bool)
     return sequence, rolled, SuffixAutomaton(sequence, depth, passes).substrings()
 
 
 def _packed(hashes: np.ndarray, counts: np.ndarray, least: int, shift: int) -> pa.RecordBatch:
     """A row for each run of equal first bits: the last 40 bits of its hashes and, up to ``least``, their counts."""
     order = np.argsort(hashes)
-    hashes, counts = hashes[order], np.minimum(counts[order], least).astype(np.uint32)
-    group = (hashes >> np.uint64(48 + shift)).astype(np.int64)
+    hashes, counts = hashes[order], np.minimum(counts[order], least).astype(_small(least))
+    group = (hashes >> np.uint64(shift)).astype(np.int64)
     at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
     ends = np.concatenate([at, [len(group)]]).tolist()
-    low = hashes.view(np.uint8).reshape(-1, 8)  # 6 bytes hold all but the first 16 bits
-    high = (hashes >> np.uint64(48)).astype(np.uint16)
+    low = hashes.view(np.uint8).reshape(-1, 8)[:, :5]
     pairs = list(zip(ends[:-1], ends[1:], strict=True))
-    columns = [[np.ascontiguousarray(low[a:b, :5]).tobytes() for a, b in pairs], [high[a:b].tobytes() for a, b in pairs], [counts[a:b].tobytes() for a, b in pairs]]
-    return pa.RecordBatch.from_arrays([pa.array(group[at]), *[pa.array(c, pa.binary()) for c in columns]], ["bucket", "low", "high", "n"])
+    columns = [np.ascontiguousarray(low[a:b]).tobytes() for a, b in pairs], [counts[a:b].tobytes() for a, b in pairs]
+    return pa.RecordBatch.from_arrays([pa.array(group[at]), *[pa.array(c, pa.binary()) for c in columns]], ["bucket", "low", "n"])
+
+
+def _small(least: int) -> type:
+    return np.uint8 if least < 256 else np.uint32
 
 
 def _frequent_bits(docs: DataFrame, depth: int, least: int, bits) -> DataFrame:
     """bit: the places in a filter of phrases of ``depth`` words that may occur ``least`` times; at first, of shorter ones too.
 
-    Hashes travel packed, in rows by their first bits: as many buckets as shuffle partitions or somewhat more. Hashes that
-    agree in 56 bits count as one, which lets pass more.
+    Hashes travel packed, in rows by their first bits: as many buckets as shuffle partitions or somewhat more. Those of a
+    bucket that agree in their last 40 bits count as one, which lets pass more.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shift = max(0, 16 - max(parts - 1, 1).bit_length())
+    shift = 64 - min(24, max(parts - 1, 1).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
-            _, rolled, (ends, lengths, counts) = _substrings(shard, depth, bits and bits.value)
+            _, rolled, (ends, lengths, counts) = _substrings(shard, depth, bits and bits.value, depth - 1)
             of = [np.flatnonzero(lengths == size) for size in range(1 if bits is None else depth, depth + 1)]
             hashes = np.concatenate([rolled[lengths[some[0]] - 1][ends[some]] for some in of if len(some)] or [np.zeros(0, np.uint64)])
             yield _packed(hashes, np.concatenate([counts[some] for some in of]), least, shift)
@@ -229,15 +232,15 @@ def _frequent_bits(docs: DataFrame, depth: int, least: int, bits) -> DataFrame:
             low = np.frombuffer(b"".join(h[0] for h in held), np.uint8).reshape(-1, 5)
             wide = np.zeros((len(low), 8), np.uint8)
             wide[:, :5] = low
-            keys = wide.view(np.uint64)[:, 0] | (np.frombuffer(b"".join(h[1] for h in held), np.uint16).astype(np.uint64) << np.uint64(48))
+            keys = wide.view(np.uint64)[:, 0]
             order = np.argsort(keys)
-            keys, n = keys[order], np.frombuffer(b"".join(h[2] for h in held), np.uint32)[order].astype(np.int64)
+            keys, n = keys[order], np.frombuffer(b"".join(h[1] for h in held), _small(least))[order].astype(np.int64)
             at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             often = keys[at][np.add.reduceat(n, at) >= least]
             return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(_places(often))).astype(np.int64))], ["bit"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if row[0] != bucket and held:
                     yield frequent()
                     held = []
@@ -246,7 +249,7 @@ def _frequent_bits(docs: DataFrame, depth: int, least: int, bits) -> DataFrame:
         if held:
             yield frequent()
 
-    packed = docs.mapInArrow(count, "bucket long, low binary, high binary, n binary")
+    packed = docs.mapInArrow(count, "bucket long, low binary, n binary")
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bit long")
 
 
@@ -256,7 +259,7 @@ def _spelled(docs: DataFrame, longest: int, bits) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
-            sequence, _, (ends, lengths, counts) = _substrings(shard, longest, bits.value)
+            sequence, _, (ends, lengths, counts) = _substrings(shard, longest, bits.value, longest)
             spell, tongue = pa.array([None, *shard.words], pa.string()), pa.array(["", *shard.langs], pa.string()).dictionary_encode()
             sums = np.bincount(tongue.indices.to_numpy()[sequence[sequence > 0]], minlength=len(tongue.dictionary))
             full = np.flatnonzero(sums)
@@ -280,7 +283,7 @@ def frequent_phrases(docs: DataFrame, text_col: str, lang_col: str, longest: int
     slim = docs.select(docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     share = docs.sparkSession.sparkContext.broadcast
     bits = None
-    for depth in [min(2, longest - 1), *range(3, longest)]:
+    for depth in range(2, longest + 1):
         found = _filter(_frequent_bits(slim, depth, least, bits))
         bits = share(found if bits is None else bits.value | found)
     counts = _spelled(slim, longest, bits).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
