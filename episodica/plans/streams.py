@@ -45,7 +45,7 @@ def stream_dedup(spark, sf_dir):
 SELECT user_id, arg_max(event_type, k) AS last, count(*) AS steps, count(*) FILTER (event_type = p) AS repeats FROM t GROUP BY 1""")
 def stream_state(spark, sf_dir):
     """Per-user state kept across triggers, in the order of the events whatever the order of their files."""
-    return ev.upsert(ev.transitions(ev.event_stream(spark, sf_dir), late=ev.span(spark, sf_dir)), ["user_id"])
+    return ev.upsert(ev.transitions(ev.event_stream(spark, sf_dir)), ["user_id"]).drop("late", "pending")
 
 
 @query("""SELECT event_type, count(*) AS n, round(max(value), 6) AS top FROM events GROUP BY 1""")
@@ -59,7 +59,7 @@ def stream_progress(spark, sf_dir):
 SELECT u.user_id, coalesce(e.k - 1, u.n) AS polls, coalesce(o.event_type, '') AS ended FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) u LEFT JOIN e USING (user_id) LEFT JOIN o ON o.user_id = e.user_id AND o.k = e.k""")
 def stream_poll(spark, sf_dir):
     """Polls of each request until it ends, in the order of the events whatever the order of their files."""
-    return ev.upsert(ev.terminal(ev.event_stream(spark, sf_dir), ["purchase", "error"], ev.span(spark, sf_dir)), ["user_id"])
+    return ev.upsert(ev.terminal(ev.event_stream(spark, sf_dir), ["purchase", "error"]), ["user_id"]).drop("late", "pending")
 
 
 @query(f"""WITH RECURSIVE {FRAMES_SQL}, e AS (SELECT user_id, frame_index, value AS smooth, value AS control FROM frames WHERE frame_index = 0
@@ -67,7 +67,7 @@ def stream_poll(spark, sf_dir):
 SELECT user_id, round(arg_max(smooth, frame_index), 4) AS smooth, round(arg_max(control, frame_index), 4) AS control, count(*) AS steps FROM e GROUP BY 1""")
 def stream_controls(spark, sf_dir):
     """Controls that follow a smoothed value at a limited rate, kept for each user over the triggers."""
-    out = ev.upsert(ev.controls(ev.event_stream(spark, sf_dir), late=ev.span(spark, sf_dir)), ["user_id"])
+    out = ev.upsert(ev.controls(ev.event_stream(spark, sf_dir)), ["user_id"])
     return out.select("user_id", F.round("smooth", 4).alias("smooth"), F.round("control", 4).alias("control"), "steps")
 
 
@@ -75,7 +75,7 @@ def stream_controls(spark, sf_dir):
 SELECT user_id, coalesce(done + 1, 0) AS published, last - coalesce(done, -1) AS waiting FROM l""")
 def stream_publish(spark, sf_dir):
     """Complete clips published in order from what arrives, with those that wait."""
-    return ev.upsert(ev.publications(ev.event_stream(spark, sf_dir), "purchase", ev.span(spark, sf_dir)), ["user_id"])
+    return ev.upsert(ev.publications(ev.event_stream(spark, sf_dir), "purchase"), ["user_id"]).drop("late", "pending")
 
 
 @query("""SELECT event_id, user_id, round(value, 6) AS value FROM events WHERE event_type = 'error'""")

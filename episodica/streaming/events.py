@@ -5,14 +5,13 @@ Each function takes a streaming DataFrame and returns one; ``upsert`` drives suc
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from episodica.sources.shared import shared_dir
 
@@ -56,30 +55,75 @@ def progress(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
 
 
-def in_event_order(events: DataFrame, start: tuple, step: Callable[[tuple, str, float], tuple], columns: list[str], late: str) -> DataFrame:
-    """A fold over each user's events in the order of (ts, event_id), whatever trigger they come in.
+class _InOrder(StatefulProcessor):
+    """A fold of each user's events by (ts, event_id): a value state of what the watermark has passed, and what waits.
 
-    The state is the fold of all events up to the watermark, and those behind it, which wait for others of the same time;
-    so it holds no more than ``late`` of a user's events. What is given out folds the waiting ones as well.
+    An event waits in a list until a timer at its time fires, so the list holds no more than the lateness of a user's
+    events. One that comes behind the watermark is counted and not folded.
     """
-    names = [c.split()[0] for c in columns]
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, waiting = json.loads(state.get[0]) if state.exists else (list(start), [])
-        rows = pd.concat(list(parts))
-        waiting = sorted(waiting + [list(r) for r in zip(rows["at"].tolist(), rows["event_id"].tolist(), rows["event_type"].tolist(), rows["value"].tolist(), strict=True)])
-        settled, upto = tuple(done), state.getCurrentWatermarkMs() * 1000
-        while waiting and waiting[0][0] < upto:
-            settled = step(settled, *waiting.pop(0)[2:])
-        state.update((json.dumps([settled, waiting]),))
-        out = settled
-        for _, _, kind, value in waiting:
-            out = step(out, kind, value)
-        yield pd.DataFrame({"user_id": [key[0]], **{n: [v] for n, v in zip(names, out, strict=True)}})
 
+    def __init__(self, start: tuple, step: Callable[[tuple, str, float], tuple], columns: list[str]):
+        self.start, self.step, self.columns = start, step, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", ", ".join([*self.columns, "late long"]))
+        self.waiting = handle.getListState("waiting", "at long, event_id long, kind string, value double")
+
+    def _release(self, key: tuple, waiting: list[tuple], upto: int, late: int) -> pd.DataFrame:
+        """Fold and forget what lies before ``upto``; give out the fold of that and of all that waits."""
+        held = tuple(self.settled.get()) if self.settled.exists() else (*self.start, 0)
+        state, late = held[:-1], held[-1] + late
+        waiting.sort(key=lambda e: e[:2])
+        passed = 0
+        while passed < len(waiting) and waiting[passed][0] < upto:
+            state = self.step(state, *waiting[passed][2:])
+            passed += 1
+        rest = waiting[passed:]
+        self.settled.update((*state, late))
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        out = state
+        for event in rest:
+            out = self.step(out, *event[2:])
+        names = [c.split()[0] for c in self.columns]
+        row = {"user_id": [key[0]], **{n: [v] for n, v in zip(names, out, strict=True)}, "late": [late], "pending": [len(rest)]}
+        return pd.DataFrame(row)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        upto, late = timerValues.getCurrentWatermarkInMs() * 1000, 0
+        waiting = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
+        for part in rows:
+            behind = part["at"] < upto
+            late += int(behind.sum())
+            fresh = part[~behind]
+            waiting += list(zip(*(fresh[c].tolist() for c in ("at", "event_id", "event_type", "value")), strict=True))
+        out = self._release(key, waiting, upto, late)
+        if out["pending"][0]:
+            self.handle.registerTimer(max(e[0] for e in waiting) // 1000 + 1)
+        yield out
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        waiting = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
+        yield self._release(key, waiting, timerValues.getCurrentWatermarkInMs() * 1000, 0)
+
+    def close(self) -> None:
+        pass
+
+
+def in_event_order(events: DataFrame, start: tuple, step: Callable[[tuple, str, float], tuple], columns: list[str], late: str) -> DataFrame:
+    """A fold over each user's events in the order of (ts, event_id), whatever trigger they come in within ``late``.
+
+    Rows: user_id, ``columns`` of all events so far, late (events that came behind the watermark and are not in the fold)
+    and pending (events that wait for others of their time).
+    """
     at = F.unix_micros("ts").alias("at")
-    keyed = events.withWatermark("ts", late).select("user_id", "event_id", "ts", at, "event_type", "value").groupBy("user_id")
-    return keyed.applyInPandasWithState(fold, "user_id long, " + ", ".join(columns), "state string", "update", GroupStateTimeout.NoTimeout)
+    # without the event time itself among the columns, so that late rows reach the fold to be counted
+    keyed = events.withWatermark("ts", late).select("user_id", "event_id", at, "event_type", "value").groupBy("user_id")
+    schema = "user_id long, " + ", ".join([*columns, "late long", "pending long"])
+    return keyed.transformWithStateInPandas(statefulProcessor=_InOrder(start, step, columns), outputStructType=schema, outputMode="Update", timeMode="EventTime")
 
 
 def terminal(events: DataFrame, done: list[str], late: str = LATE) -> DataFrame:
@@ -137,7 +181,13 @@ def upsert(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFram
         batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{base}/out/{batch_id}")
 
     spark.createDataFrame([], schema).write.parquet(f"{base}/out/none")
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # state by name, timers
+    try:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
     newest = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_batch"))))
     return newest.where("_k = 1").drop("_k", "_batch")

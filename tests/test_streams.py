@@ -34,3 +34,31 @@ def test_state_follows_the_order_of_events(spark, tmp_path):
             assert state[user]["repeats"] == sum(a == b for a, b in zip(kinds, kinds[1:], strict=False))
             first = kinds.index("purchase") if "purchase" in kinds else len(kinds)
             assert polls[user]["polls"] == first and polls[user]["ended"] == ("purchase" if "purchase" in kinds else "")
+
+
+def test_late_events_are_counted_and_little_waits(spark, tmp_path):
+    """Many triggers, a lateness of minutes: what comes behind the watermark is not folded but counted, and of a long
+    stream no more waits than the lateness holds."""
+    import os
+    import random
+
+    draw, start = random.Random(7), dt.datetime(2024, 1, 1)
+    rows = [(i, i % 2, draw.choice(["view", "click", "purchase"]), start + dt.timedelta(minutes=i), float(i)) for i in range(240)]
+    early = [rows[i] for i in (3, 50, 91)]  # these come with the last files
+    rest = [r for r in rows if r not in early]
+    files = [sorted(rest[i : i + 12], key=lambda r: draw.random()) for i in range(0, len(rest), 12)]
+    files[-1] += early
+    path = f"{tmp_path}/events.parquet"
+    for n, part in enumerate(files):
+        before = set(os.listdir(path)) if os.path.isdir(path) else set()
+        spark.createDataFrame(part, "event_id long, user_id long, event_type string, ts timestamp, value double").coalesce(1).write.mode("append").parquet(path)
+        for name in set(os.listdir(path)) - before:
+            os.utime(f"{path}/{name}", (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = streams.ev.event_stream(spark, str(tmp_path))
+    got = {r["user_id"]: r for r in streams.ev.upsert(streams.ev.transitions(stream, late="10 minutes"), ["user_id"]).collect()}
+    for user in (0, 1):
+        kinds = [r[2] for r in sorted(rest, key=lambda r: r[3]) if r[1] == user]
+        assert got[user]["late"] == sum(r[1] == user for r in early)
+        assert (got[user]["last"], got[user]["steps"]) == (kinds[-1], len(kinds))
+        assert got[user]["repeats"] == sum(a == b for a, b in zip(kinds, kinds[1:], strict=False))
+        assert got[user]["pending"] <= 11  # of 120 events a user has in four hours
