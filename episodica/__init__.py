@@ -8,3 +8,10 @@ import sys
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def register(spark) -> None:
+    """Make the package's named functions and table functions known to the SQL of a session."""
+    from episodica.functions.named import register as known
+
+    known(spark)

@@ -71,3 +71,25 @@ def latest_then_best(df: DataFrame, item: list[str], version: Column, group: lis
     """Of each item the row of the greatest version, and of these for each group the row of the greatest rank."""
     newest = df.groupBy(*group, *item).agg(F.max_by(F.struct(*columns, rank.alias("_rank")), version).alias("r"))
     return newest.groupBy(*group).agg(F.max_by("r", F.struct("r._rank", *[f"r.{c}" for c in columns])).alias("b")).select(*group, *[f"b.{c}" for c in columns])
+
+
+def cell_counts(df: DataFrame, keys: list[str], mask: str, width: int) -> DataFrame:
+    """keys, rows, cells: for each of ``width`` cells the number of a group's masks that hold it.
+
+    One partial sum for each cell, merged element by element; no row is made for a cell.
+    """
+    cells = F.array(*[F.sum(F.coalesce(F.try_element_at(mask, F.lit(i + 1)), F.lit(False)).cast("long")) for i in range(width)])
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), cells.alias("cells"))
+
+
+def prior_iou(df: DataFrame, keys: list[str], mask: str, width: int, least: float = 0.003) -> DataFrame:
+    """Rows with ``prior`` (cells that more than half of the group's masks hold) and ``iou``, the overlap of a mask with it.
+
+    Groups whose prior covers no more than ``least`` of the cells are left out.
+    """
+    priors = cell_counts(df, keys, mask, width).select(*keys, F.transform("cells", lambda c: c * 2 > F.col("rows")).alias("prior"))
+    share = F.size(F.filter("prior", lambda c: c)) / F.lit(float(width))
+    both = df.join(priors.where(share > least), keys)
+    pairs = F.zip_with(mask, "prior", lambda a, b: F.struct((a & b).alias("i"), (a | b).alias("u")))
+    common, joint = F.size(F.filter(pairs, lambda p: p["i"])), F.size(F.filter(pairs, lambda p: p["u"]))
+    return both.withColumn("iou", common / joint)

@@ -61,3 +61,23 @@ def weighted_key(weight: Column, *cols: str, seed: str = "") -> Column:
     """Key of weighted sampling without replacement: u^(1/w), u from a hash."""
     u = (F.conv(F.substring(hash_order(*cols, seed=seed), 1, 13), 16, 10).cast("long") + 1) / F.lit(float(1 << 52) + 1)
     return F.pow(u, 1.0 / weight)
+
+
+def placed(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, clearance: float, k: int, keep: list[str] | None = None) -> DataFrame:
+    """Rows of a group in order, each with ``place`` (from 1) if it is taken: ``k`` at most, none nearer than ``clearance``
+    to one taken before it. A row without a point is not taken.
+
+    The state is what was taken, by cells as wide as the clearance, so a row meets those of nine cells only.
+    """
+
+    def step(state: tuple[int, dict], a: float | None, b: float | None) -> tuple[tuple[int, dict], tuple[float | None]]:
+        n, cells = state
+        if n == k or a is None or b is None:
+            return state, (None,)
+        i, j = int(a // clearance), int(b // clearance)
+        near = (p for u in (i - 1, i, i + 1) for v in (j - 1, j, j + 1) for p in cells.get((u, v), ()))
+        if any((a - c) * (a - c) + (b - d) * (b - d) < clearance * clearance for c, d in near):
+            return state, (None,)
+        return (n + 1, {**cells, (i, j): (*cells.get((i, j), ()), (a, b))}), (float(n + 1),)
+
+    return fold_in_order(df, keys, order, [x, y], (0, {}), step, {"place": "double"}, keep)

@@ -204,3 +204,16 @@ def bootstrap_interval(spark, sf_dir):
     w = F.when(r < 0.36787944, 0).when(r < 0.73575888, 1).when(r < 0.91969860, 2).when(r < 0.98101184, 3).otherwise(4)
     m = u.withColumn("w", w).groupBy("b").agg((F.sum(F.col("value") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
     return m.agg(F.round(F.percentile("mean", F.lit(0.025)), 4).alias("low"), F.round(F.avg("mean"), 4).alias("mid"), F.round(F.percentile("mean", F.lit(0.975)), 4).alias("high"))
+
+
+@query("""WITH m AS (SELECT vec_id, label, [v > 0 FOR v IN embedding] AS mask FROM embeddings),
+n AS (SELECT label, count(*) AS n FROM m GROUP BY 1),
+c AS (SELECT label, i, count(*) FILTER (mask[i]) AS held FROM m, range(1, 65) r(i) GROUP BY 1, 2),
+p AS (SELECT label, list(held * 2 > n ORDER BY i) AS prior FROM c JOIN n USING (label) GROUP BY 1),
+j AS (SELECT vec_id, label, list_transform(range(1, 65), lambda i: mask[i] AND prior[i]) AS a, list_transform(range(1, 65), lambda i: mask[i] OR prior[i]) AS o FROM m JOIN p USING (label)
+  WHERE len(list_filter(prior, lambda x: x)) / 64.0 > 0.003)
+SELECT vec_id, label, round(len(list_filter(a, lambda x: x)) / len(list_filter(o, lambda x: x)), 9) AS iou FROM j""")
+def mask_prior_iou(spark, sf_dir):
+    """Masks of 64 cells against the mask that most of their label agree on; labels that agree on hardly any cell are left out."""
+    m = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v > 0).alias("mask"))
+    return agg.prior_iou(m, ["label"], "mask", 64).select("vec_id", "label", F.round("iou", 9).alias("iou"))

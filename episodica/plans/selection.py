@@ -134,3 +134,20 @@ def task_balanced_draw(spark, sf_dir):
     draws = m.select("m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))).alias("draw")).select("draw", F.pmod(number("task"), F.col("m")).alias("i"), number("episode").alias("h"))
     d = draws.join(ordered, "i")
     return d.join(e, (d["p_brand"] == e["brand"]) & (e["j"] == F.pmod(d["h"], e["n"]))).select("draw", "p_brand", "p_partkey")
+
+
+@query("""WITH RECURSIVE w AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y,
+    -power((('0x' || substr(sha256('p|' || vec_id), 1, 13))::BIGINT + 1) / 4503599627370497.0::DOUBLE, 1.0 / CASE WHEN vec_id % 4 = 0 THEN 3.0 ELSE 1.0 END) AS key FROM embeddings),
+o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY key, vec_id) AS k FROM w),
+f AS (SELECT label, 0::BIGINT AS k, NULL::BIGINT AS vec_id, []::STRUCT(x DOUBLE, y DOUBLE)[] AS taken, FALSE AS now FROM (SELECT DISTINCT label FROM w)
+  UNION ALL SELECT o.label, o.k, o.vec_id, CASE WHEN t.now THEN list_append(f.taken, {'x': o.x, 'y': o.y}) ELSE f.taken END, t.now
+  FROM f JOIN o ON o.label = f.label AND o.k = f.k + 1, LATERAL (SELECT len(f.taken) < 12 AND len(list_filter(f.taken, lambda p: (o.x - p.x) * (o.x - p.x) + (o.y - p.y) * (o.y - p.y) < 0.08 * 0.08)) = 0 AS now) t)
+SELECT label, vec_id, len(taken)::BIGINT AS place FROM f WHERE now""")
+def placed_sample(spark, sf_dir):
+    """Twelve of each label drawn without replacement, some at three times the weight, with a clearance between their points."""
+    e = table(spark, sf_dir, "embeddings")
+    point = lambda i: F.try_element_at("embedding", F.lit(i)).cast("double")
+    key = -sel.weighted_key(F.when(F.col("vec_id") % 4 == 0, 3.0).otherwise(1.0), "vec_id", seed="p")
+    rows = e.select("label", "vec_id", key.alias("key"), point(1).alias("x"), point(2).alias("y"))
+    drawn = sel.placed(rows, ["label"], ["key", "vec_id"], "x", "y", 0.08, 12)
+    return drawn.where("place is not null").select("label", "vec_id", F.col("place").cast("long").alias("place"))

@@ -207,3 +207,37 @@ def test_brackets_sort_no_more_than_they_hold(spark, monkeypatch):
     want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("m")).collect()}
     assert all(abs(got[k] - want[k]) < 1e-9 for k in (0, 1))
     assert all(t.count() <= 500 for t in seen)
+
+
+def test_placed_rows_keep_their_distance(spark):
+    draw = random.Random(11)
+    rows = [(draw.choice("ab"), i, draw.choice([None, draw.uniform(-1, 1)]), draw.uniform(-1, 1)) for i in range(400)]
+    got = {(r["g"], r["i"]): r["place"] for r in sel.placed(spark.createDataFrame(rows, "g string, i long, x double, y double").repartition(3), ["g"], ["i"], "x", "y", 0.3, 9).collect()}
+    for g in "ab":
+        taken = []
+        for _, i, x, y in (r for r in rows if r[0] == g):
+            ok = x is not None and len(taken) < 9 and all((x - a) ** 2 + (y - b) ** 2 >= 0.09 for a, b in taken)
+            taken += [(x, y)] * ok
+            assert got[g, i] == (len(taken) if ok else None)
+
+
+def test_prior_masks(spark):
+    rows = [("a", [True, True, False]), ("a", [True, False, False]), ("b", [True, True, True]), ("c", [False, False, False]), ("a", [True, True, True])]
+    df = spark.createDataFrame(rows, "k string, m array<boolean>")
+    assert sorted(one(agg.cell_counts(df, ["k"], "m", 3))) == [("a", 3, [3, 2, 1]), ("b", 1, [1, 1, 1]), ("c", 1, [0, 0, 0])]
+    got = sorted((r["k"], r["m"], round(r["iou"], 3)) for r in agg.prior_iou(df, ["k"], "m", 3, 0.1).collect())
+    assert got == [("a", [True, False, False], 0.5), ("a", [True, True, False], 1.0), ("a", [True, True, True], 0.667), ("b", [True, True, True], 1.0)]
+
+
+def test_registered_functions(spark):
+    import episodica
+
+    episodica.register(spark)
+    got = spark.sql("""SELECT iou(array(0D, 0D, 2D, 2D), array(1D, 1D, 3D, 3D)) AS a, iou(array(0D, 0D, 0D, 0D), array(0D, 0D, 0D, 0D)) AS b,
+        quat_mul(array(0D, 1D, 0D, 0D), array(0D, 0D, 1D, 0D)) AS c, quat_inv(array(0D, 2D, 0D, 0D)) AS d, upper_median(array(3D, NULL, 1D, 2D)) AS e, upper_median(array()) AS f""").first()
+    assert abs(got["a"] - 1 / 7) < 1e-12 and got["b"] is None
+    assert got["c"] == [0, 0, 0, 1] and got["d"] == [0, -0.5, 0, 0] and got["e"] == 2 and got["f"] is None
+    merged = spark.sql("SELECT * FROM merge_runs(TABLE(SELECT * FROM VALUES ('g', 0L, 2L, 3L), ('g', 4L, 6L, 3L), ('g', 9L, 10L, 3L), ('h', 1L, 2L, 3L) AS t(g, a, b, gap)) PARTITION BY g ORDER BY a)")
+    assert sorted(one(merged)) == [("g", 0, 6), ("g", 9, 10), ("h", 1, 2)]
+    runs = spark.sql("SELECT * FROM hysteresis_runs(TABLE(SELECT 'g' AS g, id AS i, v, 1D AS span FROM (SELECT posexplode(array(0D, 5D, 3D, 3.5D, 4.5D, 0D)) AS (id, v)) ) PARTITION BY g ORDER BY i)")
+    assert sorted(one(runs), key=str) == [("g", 2, 4), ("g", 5, None)]
