@@ -13,7 +13,8 @@ every chunk under a key of its own. A panel hands on, for each of its stretches,
 their floor; only these meet the stretch's rows, and each gives at most k rows a query.
 
 Defined cases: vectors that are null or hold a null or a non-finite component take no part; shorter vectors count as
-ending in zeros; ties go to the smaller id; equal vectors are candidates each; fewer candidates than k give all of them;
+ending in zeros; ties go to the smaller id; equal vectors are candidates each; rows that share an id are rows of their own,
+each with its list as a query and each a candidate of the others; fewer candidates than k give all of them;
 an empty table gives an empty result. Components are exact up to 2^53 in a score; beyond that they wrap as longs do.
 """
 
@@ -27,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from episodica.operators.sequence import global_rank
+
 from . import common
 
 K = 20
@@ -182,9 +185,15 @@ def _in_parts(batches: Iterator[pa.RecordBatch], width: int, size: int) -> Itera
 def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of ``table`` for each row that ``is_query`` (of the column id) picks."""
     spark = table.sparkSession
-    rows = common.materialize(quantised(table, id_col, vector_col, scale), "topk-vectors")
-    queries = rows.where(is_query)
-    shape = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width"), F.count(F.when(is_query, 1)).alias("q")).first()
+    rows = common.materialize(quantised(table, id_col, vector_col, scale).withColumn("asked", F.coalesce(is_query, F.lit(False))), "topk-vectors")
+    names = None
+    if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):  # rows get names in the order of their ids
+        named = common.materialize(global_rank(rows, ["id"], "name"), "topk-named")
+        common.discard(rows)
+        names, rows = named.select("name", "id"), named.select(F.col("name").alias("id"), "v", "asked")
+        rows.written_to = named.written_to
+    queries = rows.where("asked").select("id", "v")
+    shape = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width"), F.count_if("asked").alias("q")).first()
     result = "query_id long, rank int, vec_id long, score long"
     if not shape["n"] or not shape["q"]:
         return spark.createDataFrame([], result)
@@ -237,7 +246,7 @@ def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
             yield whole()
 
     stretches, chunks = -(-shape["n"] // stretch), -(-shape["q"] // chunk)
-    near = rows.mapInArrow(place, "id long, v array<long>, centre int")
+    near = rows.select("id", "v").mapInArrow(place, "id long, v array<long>, centre int")
     index = near.repartitionByRange(stretches, "centre", "id").sortWithinPartitions("centre", "id").select("id", "v")
     index = common.materialize(index.mapInArrow(index_of, "stretch long, ids binary, rows binary, kind string, blocks int, high binary, low binary"), "topk-index")
     asked = queries.repartitionByRange(chunks, "id").sortWithinPartitions("id")
@@ -285,9 +294,12 @@ def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
         found = common.materialize(met.mapInArrow(score, "query_id long, vec_id long, score long"), "topk-found")
     finally:
         spark.conf.set(key, before)
-    common.discard(rows, index, asked, panels, reached)
+    common.discard(*([rows] if names is None else []), index, asked, panels, reached)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    for column in ("query_id", "vec_id") if names is not None else ():
+        ranked = ranked.join(names.select(F.col("name").alias(column), F.col("id").alias("_own")), column).drop(column).withColumnRenamed("_own", column)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,11 +308,11 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, k::INT AS rank, vec_id, score FROM r WHERE k <= 20
 """

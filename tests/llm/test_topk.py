@@ -11,10 +11,10 @@ def brute(rows, k=20):
     good = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     quantised = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in good]
     out = []
-    for q, a in quantised:
+    for at, (q, a) in enumerate(quantised):
         if q % 20:
             continue
-        scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in quantised if i != q)[:k]
+        scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for n, (i, b) in enumerate(quantised) if n != at)[:k]
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     return sorted(out)
 
@@ -73,6 +73,13 @@ def test_vectors_that_take_no_part(spark):
     assert found(frame(spark, rows)) == brute(rows)
 
 
+def test_rows_that_share_an_id(spark):
+    """Each has a list of its own, and a third of the rows repeat one id."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 0.3, 6).tolist()) for i in range(80)] + [(20, [0.5] * 6)] * 40 + [(7, [0.1] * 6), (40, [0.2] * 6)]
+    assert found(frame(spark, rows)) == brute(rows)
+
+
 def test_empty_and_alone(spark):
     assert found(frame(spark, [])) == []
     assert found(frame(spark, [(0, [1.0])])) == []
