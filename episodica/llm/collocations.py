@@ -4,9 +4,9 @@ Each task numbers the words of its documents, a shard of at most ``SHARD_WORDS``
 substrings of bounded depth: states are substrings that end at the same places, with the number of these places and a
 suffix link. Their substrings and counts are summed over the shards. A phrase can be frequent only if the phrase of its
 suffix link and the one without its last word are, so passes over the hashes of phrases of 2, 3, ... words fill a filter of
-``FILTER_BITS`` bits, whatever the corpus, that spares the next one all others; it lets pass a few more than it should and never fewer, and the last pass
-counts what it passed exactly, by its words. A phrase hands its count to its suffix link, where the shorter phrase
-learns that it hardly stands alone.
+``FILTER_BITS`` bits, whatever the corpus, that spares the next one all others. It lets pass a few more than it should and
+never fewer; the last pass counts what it passed exactly, by its words. A phrase hands its count to its suffix link, where
+the shorter phrase learns that it hardly stands alone.
 
 Defined cases: null text is empty; null languages are ``und``; texts are read whole, whatever their length; repeated rows
 count each; ties in score and count go by the bytes of the phrase; a language without a frequent phrase has no rows, an
