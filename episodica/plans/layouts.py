@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from episodica.plans.registry import query
-from episodica.sources import files
+from episodica.sources import archives, files
 from episodica.sources.shared import shared_dir
 from episodica.sources.tables import table
 
@@ -134,3 +134,28 @@ def matrix_cells(spark, sf_dir):
     head = spark.range(1).select(F.lit(-1).alias("k"), F.lit("\t" + "\t".join(f"N{c}" for c in range(5))).alias("value"))
     head.unionByName(lines).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
     return files.matrix(spark, path)
+
+
+def _archived(spark, df, name):
+    spark.dataSource.register(archives.Telemetry)
+    path = _folder(spark, name)
+    df.write.format("telemetry").mode("append").save(path)
+    return path
+
+
+@query("""SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]), 6) AS total, len(embedding)::INT AS width FROM embeddings""")
+def telemetry_vectors(spark, sf_dir):
+    """Vectors as numeric archives, published by the writer's commit and read back."""
+    path = _archived(spark, table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), "vectors")
+    rows = spark.read.format("telemetry").load(path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return rows.select("vec_id", "label", F.round(total, 6).alias("total"), F.size("embedding").alias("width"))
+
+
+@query("""SELECT user_id, count(*) AS samples, round(max(value), 6) AS most FROM events GROUP BY 1""")
+def telemetry_samples(spark, sf_dir):
+    """Samples as numeric archives; of these only the arrays asked for are read back."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros("ts").alias("at"), "value")
+    path = _archived(spark, e, "samples")
+    rows = spark.read.format("telemetry").schema("user_id long, value double").load(path)
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("samples"), F.round(F.max("value"), 6).alias("most"))

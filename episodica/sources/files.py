@@ -108,12 +108,16 @@ def gpu_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matrix(spark: SparkSession, path: str) -> DataFrame:
-    """A white-space matrix with row and column names as rows (row, column, value); colour codes are stripped."""
+    """White-space matrices with row and column names as rows (row, column, value); colour codes are stripped.
+
+    Each file's rows take the names of that file's header.
+    """
     clean = F.regexp_replace(F.regexp_replace("value", r"\x1b\[[0-9;]*m", ""), r"^\s+|\s+$", "")  # tabs too
-    rows = spark.read.option("wholetext", "true").text(path).select(F.explode(F.split("value", "\n")).alias("value")).select(F.split(clean, r"\s+").alias("f")).where(F.size("f") > 1)
-    head = rows.where(~F.col("f")[1].rlike(r"^(X|NV|SYS|PIX|PHB|NODE|\d)")).select(F.col("f").alias("names")).limit(1)
-    cells = rows.where(F.col("f")[1].rlike(r"^(X|NV|SYS|PIX|PHB|NODE|\d)")).join(F.broadcast(head))
-    long = cells.select(F.col("f")[0].alias("row"), "names", F.posexplode(F.slice("f", F.lit(2), F.size("f") - 1)).alias("i", "value"))
+    rows = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    rows = rows.select("file", "line", F.split(clean, r"\s+").alias("f")).where(F.size("f") > 1)
+    cells = F.col("f")[1].rlike(r"^(X|NV|SYS|PIX|PHB|NODE|\d)")
+    head = rows.where(~cells).groupBy("file").agg(F.min_by("f", "line").alias("names"))
+    long = rows.where(cells).join(head, "file").select(F.col("f")[0].alias("row"), "names", F.posexplode(F.slice("f", F.lit(2), F.size("f") - 1)).alias("i", "value"))
     return long.where(F.col("i") < F.size("names")).select("row", F.element_at("names", F.col("i") + 1).alias("column"), "value")
 
 
