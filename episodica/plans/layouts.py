@@ -155,7 +155,7 @@ def telemetry_vectors(spark, sf_dir):
 @query("""SELECT user_id, count(*) AS samples, round(max(value), 6) AS most FROM events GROUP BY 1""")
 def telemetry_samples(spark, sf_dir):
     """Samples as numeric archives; of these only the arrays asked for are read back."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros("ts").alias("at"), "value")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value")
     path = _archived(spark, e, "samples")
     rows = spark.read.format("telemetry").schema("user_id long, value double").load(path)
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("samples"), F.round(F.max("value"), 6).alias("most"))
