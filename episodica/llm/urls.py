@@ -4,7 +4,7 @@ Everything is a DataFrame or SQL expression. A rule (host, path, verdict) fits i
 url's path starts with the rule's; the longest rule wins. Other urls get the model's verdict. The model is trained from
 a small labelled table: n-grams are hashed into ``BUCKETS`` counts and fitted by penalised logistic regression.
 
-The hosts of the labelled table are made of common words and share no host stem with the pages they are to judge.
+The hosts of the labelled table are made of common words by kind of site; none is taken from tables that are to be judged.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the model
 on empty features (its intercept); a very long url is read whole; repeated rows are judged each; an empty table gives an
@@ -29,19 +29,34 @@ RULES = (
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
     ("net", "/es/", "block"), ("net", "/fr/", "block"),
 )
-#: Host words of the labelled table: a host is made of each, with each place of PLACES behind it.
-BLOCK_WORDS = (
-    "online-casino", "casinos-vip", "poker-room", "sports-bets", "betting-tips", "bet-bonus", "slots-win", "pills-direct", "discount-pills", "cheap-meds",
-    "adult-chat", "adults-only", "x-videos", "xxx-movies", "spam-mail", "spammers-inc", "link-farms", "content-farm", "ad-tracker", "ads-server", "track-clicks",
-    "banner-ads", "prize-lottery", "payday-loan", "replica-shop", "warez-crack",
+#: Words of the labelled table by kind of site, from common knowledge of such names; written without the tables it judges.
+BLOCK_WORDS = {
+    "gambling": "blackjack roulette baccarat jackpot wager bookie bookmaker lotto bingo holdem pokies craps slotmachine punters",
+    "pharmacy": "viagra cialis tramadol xanax ambien steroids pharmarx noscript phentermine valium levitra painkiller dietslim nootropic",
+    "erotic": "porn porno erotica escorts camgirls nude nudes hentai fetish milf hotgirls striptease sexcam playmates",
+    "junk": "backlinks autoblog doorway clickbait linkexchange seoboost trafficbot bulkmailer articlespin massmail followers likesbuy massposts emailblast",
+    "marketing": "popunder popups banner adbroker adclick affiliate doubleclix retarget impressions sponsorlink pixeltag clickthru adnetwork promoclick",
+    "piracy": "warez torrents keygen cracked serials nulled fullrip seedbox camrip illegaldl unlockcode pirated leeching megaripz",
+    "fraud": "phishing verifyaccount paydayloan quickcash replicas rolexcopy miracle getrich cryptodouble instantloan luckyprize giveaway forex ponzi",
+}
+ALLOW_WORDS = {
+    "learning": "school university college campus academy faculty lectures syllabus students teachers science physics chemistry biology",
+    "reading": "library archive museum books journal press gazette herald chronicle editor poetry novel essays publisher",
+    "public": "council city ministry court police parliament embassy transit railway harbour citizens census borough county",
+    "health": "hospital clinic nurses dentist surgery medicine cancer-care wellbeing paediatrics hospice therapy nutrition midwife optician",
+    "home": "garden kitchen recipes baking knitting carpentry pottery family parents pets housing cottage furniture orchard",
+    "software": "docs developer python kernel compiler database openssl manual wiki forum tutorial packages release projects",
+    "nature": "weather climate ocean forest birds wildlife geology mountain river volcano astronomy botany insects glacier",
+}
+#: What stands around a host word, alike for both kinds, and paths, which differ.
+PREFIXES, DOMAINS = ("", "www.", "blog.", "m."), ("example.com", "example.org", "example.net")
+BLOCK_PATHS = (
+    "/promo/signup-bonus", "/order/no-prescription", "/go/redirect.php", "/landing/offer-today", "/join/vip-members", "/download/setup-crack.exe", "/click?aff=7", "/live/girls-online",
+    "/deal/limited-discount", "/jackpot/play-now", "/account/verify-login", "/buy/order-online",
 )
-ALLOW_WORDS = (
-    "library", "citycouncil", "openarchive", "dailynews", "museum", "recipes", "gardening", "notes", "weather", "school", "physicsdept", "history", "transit",
-    "pythondocs", "healthinfo", "other", "theatre", "mathematics", "nations", "stationery", "northern", "authors", "thread", "brothers", "letters", "theory",
-)
-PLACES = (
-    ("", ".example.net/en/1"), ("www.", ".example.org/de/2?page=2"), ("m.", ".example.org/fr/3.html"), ("blog.", ".example.net/de/4/"), ("", ".example.org/en/5#top"),
-    ("www.", ".example.org/es/6"), ("m.", ".example.com/en/7?ref=x"), ("blog.", ".example.com/fr/8"),
+ALLOW_PATHS = (
+    "/about", "/docs/install.html", "/news/2021/05/opening", "/wiki/History_of_science", "/articles/12", "/contact", "/research/papers/3.pdf", "/events/calendar",
+    "/lessons/reading", "/staff/directory", "/blog/2019/notes", "/index.html",
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,10 +94,24 @@ def buckets_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(*[_grams(kind, text, n) for kind, text in framed for n in GRAMS]))
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table: url, label (1 block, 0 allow)."""
-    rows = ", ".join(f"('https://{a}{w}{b}', {y}D)" for y, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)) for w in words for a, b in PLACES)
-    return spark.sql(f"SELECT url, label FROM VALUES {rows} AS t(url, label)")
+def labelled_hosts(words: dict[str, str]) -> list[str]:
+    """Each word alone, and each beside two others of its kind, joined or with a dash."""
+    out = []
+    for kind in words.values():
+        w = kind.split()
+        out += w + [w[i] + w[(i + 1) % len(w)] for i in range(len(w))] + [w[i] + "-" + w[(i + 3) % len(w)] for i in range(len(w))]
+    return out
+
+
+def labelled_urls(spark: SparkSession, block: dict[str, str] = BLOCK_WORDS, allow: dict[str, str] = ALLOW_WORDS) -> DataFrame:
+    """The small labelled table: url, label (1 block, 0 allow). A host has two urls: a path of its class, and a number."""
+    rows = []
+    for label, words, paths in ((1, block, BLOCK_PATHS), (0, allow, ALLOW_PATHS)):
+        for i, host in enumerate(labelled_hosts(words)):
+            for j, path in enumerate((paths[i % len(paths)], f"/{i % 50}")):
+                place = PREFIXES[(i + j) % len(PREFIXES)] + host + "." + DOMAINS[(i + 2 * j) % len(DOMAINS)]
+                rows.append(f"('https://{place}{path}', {label}D)")
+    return spark.sql(f"SELECT url, label FROM VALUES {', '.join(rows)} AS t(url, label)")
 
 
 def train(labelled: DataFrame) -> tuple[list[float], float]:
