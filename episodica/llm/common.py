@@ -56,7 +56,7 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
 
 def hash_bits(*cols) -> F.Column:
     """52 bits from the md5 of the joined columns (nulls count as an empty word)."""
-    joined = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
+    joined = F.concat_ws("|", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols])
     return F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("long")
 
 

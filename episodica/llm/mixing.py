@@ -3,13 +3,15 @@
 Tokens are aggregated per source, a weighted share with a cap gives each source a target, and a document is emitted
 ``floor(rate)`` times plus one hash-seeded Bernoulli copy with probability equal to the fraction of the rate. A document's
 hash is a place on a circle, and it is copied if it lies in an arc as long as the fraction. Each of ``SEEDS`` seeds turns
-the arc by another step, which leaves the probability as it is; a source takes the seed whose words come nearest its
-target, so that a source of few or uneven documents meets its target too. Emission is map-only; only sums per source and
+the arc by another step; a source takes the seed whose words come nearest its target, so that a source of few or uneven
+documents meets its target too. For every one seed the probability of a copy is the fraction; that of the chosen seed is
+not, for a long document, since seeds that suit the sum are preferred. Emission is map-only; only sums per source and
 step are shuffled.
 
 Defined cases: null text has size 0, a long one is counted whole; a null source is a source of its own, last in order; a
-source without words has target 0 and emits nothing; rows of equal ``doc_id`` share a draw, and of null ones those of
-equal texts; an empty table gives an empty result; other columns pass through ``mix_sources``.
+source without words has target 0 and emits nothing; rows that are alike in every column draw one by one (they are counted,
+and each place in the count has a draw of its own), as do rows that share an id alone; an empty table gives an empty
+result; other columns pass through ``mix_sources``.
 """
 
 from __future__ import annotations
@@ -34,9 +36,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
-    """A place on a circle of 2^52 steps, by the id; where that is null, by the text."""
-    return common.hash_bits(F.lit(seed), F.coalesce(doc_id.cast("string"), F.md5(text)))
+def draw(doc_id: Column, text: Column, seed: str = SEED, rest: Column | None = None, place: Column | None = None) -> Column:
+    """A place on a circle of 2^52 steps, by id, text, a hash of the other columns, and the place among equal rows."""
+    other = F.lit("") if rest is None else rest
+    return common.hash_bits(F.lit(seed), doc_id, F.md5(text), other, F.lit(1) if place is None else place)
 
 
 def source_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -97,23 +100,57 @@ def with_copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return joined.withColumn("copies", F.col("whole") + (turned < F.col("arc")).cast("int"))
 
 
+#: Equal rows that one step of counting out makes at once.
+RUN = 1 << 16
+
+
+def _rest(docs: DataFrame) -> Column:
+    """A hash of the columns beside doc_id, text and source; empty where there are none."""
+    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text", "source")]
+    return F.xxhash64(*others).cast("string") if others else F.lit("")
+
+
 def sized_rows(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size and h of ``docs``, written, so that texts are read and counted once."""
-    size = word_count(docs["text"]).alias("size")
-    return common.materialize(docs.select("doc_id", "source", size, draw(docs["doc_id"], docs["text"], seed).alias("h")), "mix-sizes")
+    """doc_id, source, size, h and (md5, rest, n) of ``docs``, a row for each of its rows, written.
+
+    Equal rows are counted (partly on the map side, so a row that fills a third of the table is one key) and counted out
+    again, each with the draw of its place.
+    """
+    md5, size = F.md5(docs["text"]).alias("md5"), word_count(docs["text"]).alias("size")
+    kinds = docs.select("doc_id", "source", md5, _rest(docs).alias("rest"), size).groupBy("doc_id", "source", "md5", "rest", "size").agg(F.count(F.lit(1)).alias("n"))
+    runs = kinds.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / RUN).cast("int"))))
+    first = F.col("run").cast("long") * RUN + 1
+    rows = runs.withColumn("place", F.explode(F.sequence(first, F.least(first + (RUN - 1), F.col("n")))))
+    h = common.hash_bits(F.lit(seed), "doc_id", "md5", "rest", "place")
+    return common.materialize(rows.select("doc_id", "source", "size", h.alias("h"), "md5", "rest", "n"), "mix-sizes")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
-    """Emit every document of ``docs`` (doc_id, text, source, ...) as often as the mix takes it, columns unchanged."""
-    columns = [docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    own = docs.select(*columns, docs["source"].alias("source"), draw(docs["doc_id"], docs["text"], seed).alias("h"))
-    taken = with_copies(own, source_plan(sized_rows(docs, seed), weights, max_repeat)).where("copies > 0")
-    taken = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    """Emit every document of ``docs`` (doc_id, text, source, ...) as often as the mix takes it, columns unchanged.
+
+    Rows without an equal are decided where they lie. Of rows that have equals one stands for all of them, and is emitted
+    as often as they are together.
+    """
+    sized = sized_rows(docs, seed)
+    plan = source_plan(sized, weights, max_repeat)
+    key = ["doc_id", "source", "md5", "rest"]
+    many = with_copies(sized.where("n > 1"), plan).groupBy(*key).agg(F.sum("copies").alias("all_copies"))
+    many = common.materialize(many.select(*[F.col(k).alias(f"m{i}") for i, k in enumerate(key)], "all_copies"), "mix-equal")
+    n_many = many.count()
+    named = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.md5(docs["text"]).alias("md5"), _rest(docs).alias("rest"), draw(docs["doc_id"], docs["text"], seed, _rest(docs)).alias("h"))
+    same = lambda d: [d[k].eqNullSafe(many[f"m{i}"]) for i, k in enumerate(key)]
+    single = with_copies(named.join(common.maybe_broadcast(many, n_many), same(named), "left_anti"), plan).select("row", "copies")
+    # of equal rows one is kept by task, then by key
+    alike = named.join(common.maybe_broadcast(many, n_many), same(named), "left_semi").groupBy(*key).agg(F.any_value("row").alias("row"))
+    alike = alike.join(common.maybe_broadcast(many, n_many), same(alike)).select("row", F.col("all_copies").alias("copies"))
+    taken = single.unionAll(alike).where("copies > 0")
+    runs = taken.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / RUN).cast("int"))))
+    left = F.least(F.lit(RUN).cast("long"), F.col("copies") - F.col("run").cast("long") * RUN)
+    return runs.select("row", F.explode(F.sequence(F.lit(1).cast("long"), left)).alias("copy")).select("row.*")
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = sized_rows(common.read(spark, sf_dir, "documents"))
+    sized = sized_rows(common.read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     out = with_copies(sized, source_plan(sized))
     return out.select(
         "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target",
@@ -124,7 +161,8 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, md5(text), '')), 1, 13))::BIGINT AS h
+         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '') || '||' ||
+           row_number() OVER (PARTITION BY doc_id, source, text)), 1, 13))::BIGINT AS h
   FROM documents),
 src0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 src1 AS (SELECT *, ((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM src0),

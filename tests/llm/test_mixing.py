@@ -95,3 +95,31 @@ def test_sql_agrees(spark, n):
     want = {r[0]: r[4] for r in con.sql(mixing.OP3_SQL).fetchall()}
     got = {r["doc_id"]: r["taken"] for r in rows_of(mixing.op3_source_mix(spark, DATA))}
     assert got == want
+
+
+def test_repeated_rows_meet_the_targets(spark):
+    """Copies of a third of the rows under one id, and under null ids: each draws for itself."""
+    rows = [(i, "w " * 10, s) for s, k in (("a", 0), ("b", 1000), ("c", 2000)) for i in range(k, k + 300)]
+    rows += [(7, "w " * 10, "b")] * 300 + [(None, "w " * 10, "c")] * 300
+    df = docs(spark, rows)
+    for got in (rows_of(mixed(df)), [{**r, "copies": 1, "size": 10} for r in rows_of(mixing.mix_sources(df))]):
+        taken = {s: sum(r["size"] * r["copies"] for r in got if r["source"] == s) for s in "abc"}
+        assert all(abs(taken[s] - 15_000 * w / 6) <= 50 for s, w in (("a", 1), ("b", 2), ("c", 3))), taken
+    per_row = [r["copies"] for r in rows_of(mixed(df)) if r["doc_id"] == 7 and r["source"] == "b"]
+    assert len(per_row) == 300 and max(per_row) <= 3
+    alike = [r for r in rows_of(mixing.mix_sources(df)) if r["doc_id"] == 7 and r["source"] == "b"]
+    assert len(alike) == sum(per_row)
+
+
+def test_rows_that_share_an_id_alone(spark):
+    """Rows of one id and text that differ elsewhere keep their own columns."""
+    df = docs(spark, [(1, "a b", "s")]).withColumn("k", F.explode(F.array(*map(F.lit, (0, 0, 1, 1)))))
+    assert sorted(r["k"] for r in rows_of(mixing.mix_sources(df))) == [0, 0, 1, 1]
+
+
+def test_equal_rows_are_counted_out_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 8)
+    df = docs(spark, [(1, "a b", "s")] * 50 + [(2, "c", "t")])
+    got = rows_of(mixed(df))
+    assert len(got) == 51 and len({r["h"] for r in got}) == 51
+    assert len(rows_of(mixing.mix_sources(df))) == sum(r["copies"] for r in got)
