@@ -4,24 +4,25 @@ A page is read as tokens: each tag, and each run of text, under its path of open
 counts it on every page of its host; it is kept as a sum of page hashes times counts, so vectors merge on the map side
 and are never collected. Tokens of a host with equal vectors form an equivalence class. A class is valid when it has
 enough tokens, is found on enough of the host's pages, and keeps the same number on each page that has it. A second look
-at the pages keeps the classes that nest: their tokens come in one order, and any two lie apart or one in one slot of the
-other. The class found once on all pages is the root of the template, and the others lie in its slots. The root cuts
+at the pages keeps the classes that nest: their tokens come in one order, and each lies in one slot of the class around
+it. The class found once on all pages is the root of the template, and the others lie in its slots. The root cuts
 every page in slots, one behind each of its tokens. The same look sums the text of each slot over the host's pages;
 elements, headings and links only weigh it (``WEIGHTS``). The slots that hold a share of the heaviest one's weight are
-the content of the host; text of the root is its frame on every page, also within such a slot.
+the content of the host; text of the root is its frame on every page. But an article may hold text that all pages share:
+root text is kept where it stands in the page's article, or, on a page without one, in a block that also holds blocks of
+content (and is not the body), unless it is a link.
 
 Inside a kept slot, elements that are menus, notices, forms, comments and the like are left out, and an article or main
 element, where the page has one, bounds what is kept; a class in a slot of an article is content, elsewhere it is frame.
 A host without a template, and a page whose kept slots are empty, are read by their elements alone.
 
-Defined cases: null html is empty and gives empty text; tags left open end where their parent does; a host of few pages
+Defined cases: null html is empty and gives empty text; null urls and such without a host have no template; tags left open end where their parent does; a host of few pages
 has no template; equal pages of a host are one page to its template, and are extracted each; very long pages are read
 whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
 import html as entities
 import re
@@ -58,6 +59,8 @@ _MARKUP = re.compile(
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
+#: A tag that ends itself; a slash behind a value without quotes is that value's.
+_CLOSED = re.compile(r"(?:<[^\s/>]+|[\s\"'])/>$")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that begin and end a block.
@@ -110,28 +113,33 @@ def _tag(tag: str) -> tuple[str, bool, str, bool, bool] | None:
         return kind, True, "", False, False
     marks = " ".join(v for _, a, b, c in _ATTRIBUTE.findall(tag[name.end() :]) for v in (a, b, c) if v)
     own = kind in _FRAME or _is_frame(kind, marks) or (kind not in ("html", "body") and bool(_HIDDEN.search(tag)))
-    return kind, False, "/" + kind + ("." + marks if marks else ""), own, kind in _VOID or tag.endswith("/>")
+    return kind, False, "/" + kind + ("." + marks if marks else ""), own, kind in _VOID or bool(_CLOSED.search(tag))
 
 
-def parse(page: str) -> list[tuple[str, str, bool, bool, bool]]:
-    """The text runs of a page: (path, text, in frame, in article, starts a block), and tags as runs without text.
+Run = tuple[str, str, bool, bool, bool, int, int]
 
-    The path joins the open elements and their class or id; a run of text keeps its white space and references.
+
+def parse(page: str) -> list[Run]:
+    """The text runs of a page: (path, text, in frame, in article, starts a block, block, block around it), and tags as
+    runs without text.
+
+    The path joins the open elements and their class or id; a run of text keeps its white space and references. Blocks
+    are numbered by page; the body is none (0).
     """
-    out: list[tuple[str, str, bool, bool, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, in frame, in article
-    path, framed, article, fresh = "", False, False, True
+    out: list[Run] = []
+    stack: list[tuple[str, str, bool, bool, int, int]] = []  # name, path, in frame, in article, block, block around
+    path, framed, article, fresh, block, around, blocks = "", False, False, True, 0, 0, 0
     at, n = 0, len(page)
 
     def reopen() -> None:
-        nonlocal path, framed, article
-        _, path, framed, article = stack[-1] if stack else ("", "", False, False)
+        nonlocal path, framed, article, block, around
+        _, path, framed, article, block, around = stack[-1] if stack else ("", "", False, False, 0, 0)
 
     while at < n:
         m = _MARKUP.search(page, at)
         end = m.start() if m else n
         if end > at:
-            out.append((path, page[at:end], framed, article, fresh))
+            out.append((path, page[at:end], framed, article, fresh, block, around))
             fresh = False
         if not m:
             break
@@ -166,19 +174,22 @@ def parse(page: str) -> list[tuple[str, str, bool, bool, bool]]:
                     break
                 if stack[k][0] in _HOLDS:
                     break
-        out.append((path + label, "", framed, article, False))
+        out.append((path + label, "", framed, article, False, block, around))
         if kind == "br":
-            out.append((path, " ", framed, article, fresh))
+            out.append((path, " ", framed, article, fresh, block, around))
         if holds_nothing:
             continue
         own |= kind == "header" and not article
         path, framed, article = path + label, framed or own, (article or kind in ("article", "main")) and not own
-        stack.append((kind, path, framed, article))
+        if kind in _BLOCK and kind not in ("html", "body"):
+            blocks += 1
+            block, around = blocks, block
+        stack.append((kind, path, framed, article, block, around))
         if kind in _RAW:
             close = re.compile(rf"</{re.escape(kind)}(?=[\s/>])", re.I).search(page, at)
             stop = close.start() if close else n
             if stop > at:
-                out.append((path, page[at:stop], framed, article, fresh))
+                out.append((path, page[at:stop], framed, article, fresh, block, around))
             at = stop
     return out
 
@@ -253,55 +264,70 @@ def classes_of(pages: DataFrame) -> DataFrame:
 def shapes(page: str, places: dict[int, tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
     """How the classes lie on a page, as (a, b, shape), from the class and member of each token.
 
-    For a class with itself the shape names the order of its tokens; for two classes it is the slot of the one that holds
-    the other (0 if they lie apart, negative if the second holds the first). A broken order or a crossing is ``BROKEN``.
+    For a class with itself the shape names the order of its tokens; for a class and the one right around it, the lesser
+    first, it is the slot of the one around (negative if that is the second). A broken order, a crossing and more than
+    one slot are ``BROKEN``. There are as many as the page has classes and occurrences of them, not as pairs of these.
     """
     yield from _shapes([token_hash(path, text) if not text or not text.isspace() else None for path, text, *_ in parse(page)], places)
 
 
 def _shapes(tokens: list[int | None], places: dict[int, tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
-    found: dict[int, tuple[list[int], list[int]]] = {}
-    for at, token in enumerate(tokens):
-        place = places.get(token)
-        if place:
-            own = found.setdefault(place[0], ([], []))
-            own[0].append(at)
-            own[1].append(place[1])
-    spans = {}
-    for a, (at, member) in found.items():
+    seen = [place for token in tokens if (place := places.get(token))]
+    members: dict[int, list[int]] = {}
+    for a, k in seen:
+        members.setdefault(a, []).append(k)
+    last: dict[int, int] = {}  # of the classes in order: the member that ends them
+    first: dict[int, int] = {}
+    for a, member in members.items():
         m = len(set(member))
-        if len(at) % m or member != member[:m] * (len(at) // m):
+        if len(member) % m or member != member[:m] * (len(member) // m):
             yield a, a, BROKEN
         else:
             yield a, a, xxhash.xxh3_64_intdigest(repr(member[:m])) >> 2
-            spans[a] = at, m
-
-    def slot(outer: tuple[list[int], int], inner: tuple[list[int], int]) -> int:
-        at, m = inner
-        slots = set()
-        for k in range(0, len(at), m):
-            before = bisect.bisect(outer[0], at[k])
-            if before != bisect.bisect(outer[0], at[k + m - 1]):
-                return BROKEN
-            slots.add(before % outer[1])
-        return slots.pop() if len(slots) == 1 else BROKEN
-
-    order = sorted(spans)
-    for i, a in enumerate(order):
-        for b in order[i + 1 :]:
-            inside, around = slot(spans[a], spans[b]), slot(spans[b], spans[a])
-            yield a, b, inside if inside != BROKEN else -around if around > 0 else BROKEN
+            first[a], last[a] = member[0], member[m - 1]
+
+    lies: dict[int, set[tuple[int, int]]] = {}  # the class around, and its slot
+    crossed: set[tuple[int, int]] = set()
+    open_ones: list[list[int]] = []  # class and members seen
+    is_open: set[int] = set()
+    for a, k in seen:
+        if a not in first:
+            continue
+        if k == first[a]:
+            if open_ones:
+                lies.setdefault(a, set()).add((open_ones[-1][0], open_ones[-1][1]))
+            open_ones.append([a, 0])
+            is_open.add(a)
+        elif a not in is_open:  # it was crossed
+            continue
+        while open_ones[-1][0] != a:
+            other = open_ones.pop()[0]
+            is_open.discard(other)
+            crossed.add((min(a, other), max(a, other)))
+        open_ones[-1][1] += 1
+        if k == last[a]:
+            open_ones.pop()
+            is_open.discard(a)
+    for b, found in lies.items():
+        for a, slot in found:
+            pair = (min(a, b), max(a, b))
+            if len(found) > 1:
+                crossed.add(pair)
+            elif pair not in crossed:
+                yield *pair, slot if a < b else -slot
+    for pair in crossed:
+        yield *pair, BROKEN
 
 
 _LINK = re.compile(r"/a(?:[./]|$)")
 _HEADING = re.compile(r"/h[12](?:[./]|$)")
 
 
-def slot_texts(runs: list[tuple[str, str, bool, bool, bool]], tokens: list[int | None], root: set[int]) -> dict[int, list[float]]:
+def slot_texts(runs: list[Run], tokens: list[int | None], root: set[int]) -> dict[int, list[float]]:
     """For the slot behind each token of the root (0: before the first): weight, characters, and those in an article."""
     out: dict[int, list[float]] = {}
     slot = 0
-    for (path, text, framed, article, _), token in zip(runs, tokens, strict=True):
+    for (path, text, framed, article, *_), token in zip(runs, tokens, strict=True):
         if token in root:
             slot = token
         elif text and token is not None:
@@ -332,7 +358,8 @@ def nested(classes: DataFrame, pages: DataFrame) -> DataFrame:
     """host and its template: tokens of the root (``root``), its slots that are content (``kept``, by the token before),
     and tokens of the classes in its slots (``inner``).
 
-    A class stays if its tokens keep one order, and it keeps one slot of each class before it, on ``AGREE`` of the pages.
+    A class stays if its tokens keep one order, and it keeps one slot of each class that it is found right in, on ``AGREE``
+    of the pages.
     """
     kinds = "host string, a int, b int, shape long, n long, weight double, chars double, article double"
     names = [x.split()[0] for x in kinds.split(", ")]
@@ -366,7 +393,7 @@ def nested(classes: DataFrame, pages: DataFrame) -> DataFrame:
                 agreed = {(x["a"], x["b"]): x["agreed"] for x in row["looks"]}
                 kept: list[int] = []
                 for b in range(len(row["classes"])):
-                    if agreed.get((b, b)) and all(agreed.get((a, b), True) for a in kept):  # classes may never meet
+                    if agreed.get((b, b)) and all(agreed.get((a, b), True) for a in kept):  # most never lie right in each other
                         kept.append(b)
                 root, inner = ([t for k in kept for t in row["classes"][k]["tokens"] if row["classes"][k]["root"] == root] for root in (True, False))
                 slots = {x["shape"]: [x["weight"], x["chars"], x["article"]] for x in row["slots"]}
@@ -383,7 +410,7 @@ def nested(classes: DataFrame, pages: DataFrame) -> DataFrame:
     most = F.max(F.struct("n", "shape"))
     agreed = (most["n"] >= AGREE * F.sum("n")) & (most["shape"] != BROKEN)
     looks = seen.where("a >= 0").groupBy("host", "a", "b").agg(agreed.alias("agreed"))
-    looks = looks.groupBy("host").agg(F.collect_list(F.struct("a", "b", "agreed")).alias("looks"))  # by pairs of its few classes
+    looks = looks.groupBy("host").agg(F.collect_list(F.struct("a", "b", "agreed")).alias("looks"))  # at most as many as its pages have classes and occurrences of them
     slots = seen.where("a < 0").groupBy(F.col("host").alias("slot_host")).agg(F.collect_list(F.struct("shape", "weight", "chars", "article")).alias("slots"))  # as many as a page has
     both = looks.join(named, F.col("host") == F.col("class_host")).join(slots, F.col("host") == F.col("slot_host"), "left")
     both = both.select("host", "classes", "looks", F.coalesce("slots", F.array().cast("array<struct<shape:bigint,weight:double,chars:double,article:double>>")).alias("slots"))
@@ -399,33 +426,45 @@ def templates(pages: DataFrame) -> DataFrame:
 def main_text(page: str, root: set[int], inner: set[int] | frozenset[int] = frozenset(), kept: set[int] | None = None) -> str:
     """The blocks of the slots that are kept (all, without ``kept``), joined by two line ends.
 
-    The root's text is never content. A class in a slot is what its slot is: content in an article, frame elsewhere.
+    The root's text, and that of a class in a slot, is content in an article, or beside content in a block; else frame.
     """
     runs = parse(page)
     found = _blocks(runs, root, inner, kept)
     if not found and root and kept is not None:  # the page does not follow the template
-        found = _blocks(runs, root, inner, None)
+        found = _blocks(runs, root, inner, None) or _blocks(runs, set(), frozenset(), None)
     return "\n\n".join(found)
 
 
-def _blocks(runs: list[tuple[str, str, bool, bool, bool]], root: set[int], inner: set[int] | frozenset[int], kept: set[int] | None) -> list[str]:
-    has_article = any(article and text and not text.isspace() for _, text, _, article, _ in runs)
-    blocks: list[list[str]] = []
+def _blocks(runs: list[Run], root: set[int], inner: set[int] | frozenset[int], kept: set[int] | None) -> list[str]:
+    has_article = any(article and text and not text.isspace() for _, text, _, article, *_ in runs)
+    parts: list[tuple[bool, str, bool, int, int]] = []  # starts a block, text, shared by pages, block, block around it
     broken, chosen = True, kept is None or 0 in kept
-    for path, text, framed, article, fresh in runs:
+    for path, text, framed, article, fresh, block, around in runs:
         token = token_hash(path, text) if (root or inner) and (not text or not text.isspace()) else None
-        if token in root:
+        of_root = token in root
+        if of_root:
             chosen = kept is None or token in kept
-            broken |= bool(text) and fresh
-            continue
         if not text:
             continue
         broken |= fresh
-        if framed or not chosen or (has_article and not article) or (token in inner and not has_article):
+        shared = of_root or token in inner
+        if framed or (has_article and not article) or not (chosen or of_root) or (shared and not has_article and _LINK.search(path)):
+            continue
+        parts.append((broken, text, shared and not has_article, block, around))
+        broken = False
+    # what pages share is content where the block around it holds content too
+    own = {block for _, text, shared, block, _ in parts if not shared and not text.isspace()}
+    beside = {around for _, text, shared, _, around in parts if not shared and not text.isspace()}
+    blocks: list[list[str]] = []
+    lost = False
+    for starts, text, shared, block, around in parts:
+        starts |= lost
+        lost = shared and not (block and block in own or around and around in beside)
+        if lost:
+            lost = starts
             continue
-        if broken:
+        if starts or not blocks:
             blocks.append([])
-            broken = False
         blocks[-1].append(text)
     whole = (_SPACE.sub(" ", entities.unescape("".join(b))).strip() for b in blocks)
     return [b for b in whole if b]
@@ -435,7 +474,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text, n_chars for every row of ``pages``."""
     slim = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
     slim = slim.withColumn("host", urls.host_of(F.col("url")))
-    found = common.materialize(templates(slim.select("page_id", "host", "html")).withColumnRenamed("host", "template_host"), "html-templates")
+    found = common.materialize(templates(slim.where("host <> ''").select("page_id", "host", "html")).withColumnRenamed("host", "template_host"), "html-templates")
     tokens = found.agg(F.sum(F.size("root") + F.size("kept") + F.size("inner"))).first()[0] or 0
     joined = slim.join(common.maybe_broadcast(found, tokens, BROADCAST_TOKENS), F.col("host") == F.col("template_host"), "left")
 

@@ -126,12 +126,69 @@ def test_edges(spark):
 
 
 def test_the_template_decides_inside_articles(spark):
-    """Text of the root is frame in an article too; a class of some pages in a slot of the article is content."""
+    """Text that all pages share, or some, is content in an article; outside it is frame."""
     page = '<body><div>Site</div><article><p class="by">By the staff</p><p class="x">Own {i}</p>{some}</article></body>'
     some = '<p class="s">Quoted once</p><p class="s">and again</p>'
     rows = [(i, f"https://h/{i}", page.format(i=i, some=some if i % 2 else "")) for i in range(12)]
     got = sorted(rows_of(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))), key=lambda r: r["page_id"])
-    assert [r["text"] for r in got] == [f"Own {i}" + "\n\nQuoted once\n\nand again" * (i % 2) for i in range(12)]
+    assert [r["text"] for r in got] == [f"By the staff\n\nOwn {i}" + "\n\nQuoted once\n\nand again" * (i % 2) for i in range(12)]
+
+
+def extracted(spark, pages):
+    """The texts of ``pages``, each (url, html), in order."""
+    rows = [(i, url, page) for i, (url, page) in enumerate(pages)]
+    got = rows_of(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+@pytest.mark.parametrize("element", ["article", "main", "div"])
+def test_articles_keep_what_pages_share(spark, element):
+    page = (
+        "<body><div>Site</div><ul><li><a href=/>Home</a></li></ul><{e}><h1>Report</h1><p>Methods are those of the first report.</p>"
+        "<p>Own findings {i} of {i}.</p><p>All rights of {i}.</p><p>The end.</p></{e}><div>Imprint</div></body>"
+    )
+    want = "Report\n\nMethods are those of the first report.\n\nOwn findings {i} of {i}.\n\nAll rights of {i}.\n\nThe end."
+    got = extracted(spark, [(f"https://h/{i}", page.format(e=element, i=i)) for i in range(6)])
+    assert got == [want.format(i=i) for i in range(6)]
+
+
+def test_shared_words_within_a_block_and_shared_links(spark):
+    page = "<body><div>Site</div><div><p><b>Abstract.</b> Number {i}<i> ends.</i></p><p><a href=/>Back to the start</a></p></div></body>"
+    got = extracted(spark, [(f"https://h/{i}", page.format(i=i)) for i in range(8)])
+    assert got == [f"Abstract. Number {i} ends." for i in range(8)]
+
+
+def test_pages_without_a_host_have_no_template(spark):
+    page = "<body><div>Site</div><div><p>Own {i}</p></div></body>"
+    urls = [None, "no scheme", "", "https:///path"]
+    got = extracted(spark, [(urls[i % 4], page.format(i=i)) for i in range(16)])
+    assert got == [f"Site\n\nOwn {i}" for i in range(16)]
+
+
+def test_shapes_grow_with_the_page():
+    """Classes side by side, and classes each around the next, give rows in proportion to their number."""
+    names = [f"x{k}" for k in range(400)]
+    for page in ("".join(f"<{n}></{n}><{n}b></{n}b>" for n in names), "".join(f"<{n}>" for n in names) + "".join(f"<{n}.>" for n in reversed(names))):
+        tokens = [html_extract.token_hash(p, t) for p, t, *_ in html_extract.parse(page)]
+        side = "</" in page
+        places = {t: (i // 2, i % 2) if side else (min(i, 799 - i), i // 400) for i, t in enumerate(tokens)}
+        assert len(places) == 800
+        found = list(html_extract.shapes(page, places))
+        assert len(found) == (400 if side else 799)
+        assert html_extract.BROKEN not in {x for _, _, x in found}
+
+
+def test_one_slot_of_one_class():
+    """A class in two slots of the one around it, or in two classes, is broken; in one slot of each occurrence it is not."""
+    tokens = {"a": (0, 0), "b": (0, 1), "c": (0, 2), "x": (1, 0), "y": (1, 1), "k": (2, 0), "l": (2, 1)}
+    lie = lambda word: {(a, b): s for a, b, s in html_extract._shapes(list(word), tokens) if a != b}
+    assert lie("axybcaxybc") == {(0, 1): 1}
+    assert lie("abxycabxyc") == {(0, 1): 2}
+    assert lie("axybxyc") == {(0, 1): html_extract.BROKEN}
+    assert lie("axybckxyl") == {(0, 1): html_extract.BROKEN, (1, 2): html_extract.BROKEN}
+    assert lie("xabcy") == {(0, 1): -1}
+    assert lie("abcxy") == {}
+    assert lie("axbyc") == {(0, 1): html_extract.BROKEN}
 
 
 def test_classes_without_one_order_are_no_template(spark):
