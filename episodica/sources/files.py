@@ -165,3 +165,22 @@ def chunks(df: DataFrame, key: str, content: str, size: int = 1 << 20) -> DataFr
     parts = df.select(key, content, F.explode(places).alias("chunk"))
     part = F.substring(content, F.col("chunk") * size + 1, F.lit(size))
     return parts.select(key, "chunk", part.alias("part"), F.sha2(part, 256).alias("sha256"))
+
+
+def names_below(spark: SparkSession, path: str, pattern: str, name: str) -> DataFrame:
+    """``name``: what the first group of ``pattern`` finds in the path of each file below a folder; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", pattern, 1).alias(name))
+    return found.where(F.col(name) != "").distinct()
+
+
+def pending(requests: DataFrame, outputs: DataFrame, frames: DataFrame, key: list[str], frame: str, force: bool = False) -> DataFrame:
+    """Requests that have no output yet (all of them, with ``force``).
+
+    One that is to run and whose frame is not there fails the job and is named; one that is skipped needs none. Requests
+    with a null key have no output.
+    """
+    todo = requests if force else requests.join(outputs.select(*key).distinct(), key, "left_anti")
+    there = frames.select(F.col(frame).alias("_frame")).distinct()
+    known = todo.join(there, todo[frame] == F.col("_frame"), "left")
+    said = F.concat_ws(" ", F.lit("frame not found:"), F.coalesce(todo[frame].cast("string"), F.lit("null")), F.lit("for"), *[todo[k].cast("string") for k in key])
+    return known.where(F.when(F.col("_frame").isNull(), F.raise_error(said).cast("boolean")).otherwise(True)).drop("_frame")
