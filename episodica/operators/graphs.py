@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodica.sources.shared import written
+from episodica.sources.shared import dealt, written
 
 
 #: A graph of no more edges is worked out within a task.
@@ -50,11 +50,12 @@ def _within_task(edges: pd.DataFrame) -> pd.DataFrame:
 
 
 def _peeled(edges: DataFrame) -> DataFrame:
-    """Edges between nodes that have edges in and out, again and again until none goes."""
-    core, size = written(edges.select("graph", "a", "b").distinct(), "edges"), -1
+    """Distinct edges between nodes that have edges in and out, again and again until none goes."""
+    core, size = edges.select("graph", "a", "b"), -1
     while (left := core.count()) != size and left:
         size = left
-        ends, starts = core.select("graph", F.col("b").alias("a")).distinct(), core.select("graph", F.col("a").alias("b")).distinct()
+        # written, so that few nodes go to the edges and not the edges by node to one place
+        ends, starts = (written(core.select("graph", F.col(x).alias(y)).distinct(), "ends") for x, y in ("ba", "ab"))
         core = written(core.join(ends, ["graph", "a"], "left_semi").join(starts, ["graph", "b"], "left_semi"), "core")
     return core
 
@@ -79,12 +80,13 @@ def _least(edges: DataFrame, source: str, target: str, name: str) -> DataFrame:
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """graph, node, component (its least node) of all nodes of (graph, a, b) on a cycle; names are not null."""
-    edges = written(edges.select("graph", "a", "b").distinct(), "edges")
-    sizes = edges.groupBy("graph").agg(F.count(F.lit(1)).alias("_n"))
-    small = edges.join(sizes.where(F.col("_n") <= LOCAL_EDGES), "graph", "left_semi")
+    edges = written(dealt(written(edges.select("graph", "a", "b"), "steps"), "graph", "a", "b").distinct(), "edges")
+    # large graphs are at most a LOCAL_EDGES-th of the edges; a join by graph alone would bring each to one task
+    big = F.broadcast(written(edges.groupBy("graph").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LOCAL_EDGES), "big"))
+    small = dealt(edges.join(big, "graph", "left_anti"), "graph")
     kinds = dict(edges.dtypes)
     found = small.groupBy("graph").applyInPandas(_within_task, f"graph {kinds['graph']}, node {kinds['a']}, component {kinds['a']}")
-    large = written(edges.join(sizes.where(F.col("_n") > LOCAL_EDGES), "graph", "left_semi"), "large")
+    large = written(edges.join(big, "graph", "left_semi"), "large")
     return found.unionByName(_by_labels(large)) if large.head(1) else found
 
 
@@ -104,7 +106,7 @@ def _by_labels(edges: DataFrame) -> DataFrame:
         open_ = labels.where("`from` <> `to`")
         a = open_.select("graph", F.col("v").alias("a"), F.struct("from", "to").alias("_pa"))
         b = open_.select("graph", F.col("v").alias("b"), F.struct("from", "to").alias("_pb"))
-        rest = _peeled(rest.join(a, ["graph", "a"]).join(b, ["graph", "b"]).where("_pa = _pb"))
+        rest = _peeled(written(rest.join(a, ["graph", "a"]).join(b, ["graph", "b"]).where("_pa = _pb"), "rest"))
     out = loops
     for part in found:
         out = out.unionByName(part)

@@ -9,6 +9,7 @@ from episodica.functions import geometry
 from episodica.operators import graphs, ledger, rules
 from episodica.operators import sequence as seq
 from episodica.plans.registry import FRAMES_SQL, query
+from episodica.sources.shared import dealt
 from episodica.sources.tables import frames, table
 
 
@@ -97,7 +98,8 @@ SELECT 'suppliers' AS graph, a FROM r WHERE a = b""")
 def graph_cycle(spark, sf_dir):
     """Suppliers on a cycle of one precedence graph: each line of an order comes before the next."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey")
-    line = table(spark, sf_dir, "lineitem").select(F.lit("suppliers").alias("graph"), F.col("l_suppkey").alias("a"), F.lead("l_suppkey").over(w).alias("b"))
+    line = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), "l_orderkey")
+    line = line.select(F.lit("suppliers").alias("graph"), F.col("l_suppkey").alias("a"), F.lead("l_suppkey").over(w).alias("b"))
     return rules.cyclic_nodes(line.where("b is not null"))
 
 

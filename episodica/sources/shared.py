@@ -24,3 +24,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of one task of ``dealt``.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` by ``keys``, over as many partitions as its rows ask for: what a task sorts or holds does not grow with it.
+
+    Counts ``df`` first, which for a table of files reads their footers only.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), *keys)

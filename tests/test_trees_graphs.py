@@ -77,3 +77,17 @@ def test_rows_stay_linear_in_a_large_component(spark, monkeypatch):
     finally:
         graphs.written = real
     assert max(t.count() for t in seen) <= 3 * n
+
+
+def test_edges_are_dealt_over_tasks_that_grow_in_number(spark, monkeypatch):
+    """What a task sorts is bounded; a large graph meets its size by broadcast, not in one partition of its name."""
+    from episodica.sources import shared
+
+    assert shared.dealt(spark.range(4_000), "id", rows=100).rdd.getNumPartitions() == 40
+    met = []
+    monkeypatch.setattr(graphs, "LOCAL_EDGES", 10)
+    monkeypatch.setattr(graphs, "dealt", lambda df, *keys: met.append((keys, df.count())) or df.repartition(3, *keys))
+    edges = [("large", i, j) for i in range(4) for j in range(4) if i != j] + [("small", 1, 2), ("small", 2, 1), ("small", 2, 3)]
+    got = graphs.strong_components(spark.createDataFrame(edges, "graph string, a int, b int")).collect()
+    assert sorted(map(tuple, got)) == [*[("large", i, 0) for i in range(4)], ("small", 1, 1), ("small", 2, 1)]
+    assert met == [(("graph", "a", "b"), 15), (("graph",), 3)]
