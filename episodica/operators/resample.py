@@ -13,11 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from episodica.sources.shared import dealt, written
+
 PRIME = 2_147_483_647
 #: Places of a draw from which on an episode weighs 1, 2, 3 and 4: the Poisson distribution of mean 1.
 STEPS = tuple(int(x * PRIME) for x in (0.36787944, 0.73575888, 0.91969860, 0.98101184))
-#: Episodes and resamples of one block of weights.
-BLOCK, WIDTH = 256, 4_096
+#: Episodes and resamples of one block of weights, which stays in a core's cache.
+BLOCK, WIDTH = 64, 1_024
+#: Episodes of one task.
+EPISODES = 16_384
 
 
 def factor(name: Column) -> Column:
@@ -29,6 +33,20 @@ def _factors(resamples: int) -> np.ndarray:
     return np.array([int(hashlib.md5(f"b|{b}".encode()).hexdigest()[:8], 16) % (PRIME - 1) + 1 for b in range(resamples)], dtype=np.int64)
 
 
+def _weights(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The weight of each episode (rows) in each resample (columns), from (a * c) mod p."""
+    x = a[:, None] * c[None, :]
+    high = x >> 31  # 2^31 is 1 mod p, so the upper bits add to the lower ones
+    x &= PRIME
+    x += high
+    place = x.astype(np.uint32)
+    np.minimum(place, place - np.uint32(PRIME), out=place)  # less than p: a difference below 0 wraps round to the top
+    w = (place >= STEPS[0]).view(np.uint8)
+    for s in STEPS[1:]:
+        w += (place >= s).view(np.uint8)
+    return w.astype(np.float64)
+
+
 def paired_differences(df: DataFrame, episode: str, condition: Column, other: Column, value: str) -> DataFrame:
     """episode, difference: the mean value under a condition less that under another, of episodes that have both."""
     both = df.groupBy(episode).agg(F.avg(F.when(condition, F.col(value))).alias("a"), F.avg(F.when(other, F.col(value))).alias("b"))
@@ -40,21 +58,19 @@ def bootstrap_sums(df: DataFrame, name: str, value: str, resamples: int) -> Data
 
     def run(batches):
         c = _factors(resamples)
-        weighted, weight = np.zeros(resamples), np.zeros(resamples)
+        sums = np.zeros((2, resamples))
         for batch in batches:
             a, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            both = np.stack([x, np.ones_like(x)])
             for i in range(0, len(a), BLOCK):
                 for j in range(0, resamples, WIDTH):
-                    place = a[i : i + BLOCK, None] * c[None, j : j + WIDTH] % PRIME
-                    w = sum((place >= s).astype(np.float64) for s in STEPS)
-                    weighted[j : j + WIDTH] += x[i : i + BLOCK] @ w
-                    weight[j : j + WIDTH] += w.sum(0)
+                    sums[:, j : j + WIDTH] += both[:, i : i + BLOCK] @ _weights(a[i : i + BLOCK], c[j : j + WIDTH])
+        weighted, weight = sums
         held = np.flatnonzero(weight)
         yield pa.RecordBatch.from_pydict({"b": held.astype(np.int32), "weighted": weighted[held], "weight": weight[held]})
 
     rows = df.where(F.col(value).isNotNull()).select(factor(F.col(name)).alias("a"), F.col(value).cast("double").alias("x"))
-    dealt = rows.repartition(df.sparkSession.sparkContext.defaultParallelism, "a")
-    return dealt.mapInArrow(run, "b int, weighted double, weight double").groupBy("b").agg(F.sum("weighted").alias("weighted"), F.sum("weight").alias("weight"))
+    return dealt(written(rows, "episodes"), "a", rows=EPISODES).mapInArrow(run, "b int, weighted double, weight double").groupBy("b").agg(F.sum("weighted").alias("weighted"), F.sum("weight").alias("weight"))
 
 
 def paired_bootstrap(df: DataFrame, name: str, value: str, resamples: int = 100_000, share: float = 0.95) -> DataFrame:

@@ -95,3 +95,16 @@ def test_pairs_need_both_conditions(spark):
     df = spark.createDataFrame([(1, "a", 4.0), (1, "b", 1.0), (1, "a", 2.0), (2, "a", 9.0), (3, "b", None), (3, "a", 1.0)], "k long, c string, x double")
     assert [tuple(r) for r in resample.paired_differences(df, "k", F.col("c") == "a", F.col("c") == "b", "x").collect()] == [(1, 2.0)]
     assert resample.paired_bootstrap(df.limit(0).select("k", "x"), "k", "x", 10).first().mid is None
+
+
+def test_weights_by_cached_blocks_are_those_of_the_remainder():
+    a = np.array([1, 2, resample.PRIME - 1, resample.PRIME - 2, 12_345, 1 << 30], dtype=np.int64)
+    c = np.array([1, resample.PRIME - 1, resample.PRIME - 2, 1 << 30, 987_654_321], dtype=np.int64)
+    place = a[:, None] * c % resample.PRIME
+    assert (resample._weights(a, c) == sum((place >= s).astype(float) for s in resample.STEPS)).all()
+
+
+def test_episodes_are_dealt_over_tasks_that_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(resample, "EPISODES", 50)
+    df = spark.createDataFrame([(i, float(i)) for i in range(2_000)], "k long, x double")
+    assert "REPARTITION_BY_NUM" in (plan := resample.bootstrap_sums(df, "k", "x", 20)._jdf.queryExecution().executedPlan().toString()) and ", 40)" in plan
