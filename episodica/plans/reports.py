@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from episodica.operators import sequence as seq
 from episodica.plans.registry import FRAMES_SQL, query
-from episodica.sources.shared import written
+from episodica.sources.shared import dealt, written
 from episodica.sources.tables import frames, table
 
 
@@ -63,7 +63,8 @@ p AS (SELECT a.k, a.id, sum(1 / (1 + abs(a.v - b.v))) AS s FROM d a JOIN d b ON
 SELECT k, id FROM r WHERE j = 1""")
 def medoid(spark, sf_dir):
     """The draft that agrees most with the others; a record has few drafts."""
-    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("id")).agg(F.min("l_quantity").alias("v"))
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("id"), F.col("l_quantity").alias("v"))
+    d = dealt(line, "k").groupBy("k", "id").agg(F.min("v").alias("v"))  # all that follows is by record, where it lies
     a, b = d.alias("a"), d.alias("b")
     p = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.id") != F.col("b.id"))).groupBy("a.k", "a.id").agg(F.round(F.sum(1 / (1 + F.abs(F.col("a.v") - F.col("b.v")))), 9).alias("s"))
     return p.groupBy("k").agg(F.max_by("id", F.struct("s", -F.col("id"))).alias("id"))

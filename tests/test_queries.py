@@ -54,3 +54,9 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = catalog.QUERIES["scan_pruned_frames"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "LessThan(l_quantity,10.0)" in plan
     assert "l_extendedprice" not in plan
+
+
+def test_records_of_drafts_are_dealt_once(spark):
+    """One exchange, over as many tasks as the lines ask for."""
+    plan = catalog.QUERIES["medoid"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan.replace("rangepartitioning", "")
