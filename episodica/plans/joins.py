@@ -8,6 +8,7 @@ from episodica.functions import geometry, text
 from episodica.operators import joins
 from episodica.operators import sequence as seq
 from episodica.plans.registry import FRAMES_SQL, query
+from episodica.sources.shared import written
 from episodica.sources.tables import frames, table
 
 
@@ -137,15 +138,24 @@ SELECT 'id', count(*) FROM (SELECT DISTINCT doc_id FROM d JOIN b ON doc_id = ite
 def overlap_report(spark, sf_dir):
     """Training rows that a held-out set also has, by kind of match."""
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9_]+", " "))
-    d = table(spark, sf_dir, "documents").select("doc_id", norm(F.col("text")).alias("t"))
+    raw = table(spark, sf_dir, "documents").select("doc_id", "text")
+    normed = lambda df: df.select("doc_id", norm(F.col("text")).alias("t"))
+    d = normed(raw)
     b = table(spark, sf_dir, "benchmark").select("item_id", norm(F.col("text")).alias("t"))
     words = F.col("words")  # a column of its own, split once a row
-    runs = F.when(F.size(words) >= 8, F.transform(F.sequence(F.lit(1), F.size(words) - 7), lambda i: F.array_join(F.slice(words, i, 8), " "))).otherwise(F.array().cast("array<string>"))
-    run = lambda df, *more: df.withColumn("words", F.split("t", " ")).select(*more, F.explode(F.array_distinct(runs)).alias("s"))
-    shared = run(d, "doc_id").join(run(b).distinct(), "s", "left_semi").select("doc_id").distinct()
+    split = lambda df: df.withColumn("words", F.split("t", " "))
+    each = lambda f: F.when(F.size(words) >= 8, F.transform(F.sequence(F.lit(1), F.size(words) - 7), lambda i: f(F.slice(words, i, 8))))
+    # hashes of runs and of the text find the few rows that may match; only these have their runs spelled out
+    hashes = F.array_append(F.coalesce(each(F.xxhash64), F.array().cast("array<bigint>")), F.xxhash64("t"))
+    hashed = lambda df, *more: split(df).select(*more, F.explode_outer(hashes).alias("h"))
+    runs = lambda df, *more: split(df).select(*more, F.explode(each(lambda w: F.array_join(w, " "))).alias("s"))
+    hit = hashed(d, "doc_id").join(written(hashed(b).distinct(), "hashes"), "h", "left_semi").select(F.col("doc_id").alias("hit")).distinct()
+    # written, since a filter on the text would else go below the join, to all texts
+    maybe = written(normed(raw.join(written(hit, "hits"), F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi")), "maybe")
+    shared = runs(maybe, "doc_id").join(runs(b).distinct(), "s", "left_semi").select("doc_id").distinct()
     count = lambda kind, hits: hits.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
     ids = d.join(b.select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi")
-    return count("text", d.join(b, "t", "left_semi")).union(count("run", shared)).union(count("id", ids))
+    return count("text", maybe.join(b, "t", "left_semi")).union(count("run", shared)).union(count("id", ids))
 
 
 @query("""SELECT k, min(src) AS first_seen FROM (SELECT c_nationkey AS k, 'customer' AS src FROM customer UNION ALL SELECT s_nationkey, 'supplier' FROM supplier) GROUP BY 1""")

@@ -60,3 +60,9 @@ def test_records_of_drafts_are_dealt_once(spark):
     """One exchange, over as many tasks as the lines ask for."""
     plan = catalog.QUERIES["medoid"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan.replace("rangepartitioning", "")
+
+
+def test_runs_of_few_documents_are_spelled_out(spark):
+    """Runs as text only of documents whose hashes the held-out set has, from a table of these."""
+    got = catalog.QUERIES["overlap_report"](spark, DATA)
+    assert any("/maybe-" in f for f in got.inputFiles())
