@@ -9,6 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Texts that are Python objects at once in ``normalised``.
+FOLD_ROWS = 64
+
 
 def slug(text: Column, size: int = 48) -> Column:
     """Lower case, runs of other signs as one underscore, none at the ends, cut to ``size``."""
@@ -26,7 +29,10 @@ def normalised(text: Column) -> Column:
         import pyarrow as pa
 
         words = re.compile(r"\w+").findall
-        return pa.array([None if v is None else " ".join(words(unicodedata.normalize("NFKC", v).casefold())) for v in values.to_pylist()], pa.string())
+        form = lambda v: None if v is None else " ".join(words(unicodedata.normalize("NFKC", v).casefold()))
+        # a slice at a time, so that few texts are Python objects at once
+        slices = (values.slice(i, FOLD_ROWS) for i in range(0, len(values), FOLD_ROWS))
+        return pa.concat_arrays([pa.array([form(v.as_py()) for v in part], pa.string()) for part in slices] or [pa.array([], pa.string())])
 
     return fold(text)
 

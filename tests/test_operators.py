@@ -241,3 +241,9 @@ def test_registered_functions(spark):
     assert sorted(one(merged)) == [("g", 0, 6), ("g", 9, 10), ("h", 1, 2)]
     runs = spark.sql("SELECT * FROM hysteresis_runs(TABLE(SELECT 'g' AS g, id AS i, v, 1D AS span FROM (SELECT posexplode(array(0D, 5D, 3D, 3.5D, 4.5D, 0D)) AS (id, v)) ) PARTITION BY g ORDER BY i)")
     assert sorted(one(runs), key=str) == [("g", 2, 4), ("g", 5, None)]
+
+
+def test_normalised_takes_few_texts_at_once(spark, monkeypatch):
+    monkeypatch.setattr(text, "FOLD_ROWS", 2)
+    df = spark.createDataFrame([("A",), (None,), ("B  c",), ("",), ("D",)], "t string").coalesce(1)
+    assert [r[0] for r in one(df.select(text.normalised(F.col("t"))))] == ["a", None, "b c", "", "d"]
