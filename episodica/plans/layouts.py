@@ -50,7 +50,7 @@ def provenance_scan(spark, sf_dir):
 
 @query("""WITH f AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_index FROM events) SELECT frame_index, event_id, value FROM f WHERE user_id = (SELECT min(user_id) FROM events)""")
 def episode_point_read(spark, sf_dir):
-    """One episode of a tree with a folder for each: only its folder is listed and read."""
+    """One episode of a tree of chunks: the table of episodes names its chunk, and only that folder is listed and read."""
     from episodica.sources.tables import frames
 
     base = _folder(spark, "episodes")
