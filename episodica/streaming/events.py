@@ -55,59 +55,80 @@ def progress(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
 
 
+#: Users next to each other whose state is one value, as a power of 2.
+NEAR = 4
+
+#: What waits for the watermark, by columns.
+_WAITING = {"user_id": "array<long>", "at": "array<long>", "event_id": "array<long>", "event_type": "array<string>", "value": "array<double>"}
+
+
 class _InOrder(StatefulProcessor):
-    """A fold of each user's events by (ts, event_id): a value state of what the watermark has passed, and what waits.
+    """A fold of each user's events by (ts, event_id): a state of what the watermark has passed, and what waits.
 
-    An event waits in a list until a timer at its time fires, so the list holds no more than the lateness of a user's
-    events. One that comes behind the watermark is counted and not folded.
+    An event waits until a timer fires at the last time that its neighbours wait for, so no more waits than the lateness
+    of some users' events. One that comes behind the watermark is counted and not folded. The states and waiting events
+    of up to 2 ** ``NEAR`` users are one value of arrays: every call to the store is a message from the Python worker,
+    every key a batch of its own, and these, not rows, are what a user costs.
     """
 
     def __init__(self, start: tuple, step: Callable[[tuple, str, float], tuple], columns: list[str]):
-        self.start, self.step, self.columns = start, step, columns
+        self.start, self.step = start, step
+        settled = [c.split() for c in ["user_id long", *columns, "late long"]]
+        self.width, self.names = len(settled), [*[name for name, _ in settled], "pending"]
+        self.schema = ", ".join([*[f"{name} array<{kind}>" for name, kind in settled], *[f"_{name} {kind}" for name, kind in _WAITING.items()]])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", ", ".join([*self.columns, "late long"]))
-        self.waiting = handle.getListState("waiting", "at long, event_id long, kind string, value double")
-
-    def _release(self, key: tuple, waiting: list[tuple], upto: int, late: int) -> pd.DataFrame:
-        """Fold and forget what lies before ``upto``; give out the fold of that and of all that waits."""
-        held = tuple(self.settled.get()) if self.settled.exists() else (*self.start, 0)
-        state, late = held[:-1], held[-1] + late
-        waiting.sort(key=lambda e: e[:2])
-        passed = 0
-        while passed < len(waiting) and waiting[passed][0] < upto:
-            state = self.step(state, *waiting[passed][2:])
-            passed += 1
-        rest = waiting[passed:]
-        self.settled.update((*state, late))
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        out = state
-        for event in rest:
-            out = self.step(out, *event[2:])
-        names = [c.split()[0] for c in self.columns]
-        row = {"user_id": [key[0]], **{n: [v] for n, v in zip(names, out, strict=True)}, "late": [late], "pending": [len(rest)]}
-        return pd.DataFrame(row)
+        self.held = handle.getValueState("held", self.schema)
+
+    def _fold(self, parts: Iterator[pd.DataFrame], upto: int) -> tuple[list[tuple], int | None]:
+        """Fold and forget what lies before ``upto``. Rows of users with news: the fold of that and of all that waits.
+        And the last time that one waits for."""
+        users, come = {}, set()
+        if held := self.held.get():
+            users = {user: [tuple(state), late, []] for user, *state, late in zip(*held[: self.width], strict=True)}
+            for user, *event in zip(*held[self.width :], strict=True):
+                users[user][2].append(event)
+        for part in parts:
+            for user, *event in zip(*(part[c].tolist() for c in _WAITING), strict=True):
+                user = user if user == user else None  # noqa: PLW2901  (a null, as pandas has it)
+                own = users.setdefault(user, [self.start, 0, []])
+                come.add(user)
+                if event[0] < upto:
+                    own[1] += 1
+                else:
+                    own[2].append(event)
+        rows = []
+        for user, own in users.items():
+            state, late, waiting = own
+            if user in come:
+                waiting.sort(key=lambda e: e[:2])
+            passed = 0
+            while passed < len(waiting) and waiting[passed][0] < upto:
+                state = self.step(state, *waiting[passed][2:])
+                passed += 1
+            if not passed and user not in come:
+                continue
+            own[0], own[2] = state, waiting[passed:]
+            for event in own[2]:
+                state = self.step(state, *event[2:])
+            rows.append((user, *state, late, len(own[2])))
+        settled = [(user, *state, late) for user, (state, late, _) in users.items()]
+        rest = [(user, *event) for user, (_, _, waiting) in users.items() for event in waiting]
+        by_column = lambda found, width: [[r[i] for r in found] for i in range(width)]
+        self.held.update((*by_column(settled, self.width), *by_column(rest, len(_WAITING))))
+        return rows, max((r[1] for r in rest), default=None)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        upto, late = timerValues.getCurrentWatermarkInMs() * 1000, 0
-        waiting = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
-        for part in rows:
-            behind = part["at"] < upto
-            late += int(behind.sum())
-            fresh = part[~behind]
-            waiting += list(zip(*(fresh[c].tolist() for c in ("at", "event_id", "event_type", "value")), strict=True))
-        out = self._release(key, waiting, upto, late)
-        if out["pending"][0]:
-            self.handle.registerTimer(max(e[0] for e in waiting) // 1000 + 1)
-        yield out
+        out, last = self._fold(rows, timerValues.getCurrentWatermarkInMs() * 1000)
+        if last is not None:
+            self.handle.registerTimer(last // 1000 + 1)
+        yield pd.DataFrame(out, columns=self.names)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        waiting = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
-        yield self._release(key, waiting, timerValues.getCurrentWatermarkInMs() * 1000, 0)
+        out, _ = self._fold(iter(()), timerValues.getCurrentWatermarkInMs() * 1000)
+        if out:
+            yield pd.DataFrame(out, columns=self.names)
 
     def close(self) -> None:
         pass
@@ -121,7 +142,8 @@ def in_event_order(events: DataFrame, start: tuple, step: Callable[[tuple, str,
     """
     at = F.unix_micros("ts").alias("at")
     # without the event time itself among the columns, so that late rows reach the fold to be counted
-    keyed = events.withWatermark("ts", late).select("user_id", "event_id", at, "event_type", "value").groupBy("user_id")
+    near = F.shiftright("user_id", NEAR).alias("near")
+    keyed = events.withWatermark("ts", late).select(near, "user_id", "event_id", at, "event_type", "value").groupBy("near")
     schema = "user_id long, " + ", ".join([*columns, "late long", "pending long"])
     return keyed.transformWithStateInPandas(statefulProcessor=_InOrder(start, step, columns), outputStructType=schema, outputMode="Update", timeMode="EventTime")
 

@@ -62,3 +62,29 @@ def test_late_events_are_counted_and_little_waits(spark, tmp_path):
         assert (got[user]["last"], got[user]["steps"]) == (kinds[-1], len(kinds))
         assert got[user]["repeats"] == sum(a == b for a, b in zip(kinds, kinds[1:], strict=False))
         assert got[user]["pending"] <= 11  # of 120 events a user has in four hours
+
+
+def test_users_near_each_other_share_a_key(spark, tmp_path):
+    """A call for some users, not for each: what is folded stays theirs, and a user without an id is one too."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 41 == 40 else i % 41 - 20, "purchase" if i % 7 == 0 else "view", start + dt.timedelta(minutes=i), float(i)) for i in range(410)]
+    for part in (rows[:200], rows[200:]):
+        spark.createDataFrame(part, "event_id long, user_id long, event_type string, ts timestamp, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(streams.ev._InOrder):
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            calls.add(int(key[0] == key[0]))  # each row without an id is a call, as nulls are NaN here
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    kept, streams.ev._InOrder = streams.ev._InOrder, Counted
+    try:
+        got = {r["user_id"]: r for r in streams.ev.upsert(streams.ev.publications(streams.ev.event_stream(spark, str(tmp_path)), "purchase"), ["user_id"]).collect()}
+    finally:
+        streams.ev._InOrder = kept
+    assert set(got) == {r[1] for r in rows} and len(got) == 41
+    for user, row in got.items():
+        kinds = [r[2] for r in rows if r[1] == user]
+        done = max((k + 1 for k, kind in enumerate(kinds) if kind == "purchase"), default=0)
+        assert (row["published"], row["waiting"], row["late"]) == (done, len(kinds) - done, 0)
+    assert calls.value == 4  # -20 to 19 by sixteens
