@@ -88,3 +88,20 @@ def test_users_near_each_other_share_a_key(spark, tmp_path):
         done = max((k + 1 for k, kind in enumerate(kinds) if kind == "purchase"), default=0)
         assert (row["published"], row["waiting"], row["late"]) == (done, len(kinds) - done, 0)
     assert calls.value == 4  # -20 to 19 by sixteens
+
+
+def test_controls_of_neighbours_stay_apart(spark, tmp_path):
+    """Smoothed values and controls of forty users that share keys, as plain loops have them."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, i % 40, "view", start + dt.timedelta(minutes=i), float(i * 37 % 101)) for i in range(400)]
+    spark.createDataFrame(rows[::-1], "event_id long, user_id long, event_type string, ts timestamp, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    stream = streams.ev.controls(streams.ev.event_stream(spark, str(tmp_path)))
+    got = {r["user_id"]: r for r in streams.ev.upsert(stream, ["user_id"]).collect()}
+    for user in range(40):
+        smooth = control = rows[user][4]
+        for row in rows[user + 40 :: 40]:
+            smooth += 0.3 * (row[4] - smooth)
+            control = min(max(smooth, control - 20.0), control + 20.0)
+        assert (got[user]["smooth"], got[user]["control"], got[user]["steps"]) == (pytest.approx(smooth), pytest.approx(control), 10)
+    processor = streams.ev._InOrder((0.0,), lambda s, k, v: s, ["smooth double"])
+    assert "user_id array<long>" in processor.schema  # a value for some users
