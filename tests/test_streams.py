@@ -105,3 +105,53 @@ def test_controls_of_neighbours_stay_apart(spark, tmp_path):
         assert (got[user]["smooth"], got[user]["control"], got[user]["steps"]) == (pytest.approx(smooth), pytest.approx(control), 10)
     processor = streams.ev._InOrder((0.0,), lambda s, k, v: s, ["smooth double"])
     assert "user_id array<long>" in processor.schema  # a value for some users
+
+
+@pytest.mark.parametrize("query", ["stream_controls", "stream_publish", "stream_state", "stream_poll"])
+def test_a_table_of_many_files_is_one_trigger(spark, tmp_path, query):
+    """Files in no order of time, more than four: every event is in the fold, and the store commits as often as for one
+    file."""
+    import random
+    from pathlib import Path
+
+    import duckdb
+
+    from episodica import catalog
+
+    draw, start = random.Random(9), dt.datetime(2024, 1, 1)
+    rows = [(i, i % 20, draw.choice(["view", "click", "purchase"]), start + dt.timedelta(hours=draw.randrange(900)), float(draw.randrange(200))) for i in range(400)]
+    for k in range(0, 400, 40):
+        spark.createDataFrame(rows[k : k + 40], "event_id long, user_id long, event_type string, ts timestamp, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    before = set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("stream-*/state/commits/[0-9]*"))
+    got = catalog.QUERIES[query](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(catalog.SQL[query]).df()
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.itertuples(index=False, name=None))
+    commits = set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("stream-*/state/commits/[0-9]*")) - before
+    assert len(commits) <= 2  # the files, and the release of what waits
+
+
+def test_events_without_a_user_or_a_time(spark, tmp_path):
+    """No user is one user, whose events do not cost a call each; ids stay whole beside a null; no time comes last."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, (None, 2**60 + 1, 5)[i % 3], "purchase" if i % 6 else "view", None if i in (3, 4) else start + dt.timedelta(minutes=i), float(i)) for i in range(30)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["user_id"]: r for r in streams.ev.upsert(streams.ev.transitions(streams.ev.replay(spark, str(tmp_path))), ["user_id"]).collect()}
+    assert set(got) == {None, 2**60 + 1, 5}
+    for user, row in got.items():
+        kinds = [r[2] for r in sorted(rows, key=lambda r: (r[3] or dt.datetime.max, r[0])) if r[1] == user]
+        assert (row["last"], row["steps"], row["late"]) == (kinds[-1], 10, 0)
+        assert row["repeats"] == sum(a == b for a, b in zip(kinds, kinds[1:], strict=False))
+
+
+def test_events_of_a_key_come_as_one_row(spark):
+    """Rows to the fold are keys that a task holds, not events."""
+    import pyarrow as pa
+
+    columns = {"near": [3, 1, 3, -2], "place": [0, 1, 2, 3], "at": [4, 3, 2, 1], "event_id": [1, 2, 3, 4], "event_type": ["a", None, "c", "d"], "value": [1.0, 2.0, 3.0, 4.0]}
+    types = {"place": pa.int32()}
+    batch = pa.RecordBatch.from_arrays([pa.array(v, types.get(c)) for c, v in columns.items()], list(columns))
+    (packed,) = streams.ev._packed(iter([batch.slice(0, 2), batch.slice(2, 0), batch.slice(2)]))
+    assert packed.to_pydict()["near"] == [-2, 1, 3] and packed.to_pydict()["event_type"] == [["d"], [None], ["a", "c"]]
+    assert not list(streams.ev._packed(iter([])))
